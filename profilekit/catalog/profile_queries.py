@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import (
-    A_COLUMNS, B_COLUMNS, C_COLUMNS, COHORT_SQL, COHORTS, CUSTOMER_YEARS, FACTS_SQL, MEASURES, META_SQL, PROFILE_SQL,
-    facts, order_facts, query, rounded, show, sql_rounded, table,
+    COHORT_SQL, COHORTS, CUSTOMER_YEARS, FACTS_SQL, MEASURES, META_SQL, PROFILE_SQL,
+    facts, query, rounded, show, sql_rounded, table,
 )
-from profilekit.config import TableSpec
-from profilekit.functions.vector import norm, unit
+from profilekit.config import RunParams, TableSpec, base_name
+from profilekit.functions.vector import norm, top_contributions, unit
 from profilekit.operators.merge import merge_facts, merge_report, schema_report
+from profilekit.operators.nearest import nearest
 from profilekit.operators.profile import (
     attach_dimension, build_profiles, eligible_entities, entity_meta, keep_eligible, mean_profile, variety_report,
 )
@@ -19,7 +20,8 @@ from profilekit.operators.scale import (
     add_composites, assemble, cohort_median_fill, cohort_zscore, median_fill, robust_scale, row_profile, standard_z, weight_columns,
 )
 from profilekit.plans.features import engineer
-from profilekit.config import RunParams
+from profilekit.session import materialise
+from profilekit.sources.index_store import index_rows
 
 CFG = CUSTOMER_YEARS
 COUNTS = ["n_orders", "n_lines", "n_events"]
@@ -46,6 +48,11 @@ def profiles(spark, folder):
     return build_profiles(merged(spark, folder), CFG, MEASURES, 5)
 
 
+def profile_table(spark, folder):
+    """Profiles written once, for operators that fit statistics before they transform."""
+    return materialise(profiles(spark, folder))
+
+
 # ------------------------------------------------------------ merge and checks
 
 @query("merge_facts", f"""WITH {FACTS_SQL}
@@ -113,7 +120,7 @@ SELECT long.col AS "column", count(*) - count(x) AS missing_count,
        (count(*) - count(x)) / count(*) > 0.30 AS flagged
 FROM long JOIN st ON long.col = st.col GROUP BY long.col""")
 def _quality_report(spark, folder):
-    return quality_report(profiles(spark, folder), MEASURES, 0.30, 2.0)
+    return quality_report(profile_table(spark, folder), MEASURES, 0.30, 2.0)
 
 
 # ------------------------------------------------------------------ profiles
@@ -186,7 +193,7 @@ _FILLED = f"filled AS (SELECT p.entity, p.cohort, {', '.join(f'coalesce(p.{c}, m
 @query("median_impute", f"""WITH {PROFILE_SQL}, {_MEDIANS}, {_FILLED}
 SELECT entity, {', '.join(f'{sql_rounded(c)} AS {c}' for c in MEASURES)} FROM filled""")
 def _median_impute(spark, folder):
-    return show(median_fill(profiles(spark, folder), MEASURES), ["entity"], MEASURES)
+    return show(median_fill(profile_table(spark, folder), MEASURES), ["entity"], MEASURES)
 
 
 @query("cohort_median_impute", f"""WITH {PROFILE_SQL}, {_MEDIANS},
@@ -194,7 +201,7 @@ cm AS (SELECT cohort, {', '.join(f'quantile_cont({c}::DOUBLE, 0.5) AS {c}' for c
 SELECT entity, p.cohort, {', '.join(f'{sql_rounded(f"coalesce(p.{c}, cm.{c}, med.{c})")} AS {c}' for c in MEASURES)}
 FROM profile p JOIN cm ON p.cohort = cm.cohort, med""")
 def _cohort_median(spark, folder):
-    return show(cohort_median_fill(profiles(spark, folder), MEASURES, "cohort"), ["entity", "cohort"], MEASURES)
+    return show(cohort_median_fill(profile_table(spark, folder), MEASURES, "cohort"), ["entity", "cohort"], MEASURES)
 
 
 _STATS = f"st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}' for c in MEASURES)} FROM filled)"
@@ -203,7 +210,7 @@ _STATS = f"st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c
 @query("standard_z", f"""WITH {PROFILE_SQL}, {_MEDIANS}, {_FILLED}, {_STATS}
 SELECT entity, {', '.join(f'{sql_rounded(f"({c} - m_{c}) / s_{c}")} AS {c}' for c in REALS)} FROM filled, st""")
 def _standard_z(spark, folder):
-    z = standard_z(median_fill(profiles(spark, folder), REALS), REALS, "_z")
+    z = standard_z(median_fill(profile_table(spark, folder), REALS), REALS, "_z")
     return z.select("entity", *[rounded(f"{c}_z").alias(c) for c in REALS])
 
 
@@ -214,7 +221,7 @@ def _score_sql(cols: list[str]) -> str:
 @query("composites", f"""WITH {PROFILE_SQL}, {_MEDIANS}, {_FILLED}, {_STATS}
 SELECT entity, {', '.join(f'{sql_rounded(_score_sql(c))} AS {n}' for n, c in GROUPS.items())}, 0.0::DOUBLE AS empty_score FROM filled, st""")
 def _composites(spark, folder):
-    out = add_composites(profiles(spark, folder), {**GROUPS, "empty_score": []})
+    out = add_composites(profile_table(spark, folder), {**GROUPS, "empty_score": []})
     return show(out, ["entity"], SCORES)
 
 
@@ -238,7 +245,7 @@ def _robust(c: str) -> str:
 @query("robust_scale", f"""WITH {PROFILE_SQL}, s AS (SELECT entity, {', '.join(f'{_robust(c)} AS {c}' for c in REALS)} FROM profile)
 SELECT entity, {', '.join(f'{sql_rounded(c)} AS {c}' for c in REALS)} FROM s""")
 def _robust_scale(spark, folder):
-    return show(robust_scale(profiles(spark, folder), REALS), ["entity"], REALS)
+    return show(robust_scale(profile_table(spark, folder), REALS), ["entity"], REALS)
 
 
 # the whole chain: chosen columns and composites, cohort z, global median, robust scale, volume weighted by 2
@@ -290,6 +297,35 @@ long AS ({' UNION ALL '.join(f"SELECT entity, '{c}' AS feature, {i} AS pos, ({c}
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(abs(z), 9) DESC, pos) AS rank FROM long)
 SELECT entity, rank, feature, {sql_rounded('z', 3)} AS z_score, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS direction FROM r WHERE rank <= 3""")
 def _row_profile(spark, folder):
-    p = assemble(profiles(spark, folder).filter(F.col("avg_qty").isNotNull()), _ROW, "v")
+    p = assemble(profile_table(spark, folder).filter(F.col("avg_qty").isNotNull()), _ROW, "v")
     top = row_profile(p, "v", _ROW, 3).select("entity", F.posexplode("top_features").alias("rank", "f"))
     return top.select("entity", (F.col("rank") + 1).alias("rank"), "f.feature", rounded("f.z_score", 3).alias("z_score"), "f.direction")
+
+
+# ------------------------------------------------------------------ flagship
+
+_VEC = "[" + ", ".join(_ALL) + "]"
+
+
+@query("similar_customers", f"""WITH {_CHAIN},
+vec AS (SELECT entity, {_VEC} AS x FROM scaled),
+u AS (SELECT entity, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x FROM vec),
+p AS (SELECT a.entity AS entity, b.entity AS other, round(list_dot_product(a.x, b.x), 9) AS score, a.x AS ax, b.x AS bx
+      FROM u a JOIN u b ON a.entity <> b.entity),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, other) AS rank FROM p),
+t AS (SELECT entity, other, rank, score, unnest([{', '.join(f"'{c}'" for c in _ALL)}]) AS feature,
+             unnest(list_transform(list_zip(ax, bx), lambda e: e[1] * e[2])) AS part, generate_subscripts(ax, 1) AS pos
+      FROM r WHERE rank <= 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY entity, other ORDER BY round(abs(part / score), 6) DESC, pos) AS n FROM t)
+SELECT entity, other, rank, {sql_rounded('score')} AS similarity, feature AS main_feature FROM f WHERE n = 1 AND score > 0""")
+def _similar_customers(spark, folder):
+    found = engineer(facts(spark, folder), None, CFG, RunParams())
+    index = materialise(index_rows(found.vectors, "entity", "features"))
+    items = index.withColumnsRenamed({"id": "item_id", "vector": "item_vec"})
+    asked = index.withColumnsRenamed({"id": "query_id", "vector": "query_vec"})
+    pairs = nearest(asked, items, 5).join(asked, "query_id").join(items, "item_id")
+    top = top_contributions(F.col("query_vec"), F.col("item_vec"), [base_name(n) for n in found.names], 1)
+    return pairs.filter(F.col("score") > 0).select(
+        F.col("query_id").alias("entity"), F.col("item_id").alias("other"), "rank",
+        rounded("score").alias("similarity"), F.get(top, F.lit(0))["feature"].alias("main_feature"),
+    )
