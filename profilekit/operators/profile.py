@@ -32,14 +32,15 @@ def mean_profile(df: DataFrame, entity: str, columns: Sequence[str]) -> DataFram
     return df.groupBy(entity).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def modal_value(df: DataFrame, key: str, value: str, default: str = UNKNOWN_ROLE, out: str = "primary_role") -> DataFrame:
+def modal_value(df: DataFrame, key: str | Sequence[str], value: str, default: str = UNKNOWN_ROLE, out: str = "primary_role") -> DataFrame:
     """Most frequent value per key, the smallest on a tie, ``default`` when all are null.
 
     Counting per (key, value) first keeps every aggregation buffer at a few numbers.
     """
-    counted = df.groupBy(key, value).agg(F.count(value).alias("_n"))
+    keys = [key] if isinstance(key, str) else list(key)
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
     best = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(-F.col("_n"), F.col(value))))
-    return counted.groupBy(key).agg(F.coalesce(best, F.lit(default)).alias(out))
+    return counted.groupBy(*keys).agg(F.coalesce(best, F.lit(default)).alias(out))
 
 
 def _span_aggs(period: str, name: str | None) -> list[Column]:
