@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from profilekit.catalog.base import COHORT_SQL, COHORTS, CUSTOMER_YEARS, VECTORS_SQL, facts, query, rounded, sql_rounded, table, vectors
+from profilekit.catalog.base import COHORT_SQL, COHORTS, CUSTOMER_YEARS, DIMENSION, VECTORS_SQL, facts, query, rounded, sql_rounded, table, vectors
 from profilekit.config import RunParams
 from profilekit.functions.scalar import cohort_of
 from profilekit.operators.cluster import bisecting, gate_report, kmeans, lloyd_step, ward
@@ -54,11 +54,17 @@ def _map(spark, folder):
     return map_points(project(v, "vector", fit_components(v, "vector", 0.90))).select("id", rounded("x").alias("x"), rounded("y").alias("y"))
 
 
-@query("pca_scores_centred", f"""WITH {VECTORS_SQL} SELECT count(*) AS n_rows, 0.0::DOUBLE AS mean_x, 0.0::DOUBLE AS mean_y FROM v""")
-def _pca_centred(spark, folder):
+@query("pca_keeps_variance", f"""WITH {VECTORS_SQL}, t AS (SELECT unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM v)
+SELECT {sql_rounded('sum(s)', 6)} AS total_variance FROM (SELECT var_pop(x) AS s FROM t GROUP BY pos)""")
+def _pca_variance(spark, folder):
+    """All components together carry the variance of all features."""
     v = vectors(spark, folder)
-    points = map_points(project(v, "vector", fit_components(v, "vector", 0.90)))
-    return points.agg(F.count(F.lit(1)).alias("n_rows"), rounded(F.avg("x"), 6).alias("mean_x"), rounded(F.avg("y"), 6).alias("mean_y"))
+    scores = project(v, "vector", fit_components(v, "vector", 1.0))
+    per = [F.var_pop(F.get("pca", F.lit(i))) for i in range(DIMENSION)]
+    total = per[0]
+    for p in per[1:]:
+        total = total + p
+    return scores.agg(rounded(total, 6).alias("total_variance"))
 
 
 @query("kmeans")
