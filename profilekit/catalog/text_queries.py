@@ -1 +1,117 @@
-"""To come."""
+"""Names and links in documents and pages."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from profilekit.catalog.base import query, rounded, sql_rounded, table
+from profilekit.functions.scalar import allowed_url
+from profilekit.functions.text import normalise_name
+from profilekit.operators.names import accepted_links, link_for, linked_rows, match_coverage, name_links, unmatched_names
+from profilekit.sources.tables import write_links
+
+# The pages carry names and links as anchors: <a href="link">name</a>.
+ANCHOR = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
+LISTED = ("blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net", "www.ththhe.example.com", "m.ththth.example.net")
+
+_BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _norm_sql(expr: str, drop: str = ".''") -> str:
+    low = f"regexp_replace(lower(strip_accents({expr})), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+    cut = f"regexp_replace({low}, '{_BLANK}+(jr|sr|ii|iii|iv)\\.?$', '')"
+    return f"regexp_replace(translate({cut}, '{drop}', ''), '{_BLANK}+', ' ', 'g')"
+
+
+@query("normalise_names", f"""WITH n AS (SELECT doc_id, {_norm_sql('text')} AS n, {_norm_sql("source || ' ÉÇ O''Neal ' || lang || ' Jr.'")} AS s FROM documents)
+SELECT doc_id, md5(n) AS digest, length(n) AS n_chars, s AS short FROM n""")
+def _normalise(spark, folder):
+    d = table(spark, folder, "documents")
+    whole = normalise_name(F.col("text"))
+    short = normalise_name(F.concat(F.col("source"), F.lit(" ÉÇ O'Neal "), F.col("lang"), F.lit(" Jr.")))
+    return d.select("doc_id", whole.alias("n"), short.alias("short")).select(
+        "doc_id", F.md5("n").alias("digest"), F.length("n").cast("long").alias("n_chars"), "short")
+
+
+_ROWS = f"""a AS (SELECT page_id, unnest(regexp_extract_all(html, '{ANCHOR}', 2)) AS n, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS u,
+  generate_subscripts(regexp_extract_all(html, '{ANCHOR}', 1), 1) - 1 AS position FROM pages),
+rows_ AS (SELECT page_id, position, trim(regexp_replace(trim(n), '\\s+Headshot$', '', 'i')) AS name, trim(u) AS url FROM a WHERE trim(n) <> '' AND trim(u) <> '')"""
+
+
+def _rows(spark, folder):
+    return linked_rows(table(spark, folder, "pages"), "html", ANCHOR, 2, 1, ["page_id"])
+
+
+@query("html_rows", f"WITH {_ROWS} SELECT page_id, position, name, url FROM rows_")
+def _html_rows(spark, folder):
+    return _rows(spark, folder)
+
+
+_HOST = r"^https://([^/?#:]+)"
+@query("url_allowlist", f"""SELECT page_id, url, coalesce(starts_with(url, 'https://') AND lower(regexp_extract(url, '{_HOST}', 1)) IN (
+  SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS h FROM pages GROUP BY 1 ORDER BY count(*) DESC, h LIMIT 8)
+  AND regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) <> '', false) AS allowed FROM pages""")
+def _allow(spark, folder):
+    pages = table(spark, folder, "pages")
+    host = F.lower(F.try_parse_url("url", F.lit("HOST")))
+    common = [r[0] for r in pages.groupBy(host.alias("h")).count().orderBy(F.col("count").desc(), "h").limit(8).collect()]
+    return pages.select("page_id", "url", allowed_url(F.col("url"), common).alias("allowed"))
+
+
+def _links(spark, folder):
+    return name_links(_rows(spark, folder), ["page_id", "position"])
+
+
+_LINKS = f"""{_ROWS}, keyed AS (SELECT *, {_norm_sql('name')} AS key FROM rows_),
+links AS (SELECT key, name, url FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id, position) AS rn FROM keyed) WHERE rn = 1)"""
+
+
+@query("name_url_dedupe", f"WITH {_LINKS} SELECT key, name, url FROM links")
+def _dedupe(spark, folder):
+    return _links(spark, folder)
+
+
+@query("name_url_export", f"WITH {_LINKS} SELECT name, url FROM links")
+def _export(spark, folder):
+    path = tempfile.mkdtemp(prefix="profilekit-links-")
+    write_links(_links(spark, folder), path)
+    return spark.read.schema("name string, url string").json(path)
+
+
+@query("accepted_links", f"""WITH {_ROWS}, full_ AS (SELECT r.page_id, position, name, regexp_extract(p.url, '^[a-z]+://[^/?#]+') || r.url AS url FROM rows_ r JOIN pages p ON p.page_id = r.page_id)
+SELECT page_id, position, name, replace(url, '260x190', '1040x760') AS url FROM full_ WHERE starts_with(url, 'https://')
+AND lower(regexp_extract(url, '{_HOST}', 1)) IN ({', '.join(f"'{h}'" for h in LISTED)}) AND regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) <> ''""")
+def _accepted(spark, folder):
+    """Anchors made absolute with the address of their page, then filtered by the allow-list."""
+    rows = linked_rows(table(spark, folder, "pages").withColumnRenamed("url", "page"), "html", ANCHOR, 2, 1, ["page_id", "page"])
+    full = rows.withColumn("url", F.concat(F.regexp_extract("page", "^[a-z]+://[^/?#]+", 0), "url")).drop("page")
+    return accepted_links(full, LISTED)
+
+
+# names looked up: the first two words of every document, of which some are anchors too
+_WANTED = "wanted AS (SELECT doc_id, regexp_extract(text, '^\\S+ \\S+') AS name FROM documents UNION ALL SELECT -page_id - 1, upper(name) FROM rows_ WHERE position = 0)"
+
+
+def _wanted(spark, folder):
+    d = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
+    p = _rows(spark, folder).filter("position = 0").select((-F.col("page_id") - 1).alias("doc_id"), F.upper("name").alias("name"))
+    return d.unionByName(p)
+
+
+@query("name_lookup", f"WITH {_LINKS}, {_WANTED} SELECT doc_id, w.name, links.url FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')}")
+def _lookup(spark, folder):
+    return link_for(_wanted(spark, folder), _links(spark, folder)).select("doc_id", "name", "url")
+
+
+@query("match_coverage", f"""WITH {_LINKS}, {_WANTED} SELECT count(*) AS total, count(links.url) AS matched, {sql_rounded('count(links.url) / count(*) * 100')} AS coverage
+FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')} WHERE w.name <> ''""")
+def _coverage(spark, folder):
+    return match_coverage(_wanted(spark, folder), _links(spark, folder)).withColumn("coverage", rounded("coverage"))
+
+
+@query("unmatched_names", f"""WITH {_LINKS}, {_WANTED} SELECT DISTINCT w.name FROM wanted w WHERE w.name <> '' AND {_norm_sql('w.name')} NOT IN (SELECT key FROM links)
+ORDER BY w.name LIMIT 50""")
+def _unmatched(spark, folder):
+    return unmatched_names(_wanted(spark, folder), _links(spark, folder))

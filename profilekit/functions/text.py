@@ -7,6 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 # Fixed value: generational suffixes that names are matched without.
 GENERATIONS = ("jr", "sr", "ii", "iii", "iv")
@@ -14,7 +15,7 @@ GENERATIONS = ("jr", "sr", "ii", "iii", "iv")
 _BLANK = r"[\s\p{Z}]"
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def _decompose(text: pa.Array) -> pa.Array:
     # Spark has no Unicode decomposition; everything after it is built-in.
     return pc.utf8_normalize(text, form="NFD")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,9 +113,16 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
 
 
 def vector_moments(df: DataFrame, vector: str, dimension: int) -> list[Moments]:
-    flat = df.select(*[F.get(F.col(vector), F.lit(i)).alias(f"v{i}") for i in range(dimension)])
-    found = moments(flat, flat.columns)
-    return [found[f"v{i}"] for i in range(dimension)]
+    """Moments of every position of a vector column, in one aggregation buffer."""
+    wanted = Summarizer.metrics("count", "mean", "variance", "min", "max")
+    row = df.select(wanted.summary(array_to_vector(F.col(vector))).alias("s")).first()["s"]
+    n = row["count"]
+    spreads = [float(v) ** 0.5 for v in row["variance"]]
+    pop = ((n - 1) / n) ** 0.5 if n else 0.0
+    return [
+        Moments(n, float(row["mean"][i]), spreads[i] * pop, spreads[i], float(row["min"][i]), float(row["max"][i]))
+        for i in range(dimension)
+    ]
 
 
 def row_profile(df: DataFrame, vector: str, features: Sequence[str], top_n: int = 5, out: str = "top_features") -> DataFrame:
