@@ -45,7 +45,7 @@ def merged(spark, folder):
 
 
 def profiles(spark, folder):
-    return build_profiles(merged(spark, folder), CFG, MEASURES, 5)
+    return build_profiles(materialise(merged(spark, folder)), CFG, MEASURES, 5)
 
 
 def profile_table(spark, folder):

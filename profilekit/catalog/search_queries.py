@@ -37,7 +37,7 @@ def _knn(spark, folder):
 @query("knn_graph_tiled", f"WITH {PAIRS_SQL} SELECT q AS src, c AS dst, rk AS rank, {sql_rounded('score')} AS score FROM near WHERE rk <= 10")
 def _knn_tiled(spark, folder):
     """The way large inputs take: cells, bounds and tiles, still exact."""
-    out = knn_graph(vectors(spark, folder), "id", "vector", 10, broadcast_rows=16, tile_rows=1024)
+    out = knn_graph(vectors(spark, folder), "id", "vector", 10, broadcast_queries=16, broadcast_items=16, tile_rows=1024)
     return out.select("src", "dst", "rank", rounded("score").alias("score"))
 
 

@@ -24,10 +24,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def _with_each(a: Column, once: Column, fn) -> Column:
+    """``fn(element, once)`` per element. Inside a lambda ``once`` would be computed again for every element."""
+    return F.zip_with(a, F.array_repeat(once, F.size(a)), fn)
+
+
 def unit(a: Column) -> Column:
     """Scale to length one; the zero vector stays zero."""
     length = norm(a)
-    return F.transform(a, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    return _with_each(a, F.when(length == 0, F.lit(1.0)).otherwise(length), lambda x, n: x / n)
 
 
 def pick(a: Column, positions: Sequence[int]) -> Column:
@@ -37,7 +42,7 @@ def pick(a: Column, positions: Sequence[int]) -> Column:
 def block_unit(a: Column, positions: Sequence[int]) -> Column:
     """The part of a vector that belongs to one block, scaled by its length plus a tiny constant."""
     part = pick(a, positions)
-    return F.transform(part, lambda x: x / (norm(part) + TINY))
+    return _with_each(part, norm(part) + TINY, lambda x, n: x / n)
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -58,17 +63,17 @@ def top_contributions(query: Column, candidate: Column, features: Sequence[str]
     """
     names = None if features is None else F.array(*[F.lit(f) for f in features])
     cos = dot(query, candidate)
-    entries = F.transform(
-        F.zip_with(query, candidate, lambda x, y: F.struct(x.alias("q"), y.alias("c"))),
-        lambda e, i: F.struct(
-            (-F.round(F.abs(e["q"] * e["c"] / cos), 9)).alias("order"),
-            i.alias("position"),
-            (F.get(names, i) if names is not None else i.cast("string")).alias("feature"),
-            (e["q"] * e["c"] / cos).alias("contribution"),
-            e["q"].alias("query_value"),
-            e["c"].alias("candidate_value"),
-        ),
-    )
+    values = F.zip_with(query, candidate, lambda x, y: F.struct(x.alias("q"), y.alias("c")))
+    shares = _with_each(values, cos, lambda e, total: F.struct(
+        (e["q"] * e["c"] / total).alias("share"), e["q"].alias("q"), e["c"].alias("c")))
+    entries = F.transform(shares, lambda e, i: F.struct(
+        (-F.round(F.abs(e["share"]), 9)).alias("order"),
+        i.alias("position"),
+        (F.get(names, i) if names is not None else i.cast("string")).alias("feature"),
+        e["share"].alias("contribution"),
+        e["q"].alias("query_value"),
+        e["c"].alias("candidate_value"),
+    ))
     top = F.transform(
         F.slice(F.array_sort(entries), 1, top_n),
         lambda e: F.struct(

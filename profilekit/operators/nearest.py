@@ -2,8 +2,8 @@
 
 Three ways to the same answer, chosen by checked sizes:
 
-* few queries: they are broadcast, every task keeps a running top-k per query;
 * few items: they are broadcast, every query is answered inside its task;
+* few queries: they are broadcast, every task keeps a running top-k per query;
 * otherwise both sides meet in tiles of bounded size. Items are assigned to
   cells around sampled centres; a first pass over each query's nearest cells gives
   the score to beat, a second pass visits only cells whose angular bound can still
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from profilekit.functions.vector import to_matrix
 from profilekit.session import materialise
 
-BROADCAST_ROWS = 4096
-BROADCAST_VALUES = 4_194_304
+BROADCAST_QUERIES = 16_384
+BROADCAST_ITEMS = 65_536
+BROADCAST_VALUES = 8_388_608
 TILE_ROWS = 4096
+STEP_SCORES = 8_388_608
 STEP_ROWS = 2048
 MAX_CELLS = 1024
 QUERY_LIMITS = ("want_role", "min_period", "max_period")
@@ -138,6 +140,11 @@ def _emit(q: Side, hits: Hits, schema: pa.Schema) -> pa.Table:
     )
 
 
+def _step(other_rows: int) -> int:
+    """Rows per step so that one block of scores stays within ``STEP_SCORES`` numbers."""
+    return max(16, STEP_SCORES // max(other_rows, 1))
+
+
 def _empty(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
@@ -160,11 +167,8 @@ def _collected(df: DataFrame, id_name: str, vec_name: str, limit_names: Sequence
 
 def _fits(df: DataFrame, vec_name: str, rows: int) -> bool:
     """True when a side has few enough rows and numbers to be broadcast."""
-    n = df.limit(rows + 1).count()
-    if n > rows:
-        return False
-    head = df.select(F.size(vec_name)).first()
-    return head is None or n * max(head[0], 1) <= BROADCAST_VALUES
+    n, width = df.limit(rows + 1).agg(F.count(F.lit(1)), F.max(F.size(vec_name))).first()
+    return n <= rows and n * max(width or 0, 1) <= BROADCAST_VALUES
 
 
 def top_by_score(pairs: DataFrame, k: int) -> DataFrame:
@@ -178,17 +182,21 @@ def nearest(
     items: DataFrame,
     k: int,
     exclude_self: bool = True,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_queries: int = BROADCAST_QUERIES,
+    broadcast_items: int = BROADCAST_ITEMS,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Exact top-k: ``(query_id, item_id, score, rank)``."""
     fetch = k + 1 if exclude_self else k
     queries = queries.select(*_columns(queries, ("query_id", "query_vec", *QUERY_LIMITS)))
     items = items.select(*_columns(items, ("item_id", "item_vec", *ITEM_LIMITS)))
-    if _fits(queries, "query_vec", broadcast_rows):
+    few_queries = _fits(queries, "query_vec", broadcast_queries)
+    if _fits(items, "item_vec", broadcast_items):
+        # a small file is one partition: spread queries known to be few over all cores
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        pairs = _few_items(queries.repartition(cores) if few_queries else queries, items, fetch)
+    elif few_queries:
         pairs = _few_queries(queries, items, fetch)
-    elif _fits(items, "item_vec", broadcast_rows):
-        pairs = _few_items(queries, items, fetch)
     else:
         pairs = _tiled(queries, items, fetch, tile_rows)
     if exclude_self:
@@ -207,10 +215,11 @@ def _few_queries(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, kept = shared.value, None
+        step = _step(len(q.ids))
         for batch in batches:
             block = Side.read(batch, "item_id", "item_vec", ITEM_LIMITS)
-            for start in range(0, len(block.ids), STEP_ROWS):
-                found = _best(q, block.rows(start, start + STEP_ROWS), k)
+            for start in range(0, len(block.ids), step):
+                found = _best(q, block.rows(start, start + step), k)
                 kept = found if kept is None else _merge([kept, found], k)
         if kept is not None:
             yield from _emit(q, kept, schema).to_batches()
@@ -226,11 +235,13 @@ def _few_items(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     shared = queries.sparkSession.sparkContext.broadcast(side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items_side = shared.value
+        step = _step(len(items_side.ids))
         for batch in batches:
             block = Side.read(batch, "query_id", "query_vec", QUERY_LIMITS)
-            for start in range(0, len(block.ids), STEP_ROWS):
-                part = block.rows(start, start + STEP_ROWS)
-                yield from _emit(part, _best(part, shared.value, k), schema).to_batches()
+            for start in range(0, len(block.ids), step):
+                part = block.rows(start, start + step)
+                yield from _emit(part, _best(part, items_side, k), schema).to_batches()
 
     return queries.mapInArrow(run, ddl)
 

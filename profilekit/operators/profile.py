@@ -68,21 +68,15 @@ def entity_meta(df: DataFrame, cfg: ProfileConfig) -> DataFrame:
 def build_profiles(df: DataFrame, cfg: ProfileConfig, columns: Sequence[str], min_periods: int) -> DataFrame:
     """Means and metadata of the eligible entities.
 
-    Eligibility only depends on an entity's own rows, so it is a filter on the
-    aggregated row rather than a semi join back to the period rows.
+    Eligibility only depends on an entity's own rows, so it filters aggregated rows
+    instead of joining back to the period rows. The means are one hash aggregate over
+    the wide columns; spans, names and roles need other grouping and only read four
+    columns. ``df`` is read more than once: pass a table or a materialised result.
     """
-    one_pass = (
-        df.groupBy(cfg.entity)
-        .agg(*[F.avg(c).alias(c) for c in columns], *_span_aggs(cfg.period, cfg.name))
-        .filter(F.col("total_periods") >= min_periods)
-    )
+    meta = entity_meta(df, cfg).filter(F.col("total_periods") >= min_periods)
+    out = mean_profile(df, cfg.entity, columns).join(meta, cfg.entity)
     needed = [c for c in cfg.required_after_mean if c in columns]
-    if needed:
-        one_pass = one_pass.dropna(subset=needed)
-    return (
-        one_pass.join(modal_value(df, cfg.entity, cfg.role), cfg.entity, "left")
-        .withColumn("cohort", cohort_of(F.col("debut_period"), cfg.cohorts))
-    )
+    return out.dropna(subset=needed) if needed else out
 
 
 def attach_dimension(profiles: DataFrame, dimension: DataFrame, entity: str, columns: Sequence[str], flag: str | None = None) -> DataFrame:

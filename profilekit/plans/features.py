@@ -32,10 +32,10 @@ def engineer(
 ) -> Features:
     """Merge, filter, average, group into blocks, score composites, adjust by cohort, impute and scale.
 
-    The profile table (one row per entity) is materialised once; every statistic
-    after it reads that table instead of the fact tables.
+    The merged table and the profile table (one row per entity) are written once;
+    every statistic after them reads those instead of joining the facts again.
     """
-    merged = merge_facts(facts, cfg.join_keys, unique_keys)
+    merged = materialise(merge_facts(facts, cfg.join_keys, unique_keys))
     columns = numeric_columns(merged.schema, exclude=(cfg.entity,))
     profiles = build_profiles(merged, cfg, columns, params.min_periods)
     if dimension is not None:
