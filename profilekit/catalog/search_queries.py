@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import BLOCKS, DIMENSION, FEATURE_NAMES, PAIRS_SQL, VECTORS_SQL, query, rounded, sql_rounded, table, vectors
@@ -16,7 +14,7 @@ from profilekit.operators.relational import top_rows
 from profilekit.operators.search import (
     Scoring, compare_two, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, suggest,
 )
-from profilekit.session import materialise
+from profilekit.session import materialise, scratch_path
 from profilekit.sources.index_store import answer_requests, build_index, current_version, index_info, promote, read_index, read_manifest, rebuild
 
 SCORING = Scoring(BLOCKS)
@@ -242,7 +240,7 @@ def _ann(spark, folder):
 
 @query("index_build")
 def _index_build(spark, folder):
-    where = tempfile.mkdtemp(prefix="profilekit-index-")
+    where = scratch_path(spark, "index")
     rows = vectors(spark, folder)
     version = build_index(rows, where, FEATURE_NAMES)
     manifest = read_manifest(spark, where, version)
@@ -260,7 +258,7 @@ def _index_info(spark, folder):
 @query("index_gate")
 def _index_gate(spark, folder):
     """A first version, then the same rows without block 7: promoted only when answers stay close."""
-    where = tempfile.mkdtemp(prefix="profilekit-index-")
+    where = scratch_path(spark, "index")
     rows = vectors(spark, folder)
     first = rebuild(rows, where, FEATURE_NAMES, lambda ix: nearest(*_sides(ix), 10))
     cut = rows.withColumn("vector", F.transform("vector", lambda x, i: F.when(i < 56, x).otherwise(0.0)))
@@ -281,7 +279,7 @@ def _request_key(spark, folder):
 @query("answer_table", f"WITH {PAIRS_SQL} SELECT q AS query_id, c AS item_id, rk AS rank FROM near WHERE rk <= 3")
 def _answers(spark, folder):
     """Answers of half the requests are stored first, the second call computes only the rest."""
-    where = tempfile.mkdtemp(prefix="profilekit-answers-") + "/answers"
+    where = scratch_path(spark, "answers")
     v = vectors(spark, folder)
     requests = v.select(F.col("id").alias("query_id"), request_key([("entity", F.col("id")), ("k", F.lit(3))]).alias("request_key"))
 

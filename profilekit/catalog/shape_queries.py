@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import PAIRS_SQL, VECTORS_SQL, facts, query, rounded, sql_rounded, table, vectors
@@ -19,16 +17,12 @@ from profilekit.operators.relational import (
 from profilekit.operators.retrieval import (
     capture_baseline, compare_baseline, gate, labelled_pairs, rank_correlation, recall_and_mrr, score_drift,
 )
-from profilekit.session import materialise
+from profilekit.session import materialise, scratch_path
 from profilekit.sources.index_store import fingerprint
 from profilekit.sources.steps import step
 from profilekit.sources.tables import read_baseline, read_edges, read_points, write_baseline, write_edges, write_nested, write_points
 
 
-def _scratch(kind: str) -> str:
-    return tempfile.mkdtemp(prefix=f"profilekit-{kind}-")
-
-
 # -------------------------------------------------------------- aggregates
 
 @query("value_counts_map", """SELECT o_orderpriority, string_agg(o_orderstatus || '=' || n, ',' ORDER BY o_orderstatus) AS counts
@@ -252,7 +246,7 @@ def _spearman(spark, folder):
 CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '—' ELSE c_mktsegment END AS role FROM customer WHERE c_mktsegment <> 'MACHINERY'""")
 def _typed_csv(spark, folder):
     """Customers as text, every row twice: a stale copy first; one segment has an unreadable number."""
-    path = _scratch("csv")
+    path = scratch_path(spark, "csv")
     c = table(spark, folder, "customer")
     text = c.select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"),
@@ -261,15 +255,16 @@ def _typed_csv(spark, folder):
         F.when(F.col("c_acctbal") > 5000, "TRUE").otherwise("no").alias("hof"),
         F.when(F.col("c_mktsegment") == "HOUSEHOLD", "").otherwise(F.col("c_mktsegment")).alias("role"))
     stale = text.withColumn("name", F.lit("stale"))
-    # one output file keeps the written order that "last row wins" is about
-    stale.unionAll(text).withColumn("at", (F.col("name") != "stale").cast("int")).repartitionByRange(1, "at").sortWithinPartitions("at").drop("at").write.mode("overwrite").option("header", True).csv(path)
-    out = read_points(spark, path, {"id": "string", "name": "string", "label": "whole", "x": "double", "hof": "flag"}, "id", {"role": "—"})
+    stale.write.option("header", True).csv(f"{path}/1-old")
+    text.write.option("header", True).csv(f"{path}/2-new")
+    columns = {"id": "string", "name": "string", "label": "whole", "x": "double", "hof": "flag"}
+    out = read_points(spark, [f"{path}/1-old", f"{path}/2-new"], columns, "id", {"role": "—"})
     return out.withColumn("x", rounded("x", 2))
 
 
 @query("csv_export", f"""WITH {VECTORS_SQL} SELECT id::VARCHAR AS id, role, {sql_rounded('vector[1]')} AS pca_1, {sql_rounded('vector[5]')} AS pca_5 FROM v""")
 def _export(spark, folder):
-    path = _scratch("export")
+    path = scratch_path(spark, "export")
     write_points(vectors(spark, folder).withColumn("pca", F.col("vector")).drop("vector"), path)
     back = spark.read.option("header", True).csv(path)
     return back.select("id", "role", rounded(F.col("pca_1").cast("double")).alias("pca_1"), rounded(F.col("pca_5").cast("double")).alias("pca_5"))
@@ -278,7 +273,7 @@ def _export(spark, folder):
 @query("json_roundtrip_io", """SELECT o_orderpriority, sum(n)::BIGINT AS total, count(*) AS n_values FROM (
 SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def _nested_io(spark, folder):
-    path = _scratch("json")
+    path = scratch_path(spark, "json")
     write_nested(value_counts(table(spark, folder, "orders"), "o_orderpriority", "o_orderstatus"), path)
     back = spark.read.schema("o_orderpriority string, counts map<string,bigint>").json(path)
     return back.select(
@@ -288,14 +283,14 @@ def _nested_io(spark, folder):
 
 @query("edges_export", f"WITH {PAIRS_SQL} SELECT q AS src, c AS dst, rk AS rank FROM near WHERE rk <= 10 AND q IN (3, 77)")
 def _edges_io(spark, folder):
-    path = _scratch("edges")
+    path = scratch_path(spark, "edges")
     write_edges(_neighbours(spark, folder, 10).withColumnsRenamed({"query_id": "src", "item_id": "dst"}), path)
     return read_edges(spark, path, [3, 77]).select("src", "dst", "rank")
 
 
 @query("baseline_io", f"WITH {PAIRS_SQL} SELECT q::VARCHAR AS query_id, string_agg(c::VARCHAR, ',' ORDER BY rk) AS ids FROM near WHERE rk <= 10 GROUP BY q")
 def _baseline_io(spark, folder):
-    path = _scratch("baseline")
+    path = scratch_path(spark, "baseline")
     write_baseline(capture_baseline(_neighbours(spark, folder, 10)), path)
     return read_baseline(spark, path).select("query_id", F.array_join("ids", ",").alias("ids"))
 
@@ -303,7 +298,7 @@ def _baseline_io(spark, folder):
 @query("step_checkpoint", f"SELECT o_orderpriority, count(*) AS n, {sql_rounded('sum(o_totalprice)', 2)} AS total FROM orders GROUP BY 1")
 def _step(spark, folder):
     """The second call reads what the first wrote: its builder would fail."""
-    where, key = _scratch("steps"), config_hash(RunParams())
+    where, key = scratch_path(spark, "steps"), config_hash(RunParams())
     o = table(spark, folder, "orders")
     build = lambda: o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
     step(spark, where, "totals", key, build)
@@ -317,7 +312,7 @@ def _step(spark, folder):
 @query("fact_merge_from_files", "SELECT count(*) AS n_rows, sum(n_orders)::BIGINT AS n_orders FROM (SELECT o_custkey, year(o_orderdate), count(*) AS n_orders FROM orders GROUP BY 1, 2)")
 def _merge_files(spark, folder):
     """Facts written to CSV, read back with types and merged again."""
-    path = _scratch("facts")
+    path = scratch_path(spark, "facts")
     a = facts(spark, folder)[0].select("entity", "period", "status", "tag", "n_orders")
     a.write.mode("overwrite").option("header", True).csv(path)
     back = spark.read.option("header", True).schema(a.schema).csv(path)

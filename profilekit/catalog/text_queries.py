@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import query, rounded, sql_rounded, table
 from profilekit.functions.scalar import allowed_url
 from profilekit.functions.text import normalise_name
 from profilekit.operators.names import accepted_links, link_for, linked_rows, match_coverage, name_links, unmatched_names
+from profilekit.session import scratch_path
 from profilekit.sources.tables import write_links
 
 # The pages carry names and links as anchors: <a href="link">name</a>.
@@ -75,7 +74,7 @@ def _dedupe(spark, folder):
 
 @query("name_url_export", f"WITH {_LINKS} SELECT name, url FROM links")
 def _export(spark, folder):
-    path = tempfile.mkdtemp(prefix="profilekit-links-")
+    path = scratch_path(spark, "links")
     write_links(_links(spark, folder), path)
     return spark.read.schema("name string, url string").json(path)
 

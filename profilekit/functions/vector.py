@@ -63,8 +63,9 @@ def top_contributions(query: Column, candidate: Column, features: Sequence[str]
     """
     names = None if features is None else F.array(*[F.lit(f) for f in features])
     cos = dot(query, candidate)
+    usable = (cos >= TINY) & (cos < F.lit(float("inf")))
     values = F.zip_with(query, candidate, lambda x, y: F.struct(x.alias("q"), y.alias("c")))
-    shares = _with_each(values, cos, lambda e, total: F.struct(
+    shares = _with_each(values, F.when(usable, cos), lambda e, total: F.struct(
         (e["q"] * e["c"] / total).alias("share"), e["q"].alias("q"), e["c"].alias("c")))
     entries = F.transform(shares, lambda e, i: F.struct(
         (-F.round(F.abs(e["share"]), 9)).alias("order"),
@@ -84,7 +85,6 @@ def top_contributions(query: Column, candidate: Column, features: Sequence[str]
             e["candidate_value"].alias("candidate_value"),
         ),
     )
-    usable = (cos >= TINY) & (cos < F.lit(float("inf")))
     return F.when(usable, top).otherwise(F.slice(top, 1, 0))
 
 

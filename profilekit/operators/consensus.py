@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.config import NOISE
+from profilekit.session import materialise
 
 MAX_TUPLES = 8192
 
@@ -99,13 +100,14 @@ def own_agreement(df: DataFrame, labels: Sequence[str], consensus: str, out: str
     """Mean agreement of each row with the other rows of its consensus cluster; null for a cluster of one.
 
     Rows of the cluster that share an algorithm's label are counted per (cluster,
-    label), so no pair of rows is ever formed.
+    label), so no pair of rows is ever formed. The count tables are written once: their
+    true size lets Spark broadcast them, so a huge cluster is not shuffled.
     """
-    sizes = df.groupBy(consensus).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = materialise(df.groupBy(consensus).agg(F.count(F.lit(1)).alias("_size")))
     result = df.join(sizes, consensus)
     total: Column = F.lit(0)
     for i, c in enumerate(labels):
-        shared = df.groupBy(consensus, c).agg((F.count(F.lit(1)) - 1).alias(f"_same{i}"))
+        shared = materialise(df.groupBy(consensus, c).agg((F.count(F.lit(1)) - 1).alias(f"_same{i}")))
         result = result.join(shared, [consensus, c])
         total = total + F.when(F.col(c) != NOISE, F.col(f"_same{i}")).otherwise(0)
     mean = F.when(F.col("_size") > 1, total / F.lit(len(labels)) / (F.col("_size") - 1))
@@ -135,7 +137,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str, min_rows: int = 10) -> DataFram
         total("cell", F.col("n")).alias("rows"),
         total("cell", pairs).alias("same"), total("a", pairs).alias("in_a"), total("b", pairs).alias("in_b"),
     )
-    every = F.col("rows") * (F.col("rows") - 1) / 2
+    every = F.nullif(F.col("rows") * (F.col("rows") - 1) / 2, F.lit(0.0))
     expected = F.col("in_a") * F.col("in_b") / every
     best = (F.col("in_a") + F.col("in_b")) / 2
     ari = F.when(best == expected, F.lit(1.0)).otherwise((F.col("same") - expected) / (best - expected))

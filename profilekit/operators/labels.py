@@ -15,6 +15,7 @@ from profilekit.functions.scalar import direction, join_words, readable_traits
 from profilekit.functions.vector import euclidean
 from profilekit.operators.relational import top_per_group, value_counts
 from profilekit.operators.scale import vector_moments
+from profilekit.session import materialise
 
 
 def non_noise(df: DataFrame, label: str) -> DataFrame:
@@ -95,7 +96,8 @@ def name_clusters(profiles: DataFrame, label: str, labels: Mapping[tuple[str, st
 def exemplars(df: DataFrame, id_col: str, vector: str, label: str, k: int = 8) -> DataFrame:
     """The ``k`` members nearest their cluster's centroid."""
     members = non_noise(df, label)
-    centre = centroids(members, vector, label).select(label, "centroid")
+    # written once: its true size lets Spark broadcast it instead of shuffling the members by cluster
+    centre = materialise(centroids(members, vector, label).select(label, "centroid"))
     far = members.join(centre, label).withColumn("distance", euclidean(F.col(vector), F.col("centroid"))).drop("centroid")
     return top_per_group(far, [label], [F.round("distance", 9), F.col(id_col)], k)
 

@@ -32,11 +32,11 @@ def silhouette(df: DataFrame, vector: str, label: str) -> float | None:
 def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Mean over clusters of the worst (spread_i + spread_j) / centroid distance.
 
-    Rows meet only their own centroid. The comparison of clusters with each other is
+    Clusters with the same centroid count as infinitely far apart. Rows meet only their own centroid. The comparison of clusters with each other is
     done on the table of valid clusters, which the run parameters limit to 50.
     """
     clean = non_noise(df, label)
-    centre = centroids(clean, vector, label).select(label, "centroid")
+    centre = materialise(centroids(clean, vector, label).select(label, "centroid"))
     spread = (
         clean.join(centre, label)
         .groupBy(label).agg(F.avg(euclidean(F.col(vector), F.col("centroid"))).alias("spread"))
@@ -45,7 +45,7 @@ def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
     table = spread.select(F.collect_list(F.struct(F.col(label).alias("l"), "spread", "centroid")).alias("all"))
     worst = F.transform(F.col("all"), lambda a: F.array_max(F.transform(
         F.filter(F.col("all"), lambda b: b["l"] != a["l"]),
-        lambda b: (a["spread"] + b["spread"]) / euclidean(a["centroid"], b["centroid"]),
+        lambda b: F.coalesce(F.try_divide(a["spread"] + b["spread"], euclidean(a["centroid"], b["centroid"])), F.lit(0.0)),
     )))
     return table.select(
         F.when(F.size("all") >= 2, F.aggregate(worst, F.lit(0.0), lambda x, y: x + y) / F.size("all")).alias("davies_bouldin")

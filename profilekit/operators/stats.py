@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS_PER_PASS = 100
+COLUMNS_PER_SKETCH = 25
 SMALL_ROWS = 200_000
-BRACKET_ROWS = 200_000
+BRACKET_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
+SLACK = 4.0 / SKETCH_ACCURACY
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,6 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
     return out
 
 
-def _interpolated(values: Sequence[float], position: float) -> float:
-    low = int(position)
-    high = min(low + 1, len(values) - 1)
-    return values[low] + (values[high] - values[low]) * (position - low)
-
-
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -68,10 +64,11 @@ def exact_quantiles(
     such as a cohort.
 
     ``percentile`` keeps every distinct value of a group in one task, so it is
-    used only up to ``small_rows`` rows. Above that the quantile is pinned down:
-    a sketch gives a bracket around the wanted rank, one pass counts the rows below
-    and inside the bracket, and the bracket is narrowed until its distinct values
-    fit ``bracket_rows``; only those are sorted.
+    used only up to ``small_rows`` rows. Above that every wanted rank is pinned down
+    by narrowing an open interval: a sketch proposes two values around the rank, one
+    pass counts the rows below, at and between them, and the rank falls into a much
+    smaller interval or on one of the values. Only intervals of at most
+    ``bracket_rows`` rows are sorted. All columns share the passes.
     """
     total = df.count()
     groups = [] if by is None else [by]
@@ -90,83 +87,83 @@ def exact_quantiles(
     keys = [None] if by is None else [r[0] for r in df.select(by).distinct().collect()]
     for key in keys:
         scope = df if by is None else df.filter(F.col(by).eqNullSafe(F.lit(key)))
-        out[key] = {c: _bracketed(scope, c, probs, bracket_rows) for c in columns}
+        out[key] = {}
+        for i in range(0, len(columns), COLUMNS_PER_SKETCH):
+            out[key].update(_pinned_quantiles(scope, columns[i:i + COLUMNS_PER_SKETCH], probs, bracket_rows))
     return out
 
 
-def _bracketed(df: DataFrame, column: str, probs: Sequence[float], bracket_rows: int) -> list[float | None]:
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
-    if n == 0:
-        return [None] * len(probs)
-    wanted = sorted({r for p in probs for r in (int(p * (n - 1)), min(int(p * (n - 1)) + 1, n - 1))})
-    order = {r: _value_at_rank(values, r, n, bracket_rows) for r in wanted}
-    result = []
-    for p in probs:
-        position = p * (n - 1)
-        low = int(position)
-        high = min(low + 1, n - 1)
-        result.append(order[low] + (order[high] - order[low]) * (position - low))
-    return result
-
-
-def _value_at_rank(values: DataFrame, rank: int, n: int, bracket_rows: int) -> float:
-    """The value with ``rank`` smaller-or-equal predecessors in sorted order (0-based)."""
-    scope, below, size = values, 0, n
-    while size > bracket_rows:
-        share = (rank - below) / max(size - 1, 1)
-        slack = 4.0 / SKETCH_ACCURACY
-        low, high = scope.agg(
-            F.percentile_approx("v", [max(share - slack, 0.0), min(share + slack, 1.0)], SKETCH_ACCURACY)
-        ).first()[0]
-        if low == high:
-            return low if _holds(scope, low, rank - below) else _histogram_rank(scope, rank - below)
-        under, inside = scope.agg(
-            F.sum((F.col("v") < low).cast("long")),
-            F.sum(F.col("v").between(low, high).cast("long")),
-        ).first()
-        if not under <= rank - below < under + inside or inside == size:
-            return _histogram_rank(scope, rank - below)
-        scope, below, size = scope.filter(F.col("v").between(low, high)), below + under, inside
-    return _histogram_rank(scope, rank - below)
-
-
-def _holds(scope: DataFrame, value: float, rank: int) -> bool:
-    under, same = scope.agg(
-        F.sum((F.col("v") < value).cast("long")), F.sum((F.col("v") == value).cast("long"))
-    ).first()
-    return under <= rank < under + same
-
-
-def _histogram_rank(scope: DataFrame, rank: int) -> float:
-    """Rank lookup in a value histogram: counts per distinct value, range-sorted, located by partition."""
-    counts = scope.groupBy("v").count().repartitionByRange("v").sortWithinPartitions("v")
-    sized = counts.withColumn("part", F.spark_partition_id())
-    parts = sorted(
-        (r["low"], r["part"], r["rows"])
-        for r in sized.groupBy("part").agg(F.min("v").alias("low"), F.sum("count").alias("rows")).collect()
-    )
-    seen = 0
-    for i, (low, _, rows) in enumerate(parts):
-        if rank < seen + rows:
-            high = parts[i + 1][0] if i + 1 < len(parts) else None
-            inside = F.col("v") >= low if high is None else (F.col("v") >= low) & (F.col("v") < high)
-            running = F.sum("count").over(_by_value())
-            hit = (
-                scope.filter(inside).groupBy("v").count()
-                .withColumn("upto", running)
-                .filter(F.col("upto") > rank - seen)
-                .agg(F.min("v")).first()[0]
-            )
-            return hit
-        seen += rows
-    raise ValueError("rank beyond the last row")
-
-
-def _by_value():
-    from pyspark.sql import Window
-
-    return Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+@dataclass
+class _Target:
+    """One wanted rank of one column: rows strictly between ``low`` and ``high``, ``below`` of them before it."""
+
+    column: str
+    rank: int
+    size: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.column).cast("double")
+        test = v.isNotNull()
+        if self.low is not None:
+            test = test & (v > self.low)
+        if self.high is not None:
+            test = test & (v < self.high)
+        return F.when(test, v)
+
+    @property
+    def at(self) -> int:
+        return self.rank - self.below
+
+    def narrow(self, a: float, b: float, under: int, at_a: int, between: int, at_b: int) -> None:
+        """Move to the part of the interval that holds the rank."""
+        steps = [(under, None, self.low, a), (at_a, a, None, None), (between, None, a, b), (at_b, b, None, None)]
+        steps.append((self.size - under - at_a - between - at_b, None, b, self.high))
+        for rows, value, low, high in steps:
+            if self.at < rows:
+                self.value, self.low, self.high, self.size = value, low, high, rows
+                return
+            self.below += rows
+
+
+def _pinned_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], bracket_rows: int) -> dict[str, list[float | None]]:
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    targets = {
+        (c, r): _Target(c, r, counts[c])
+        for c in columns if counts[c]
+        for p in probs for r in (int(p * (counts[c] - 1)), min(int(p * (counts[c] - 1)) + 1, counts[c] - 1))
+    }
+    while wide := [t for t in targets.values() if t.value is None and t.size > bracket_rows]:
+        proposals = df.agg(*[
+            F.percentile_approx(t.inside(), [max(t.at / t.size - SLACK, 0.0), min(t.at / t.size + SLACK, 1.0)], SKETCH_ACCURACY).alias(f"s{i}")
+            for i, t in enumerate(wide)
+        ]).first()
+        tests = []
+        for (a, b), t in zip(proposals, wide):
+            v = t.inside()
+            tests += [v < a, v == a, (v > a) & (v < b), (v == b) & F.lit(a != b)]
+        found = df.agg(*[F.count(F.when(test, 1)).alias(f"n{i}") for i, test in enumerate(tests)]).first()
+        for i, ((a, b), t) in enumerate(zip(proposals, wide)):
+            t.narrow(a, b, *found[4 * i:4 * i + 4])
+    open_targets = [t for t in targets.values() if t.value is None]
+    if open_targets:
+        row = df.agg(*[
+            F.percentile(t.inside(), t.at / max(t.size - 1, 1)).alias(f"p{i}") for i, t in enumerate(open_targets)
+        ]).first()
+        for t, value in zip(open_targets, row):
+            t.value = value
+
+    def quantile(c: str, p: float) -> float | None:
+        if not counts[c]:
+            return None
+        position = p * (counts[c] - 1)
+        low, high = targets[c, int(position)].value, targets[c, min(int(position) + 1, counts[c] - 1)].value
+        return low + (high - low) * (position - int(position))
+
+    return {c: [quantile(c, p) for p in probs] for c in columns}
 
 
 def fill_literals(columns: Mapping[str, float | None]) -> dict[str, Column]:

@@ -49,6 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_path(spark: SparkSession, kind: str = "tables") -> str:
+    """A new path in the shared checkpoint folder; :func:`clear_materialised` removes it."""
+    return f"{ensure_checkpoint_dir(spark)}/profilekit/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and go on from a table in the checkpoint folder.
 
@@ -57,15 +62,15 @@ def materialise(df: DataFrame) -> DataFrame:
     true size, so later joins are planned on facts.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_materialised(spark: SparkSession) -> None:
-    """Delete the tables this application wrote with :func:`materialise`."""
+    """Delete everything this application wrote to its :func:`scratch_path` folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{ensure_checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+        f"{ensure_checkpoint_dir(spark)}/profilekit/{spark.sparkContext.applicationId}"
     )
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

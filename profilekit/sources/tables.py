@@ -44,18 +44,20 @@ def read_dimension(spark: SparkSession, folder: str, cfg: ProfileConfig, schema:
     return read_table(spark, folder, cfg.dimension, schema).select(*wanted)
 
 
-def read_points(spark: SparkSession, path: str, columns: Mapping[str, str], key: str, optional: Mapping[str, str] | None = None) -> DataFrame:
+def read_points(spark: SparkSession, path: str | list[str], columns: Mapping[str, str], key: str, optional: Mapping[str, str] | None = None) -> DataFrame:
     """Tolerant typed CSV read: rows that fail a cast are left out, the last row per key wins.
 
     ``columns`` maps names to ``string, int, whole, double`` or ``flag``; ``whole`` also reads
     numbers written with a fraction. ``optional`` columns take their default when empty.
+    "Last" means files in path order, then the order within the file.
     """
     raw = spark.read.option("header", True).csv(path)
-    raw = raw.withColumn("_at", F.monotonically_increasing_id())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    raw = raw.withColumn("_at", place)
     kinds = {
         "string": lambda c: F.col(c),
         "int": lambda c: F.expr(f"try_cast(trim(`{c}`) as int)"),
-        "whole": lambda c: F.expr(f"cast(try_cast(trim(`{c}`) as double) as int)"),
+        "whole": lambda c: F.expr(f"try_cast(try_cast(trim(`{c}`) as double) as int)"),
         "double": lambda c: F.expr(f"try_cast(trim(`{c}`) as double)"),
         "flag": lambda c: text_flag(F.col(c)),
     }

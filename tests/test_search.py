@@ -95,7 +95,7 @@ def test_similar_to_excludes_own_group(frame):
 
 def vectors4(spark):
     v = [("a", [1.0, 0, 0, 0]), ("b", [0.6, 0.8, 0, 0]), ("c", [0.0, 1, 0, 0]), ("z", [0.0, 0, 0, 0]), ("n", [-0.8, 0, 0.6, 0]), ("d", [0.5, 0.5, 0.5, 0.5])]
-    return spark.createDataFrame([(i, x, r) for (i, x), r in zip(v, ["G", "G", "F", "", "", "F"])], "id string, vector array<double>, role string")
+    return spark.createDataFrame([(i, [float(e) for e in x], r) for (i, x), r in zip(v, ["G", "G", "F", "", "", "F"])], "id string, vector array<double>, role string")
 
 
 def test_attribution_cases(spark):
