@@ -131,6 +131,13 @@ def _eligible(spark, folder):
     return eligible_entities(merged(spark, folder), "entity", "period", 5)
 
 
+@query("eligible_entities_approximate", f"""WITH {FACTS_SQL}
+SELECT entity, count(DISTINCT period) AS total_periods FROM merged GROUP BY entity HAVING count(DISTINCT period) >= 5""")
+def _eligible_approx(spark, folder):
+    """With at most a handful of periods per entity the sketch counts exactly."""
+    return eligible_entities(merged(spark, folder), "entity", "period", 5, approximate=True)
+
+
 @query("keep_eligible", f"""WITH {FACTS_SQL}
 SELECT period, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM merged
 WHERE entity IN (SELECT entity FROM merged GROUP BY entity HAVING count(DISTINCT period) >= 5) GROUP BY period""")

@@ -12,7 +12,7 @@ from profilekit.operators.labels import centroids
 from profilekit.operators.nearest import Cells, assign_cells, cell_summary, nearest, search_cells
 from profilekit.operators.relational import top_rows
 from profilekit.operators.search import (
-    Scoring, compare_two, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, suggest,
+    Scoring, compare_two, knn_graph, resolve, response, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest,
 )
 from profilekit.session import materialise, scratch_path
 from profilekit.sources.index_store import answer_requests, build_index, current_version, index_info, promote, read_index, read_manifest, rebuild
@@ -167,6 +167,26 @@ def _prefiltered(spark, folder):
     return _answer(search(_everyone(v, want_role=F.col("role")), v, SCORING, 5, mode="pre", attributions=0))
 
 
+@query("search_response", f"""WITH {PAIRS_SQL}, cand AS (SELECT * FROM near WHERE rk <= 4), {_ranked_sql('cand', 3)}
+SELECT q AS query_id, c AS entity_id, 'v' || lpad(c::VARCHAR, 6, '0') AS entity_name, {sql_rounded('hybrid')} AS score, rank, c_role AS role, 'v1' AS index_version FROM final WHERE rank <= 3""")
+def _response(spark, folder):
+    v = vectors(spark, folder)
+    out = response(search(_everyone(v), v, SCORING, 3, attributions=0), "v1")
+    return out.select("query_id", "entity_id", "entity_name", rounded("score").alias("score"), "rank", "metadata.role", "index_version")
+
+
+@query("vector_checks", """WITH e AS (SELECT vec_id, label, embedding FROM embeddings)
+SELECT vec_id, label <> 3 AND embedding[1] <= 0.2 AS usable FROM e""")
+def _vector_checks(spark, folder):
+    """Vectors of label 3 lose a number, vectors with a large first number get a NaN."""
+    e = table(spark, folder, "embeddings")
+    raw = as_double(F.col("embedding"))
+    spoiled = F.when(F.col("label") == 3, F.slice(raw, 1, DIMENSION - 1)).when(
+        F.get(raw, F.lit(0)) > 0.2, F.transform(raw, lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))).otherwise(raw)
+    good, bad = split_vectors(e.select("vec_id", spoiled.alias("vector")), "vector", DIMENSION)
+    return good.select("vec_id", F.lit(True).alias("usable")).unionByName(bad.select("vec_id", F.lit(False).alias("usable")))
+
+
 @query("feature_attribution", f"""WITH {PAIRS_SQL}, cand AS (SELECT * FROM near WHERE rk <= 6), {_ranked_sql('cand', 5)},
 best AS (SELECT q, c, cosine, qv, cv FROM final WHERE rank = 1 AND cosine > 0),
 t AS (SELECT q, c, cosine, unnest(qv) AS a, unnest(cv) AS b, generate_subscripts(qv, 1) AS pos FROM best),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +70,15 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     head = left.limit(SMALL_EDGES + 1).toArrow()
     if head.num_rows <= SMALL_EDGES:
         found = _small_components(head.column("a").to_pylist(), head.column("b").to_pylist())
-        kind = nodes.schema["node"].dataType.simpleString()
-        known = nodes.sparkSession.createDataFrame(found, f"node {kind}, up {kind}")
+        kind = head.schema.field("a").type
+        known = nodes.sparkSession.createDataFrame(
+            pa.table({"node": pa.array(list(found), kind), "up": pa.array(list(found.values()), kind)})
+        )
         return nodes.join(known, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
     return _large_components(nodes, left.distinct())
 
 
-def _small_components(ends_a: Sequence, ends_b: Sequence) -> list[tuple]:
+def _small_components(ends_a: Sequence, ends_b: Sequence) -> dict:
     """Component of every node of a graph whose size has been checked."""
     up: dict = {}
 
@@ -89,7 +92,7 @@ def _small_components(ends_a: Sequence, ends_b: Sequence) -> list[tuple]:
         a, b = top(a), top(b)
         if a != b:
             up[max(a, b)] = min(a, b)
-    return [(x, top(x)) for x in list(up)]
+    return {x: top(x) for x in list(up)}
 
 
 def _large_components(nodes: DataFrame, left: DataFrame) -> DataFrame:
@@ -150,35 +153,21 @@ def density_clusters(
     edges = materialise(reachability_edges(neighbours, min_samples))
     cuts = _cuts(edges, levels)
     id_type = df.schema[id_col].dataType
-    member = materialise(df.select(
-        F.col(id_col).alias("id"), F.col(id_col).alias("root"), F.lit(None).cast(id_type).alias("cluster")
-    ))
-    state = member.select(
-        F.col("root").alias("node"), F.lit(1).cast("long").alias("size"),
+    state = df.select(
+        F.col(id_col).alias("node"), F.lit(1).cast("long").alias("size"),
         F.lit(None).cast(id_type).alias("leaf"), F.lit(False).alias("split"),
     )
+    levels = []
     for cut in cuts:
         mapping = components(state.select("node"), edges.filter(F.col("w") <= cut))
-        merged = state.join(mapping, "node").groupBy("root").agg(
-            F.sum("size").alias("size"),
-            F.count("leaf").alias("below"),
-            F.max("split").alias("split"),
-        )
+        linked = materialise(state.join(mapping, "node"))
         grown = F.col("size") >= min_cluster_size
-        split = F.col("split") | (F.col("below") >= 2)
-        new_state = materialise(merged.select(
-            F.col("root").alias("node"), "size",
-            F.when(grown & ~split, F.col("root")).alias("leaf"), split.alias("split"),
-        ))
-        closed = new_state.filter("split").select(F.col("node").alias("root"))
-        # branches that just met keep the clusters they had; everything else moves on
-        member = materialise(_advance(member, mapping, state, closed))
-        edges = materialise(_contract(edges, mapping, cut))
-        state = new_state
-    still_open = state.select(F.col("node").alias("root"), F.col("leaf").alias("open_leaf"))
-    final = materialise(
-        member.join(still_open, "root", "left").select("id", F.coalesce("cluster", "open_leaf").alias("cluster"))
-    )
+        state = linked.groupBy("root").agg(
+            F.sum("size").alias("size"), (F.max("split") | (F.count("leaf") >= 2)).alias("split"),
+        ).select(F.col("root").alias("node"), "size", F.when(grown & ~F.col("split"), F.col("root")).alias("leaf"), "split")
+        edges = materialise(_contract(edges, linked.select("node", "root"), cut))
+        levels.append((linked, state))
+    final = materialise(_settle(levels, state).withColumnRenamed("node", "id"))
     found = final.filter(F.col("cluster").isNotNull()).groupBy("cluster").count()
     names = number_rows(found, [F.col("count").desc(), F.col("cluster")], out).select("cluster", F.col(out).cast("int"))
     labelled = final.join(names, "cluster", "left").select(
@@ -192,20 +181,21 @@ def _cuts(edges: DataFrame, levels: Sequence[float]) -> list[float]:
     return sorted({float(v) for v in found if not math.isnan(v)})
 
 
-def _advance(member: DataFrame, mapping: DataFrame, state: DataFrame, closed: DataFrame) -> DataFrame:
-    """Move members to their new component; a cluster is settled when its component joins another big one."""
-    old = state.select(F.col("node").alias("root"), "leaf")
-    shut = closed.select(F.col("root").alias("new_root"), F.lit(True).alias("shut"))
-    return (
-        member.join(old, "root", "left")
-        .join(mapping.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left")
-        .join(shut, "new_root", "left")
-        .select(
-            "id",
-            F.coalesce("new_root", "root").alias("root"),
-            F.coalesce("cluster", F.when(F.col("shut"), F.col("leaf"))).alias("cluster"),
+def _settle(levels: list[tuple[DataFrame, DataFrame]], top: DataFrame) -> DataFrame:
+    """Cluster of every row, from the coarsest level down.
+
+    A component keeps the cluster of the component it grew into; where big branches
+    met in it, each branch is a cluster of its own and everything else is noise.
+    """
+    cluster = top.select("node", F.col("leaf").alias("cluster"))
+    for linked, state in reversed(levels):
+        parents = state.select(F.col("node").alias("root"), F.col("split").alias("met")).join(
+            cluster.withColumnRenamed("node", "root"), "root"
         )
-    )
+        cluster = linked.join(parents, "root").select(
+            "node", F.coalesce("cluster", F.when(F.col("met"), F.col("leaf"))).alias("cluster")
+        )
+    return cluster
 
 
 def _contract(edges: DataFrame, mapping: DataFrame, cut: float) -> DataFrame:

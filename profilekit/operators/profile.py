@@ -16,10 +16,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: number_or_null(F.col(c)) for c in floats}) if floats else df
 
 
-def eligible_entities(df: DataFrame, entity: str, period: str, min_periods: int) -> DataFrame:
-    """Entities with at least ``min_periods`` distinct periods."""
+def eligible_entities(df: DataFrame, entity: str, period: str, min_periods: int, approximate: bool = False) -> DataFrame:
+    """Entities with at least ``min_periods`` distinct periods; ``approximate`` counts with a sketch."""
+    distinct = F.approx_count_distinct(period, 0.01) if approximate else F.countDistinct(period)
     return (
-        df.groupBy(entity).agg(F.countDistinct(period).alias("total_periods"))
+        df.groupBy(entity).agg(distinct.alias("total_periods"))
         .filter(F.col("total_periods") >= min_periods)
     )
 

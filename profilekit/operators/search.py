@@ -192,6 +192,19 @@ def search(
     return ranked.drop("query_vec", "candidate_vec", "score", "cosine_rank", *limits)
 
 
+def response(results: DataFrame, version: str | None = None) -> DataFrame:
+    """What a user sees of search results: ids, name, scores, rank and the public metadata."""
+    public = [c for c in METADATA if f"candidate_{c}" in results.columns]
+    optional = [c for c in ("attributions",) if c in results.columns]
+    name = F.col("candidate_name") if "candidate_name" in results.columns else F.lit("Unknown")
+    return results.select(
+        "query_id", F.col("item_id").alias("entity_id"), F.coalesce(name, F.lit("Unknown")).alias("entity_name"),
+        F.col("hybrid").alias("score"), F.col("cosine").alias("cosine_similarity"), "rank",
+        F.struct(*[F.col(f"candidate_{c}").alias(c) for c in public]).alias("metadata") if public else F.lit(None).cast("string").alias("metadata"),
+        *optional, F.lit(version).cast("string").alias("index_version"),
+    )
+
+
 def within_limits(limits: Sequence[str]) -> Column:
     """Metadata predicate of a request on a candidate."""
     tests = {
