@@ -67,8 +67,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``SMALL_EDGES`` edges is not worth the rounds.
     """
     left = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    head = left.limit(SMALL_EDGES + 1).toArrow()
-    if head.num_rows <= SMALL_EDGES:
+    if left.count() <= SMALL_EDGES:
+        head = left.toArrow()
         found = _small_components(head.column("a").to_pylist(), head.column("b").to_pylist())
         kind = head.schema.field("a").type
         known = nodes.sparkSession.createDataFrame(

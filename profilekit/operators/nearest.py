@@ -166,9 +166,13 @@ def _collected(df: DataFrame, id_name: str, vec_name: str, limit_names: Sequence
 
 
 def _fits(df: DataFrame, vec_name: str, rows: int) -> bool:
-    """True when a side has few enough rows and numbers to be broadcast."""
-    n, width = df.limit(rows + 1).agg(F.count(F.lit(1)), F.max(F.size(vec_name))).first()
-    return n <= rows and n * max(width or 0, 1) <= BROADCAST_VALUES
+    """True when a side has few enough rows and numbers to be broadcast.
+
+    ``head`` stops reading after the first partitions that hold enough rows, which a
+    limit inside a larger plan would not.
+    """
+    widths = df.select(F.size(vec_name)).head(rows + 1)
+    return len(widths) <= rows and sum(w[0] or 0 for w in widths) <= BROADCAST_VALUES
 
 
 def top_by_score(pairs: DataFrame, k: int) -> DataFrame:
@@ -255,10 +259,18 @@ def _first_copies(items: DataFrame, k: int) -> DataFrame:
     return items.withColumn("_copy", F.row_number().over(order)).filter(F.col("_copy") <= k).drop("_copy")
 
 
-def sample_centres(items: DataFrame, count: int, vec: str = "item_vec", key: str = "item_id") -> np.ndarray:
-    """A repeatable sample of item vectors, at most ``MAX_CELLS`` of them."""
-    rows = items.select(key, vec).orderBy(F.xxhash64(key), key).limit(min(count, MAX_CELLS)).toArrow()
-    return to_matrix(rows.column(vec))
+def sample_centres(items: DataFrame, count: int, n_items: int, vec: str = "item_vec", key: str = "item_id") -> np.ndarray:
+    """A repeatable sample of item vectors, at most ``MAX_CELLS`` of them.
+
+    A hash filter keeps about twice as many rows as wanted, whatever the number of
+    items, before the smallest hashes are taken.
+    """
+    wanted = min(count, MAX_CELLS)
+    share = min(1.0, (2 * wanted + 50) / max(n_items, 1))
+    kept = items.select(key, vec, F.xxhash64(key).alias("_h")).filter(
+        F.pmod("_h", F.lit(1_000_000_007)) <= int(share * 1_000_000_007)
+    )
+    return to_matrix(kept.orderBy("_h", key).limit(wanted).select(vec).toArrow().column(vec))
 
 
 def cell_count(n_items: int) -> int:
@@ -389,7 +401,8 @@ def _tiled(queries: DataFrame, items: DataFrame, k: int, tile_rows: int) -> Data
     asked = reps.drop("copies")
 
     items = _first_copies(items, k)
-    centres = sample_centres(items, cell_count(items.count()))
+    n_items = items.count()
+    centres = sample_centres(items, cell_count(n_items), n_items)
     assigned = materialise(assign_cells(items, centres))
     cells = cell_summary(assigned, centres)
 

@@ -51,7 +51,7 @@ def similarity_edges(df: DataFrame, id_col: str, vector: str, threshold_rows: in
 
     Even the complete form is a top-k of all other rows, never a cross join.
     """
-    n = df.limit(threshold_rows + 1).count()
+    n = len(df.select(F.lit(1)).head(threshold_rows + 1))
     return knn_graph(df, id_col, vector, k if n > threshold_rows else max(n - 1, 1))
 
 

@@ -63,7 +63,7 @@ def test_limits_inside_the_search(frame, points, way):
 def test_cell_search_recall(frame, points):
     i = frame.select(F.col("id").alias("item_id"), F.col("vector").alias("item_vec"))
     q = i.withColumnsRenamed({"item_id": "query_id", "item_vec": "query_vec"})
-    centres = sample_centres(i, 12)
+    centres = sample_centres(i, 12, N)
     assigned = assign_cells(i, centres).cache()
     cells = cell_summary(assigned, centres)
     everything = {(r.query_id, r.item_id) for r in search_cells(q, assigned, cells, K + 1, nprobe=12).filter("query_id <> item_id").collect()}
