@@ -316,7 +316,7 @@ _VEC = "[" + ", ".join(_ALL) + "]"
 
 @query("similar_customers", f"""WITH {_CHAIN},
 vec AS (SELECT entity, {_VEC} AS x FROM scaled),
-u AS (SELECT entity, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x FROM vec),
+u AS (SELECT entity, list_transform(x, lambda e: e / CASE WHEN list_dot_product(x, x) = 0 THEN 1 ELSE sqrt(list_dot_product(x, x)) END) AS x FROM vec),
 p AS (SELECT a.entity AS entity, b.entity AS other, round(list_dot_product(a.x, b.x), 9) AS score, a.x AS ax, b.x AS bx
       FROM u a JOIN u b ON a.entity <> b.entity),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, other) AS rank FROM p),
