@@ -37,7 +37,8 @@ class ToxicityParams:
     least_rows: int = 5
     max_rows: int = 20_000
     smoothing: float = 1.0
-    penalty: float = 1e-4
+    penalty: float = 1e-3
+    lasso: float = 1.0
     rounds: int = 60
 
 
@@ -167,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     found = materialise(per_text(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), make, "doc_id long, found array<int>"))
     to_vector = F.udf(lambda at: Vectors.sparse(width, at, shared.value[1][at].tolist()), VectorUDT())
     rows = found.select((F.col("doc_id") > 0).cast("double").alias("label"), to_vector("found").alias("features"))
-    model = LogisticRegression(maxIter=params.rounds, regParam=params.penalty, standardization=False).fit(rows)
+    model = LogisticRegression(maxIter=params.rounds, regParam=params.penalty, elasticNetParam=params.lasso, standardization=False).fit(rows)
     return ToxicityModel(params, feature_of_slot, np.asarray(model.coefficients.toArray()) * scale, float(model.intercept))
 
 
