@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text becomes the set of its hashed character n-grams (lower case). For every n-gram the ratio
-``r = log(share among toxic rows / share among other rows)`` is counted on the training sample;
-a logistic regression is fitted on the n-grams multiplied by ``r`` (as in NB-SVM). Scoring a text
-is one pass over its characters: hash, look the slot up, sum the weights of the slots present.
+A text becomes the hashed character n-grams of its lower-case form, in which every run of white space
+is one space and a space stands before the first character, so n-grams see where words begin.
+For every n-gram the ratio ``r = log(share among toxic rows / share among other rows)`` is counted on the
+training sample; a logistic regression with a lasso penalty is fitted on ``log(1 + occurrences) * r`` (as
+in NB-SVM). Scoring a text is one pass over its characters: hash, look the slot up, count, sum the weights.
 
 Bounds, all parameters: ``max_rows`` labelled rows are used for training (those with the smallest
 hash of their id, so the sample does not depend on partitions), ``slots`` hash slots, of which the
@@ -31,13 +32,13 @@ _BLOCK = 1 << 18
 class ToxicityParams:
     """Everything the fit depends on, besides the labelled rows."""
 
-    sizes: tuple[int, ...] = (3, 4, 5)
-    slot_bits: int = 21
+    sizes: tuple[int, ...] = (4, 5, 6, 7, 8)
+    slot_bits: int = 22
     features: int = 16_384
     least_rows: int = 5
     max_rows: int = 20_000
     smoothing: float = 1.0
-    penalty: float = 1e-3
+    penalty: float = 3e-4
     lasso: float = 1.0
     rounds: int = 60
 
@@ -52,11 +53,7 @@ class ToxicityModel:
     intercept: float
 
     def raw(self, text: str) -> float:
-        present = np.zeros(len(self.weights), bool)
-        for slots in ngram_slots(text, self.params):
-            present[self.feature_of_slot[slots]] = True
-        present[0] = False
-        return float(self.weights[present].sum() + self.intercept)
+        return float(np.log1p(feature_counts(text, self.feature_of_slot, len(self.weights), self.params)) @ self.weights + self.intercept)
 
     def score(self, text: str) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(text), -700, 700))))
@@ -64,7 +61,7 @@ class ToxicityModel:
 
 def ngram_slots(text: str, params: ToxicityParams):
     """Slots of the text's n-grams, block by block; blocks overlap, so no n-gram is lost."""
-    text = text.lower()
+    text = " " + " ".join(text.lower().split())
     shift, longest = np.uint32(32 - params.slot_bits), max(params.sizes)
     for start in range(0, len(text), _BLOCK):
         codes = np.frombuffer(text[start:start + _BLOCK + longest - 1].encode("utf-32-le"), np.uint32)
@@ -77,6 +74,15 @@ def ngram_slots(text: str, params: ToxicityParams):
                 yield (value * _SPREAD) >> shift
 
 
+def feature_counts(text: str, feature_of_slot: np.ndarray, width: int, params: ToxicityParams) -> np.ndarray:
+    """Occurrences of each feature in the whole text; entry 0, which stands for no feature, is 0."""
+    counts = np.zeros(width, np.int64)
+    for slots in ngram_slots(text, params):
+        found = feature_of_slot[slots]
+        counts += np.bincount(found[found > 0], minlength=width)
+    return counts
+
+
 def held_out(doc_id):
     """Rows whose labels are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -154,20 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         table, _ = shared.value
 
         def work(doc_ids, texts):
-            out = []
+            found, times = [], []
             for text in texts:
-                present = np.zeros(width, bool)
-                for slots in ngram_slots(text, params):
-                    present[table[slots]] = True
-                present[0] = False
-                out.append(np.flatnonzero(present).astype(np.int32))
-            return {"doc_id": doc_ids, "found": out}
+                counts = feature_counts(text, table, width, params)
+                found.append(np.flatnonzero(counts).astype(np.int32))
+                times.append(counts[found[-1]].astype(np.int32))
+            return {"toxic": doc_ids, "found": found, "times": times}
 
         return work
 
-    found = materialise(per_text(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), make, "doc_id long, found array<int>"))
-    to_vector = F.udf(lambda at: Vectors.sparse(width, at, shared.value[1][at].tolist()), VectorUDT())
-    rows = found.select((F.col("doc_id") > 0).cast("double").alias("label"), to_vector("found").alias("features"))
+    found = materialise(per_text(sample.select(F.col("toxic").cast("long").alias("doc_id"), "text"), make, "toxic long, found array<int>, times array<int>"))
+    to_vector = F.udf(lambda at, times: Vectors.sparse(width, at, (np.log1p(times) * shared.value[1][at]).tolist()), VectorUDT())
+    rows = found.select((F.col("toxic") > 0).cast("double").alias("label"), to_vector("found", "times").alias("features"))
     model = LogisticRegression(maxIter=params.rounds, regParam=params.penalty, elasticNetParam=params.lasso, standardization=False).fit(rows)
     return ToxicityModel(params, feature_of_slot, np.asarray(model.coefficients.toArray()) * scale, float(model.intercept))
 
