@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, secret_scan, toxicity
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, mixing, secret_scan, toxicity
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def _secret_scan(spark, folder):
 @query("op8_byte_bpe")
 def _byte_bpe(spark, folder):
     return byte_bpe.round_trip_digests(table(spark, folder, "documents"), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+#: Half of the tokens in English, the rest alike; documents of small sources may be seen up to four times.
+MIX = mixing.MixParams(weights={"lang": {"en": 3, "de": 1, "fr": 1, "es": 1}})
+
+
+@query("op10_mix")
+def _mix(spark, folder):
+    chosen = mixing.mix(table(spark, folder, "documents"), MIX)
+    return chosen.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
