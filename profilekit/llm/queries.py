@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, mixing, secret_scan, toxicity
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, secret_scan, toxicity
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def _exact_dedup(spark, folder):
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op5_jaccard_join")
+def _jaccard_join(spark, folder):
+    return jaccard_join.near_groups(table(spark, folder, "documents"))
+
+
 @query("op6_chat_format")
 def _chat_format(spark, folder):
     said = "</s>[INST] ok [/INST]"

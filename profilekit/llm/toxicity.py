@@ -138,20 +138,19 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         prior = (sizes[1] + 1) / (sizes[0] + sizes[1] + 2)
         return ToxicityModel(params, feature_of_slot, np.zeros(1), float(np.log(prior / (1 - prior))))
 
-    # At most 2 ** slot_bits rows, whatever the table; rare slots are dropped before they get here.
-    counted = (
+    a = params.smoothing
+    ratio = F.log((F.lit(a) + F.col("bad")) / (2 * a + sizes[1])) - F.log((F.lit(a) + F.col("good")) / (2 * a + sizes[0]))
+    # Only the strongest ``features`` slots reach the driver.
+    best = (
         _slot_counts(sample, params).groupBy("slot")
         .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
              F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where(F.col("bad") + F.col("good") >= params.least_rows).toArrow()
+        .where(F.col("bad") + F.col("good") >= params.least_rows)
+        .select("slot", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("bad") + F.col("good"))).alias("evidence"))
+        .orderBy(F.desc("evidence"), "slot").limit(params.features).toArrow()
     )
-    slot, bad, good = (counted[c].to_numpy().astype(np.float64) for c in ("slot", "bad", "good"))
-    a = params.smoothing
-    ratio = np.log((a + bad) / (2 * a + sizes[1])) - np.log((a + good) / (2 * a + sizes[0]))
-    evidence = np.abs(ratio) * np.sqrt(bad + good)
-    best = np.lexsort((slot, -evidence))[:params.features]
-    feature_of_slot[slot[best].astype(np.int64)] = np.arange(1, len(best) + 1)
-    scale = np.r_[0.0, ratio[best]]
+    feature_of_slot[best["slot"].to_numpy()] = np.arange(1, best.num_rows + 1)
+    scale = np.r_[0.0, best["ratio"].to_numpy()]
     width = len(scale)
 
     shared = sample.sparkSession.sparkContext.broadcast((feature_of_slot, scale))
