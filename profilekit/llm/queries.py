@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, secret_scan, toxicity
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, secret_scan, suffix_dedup, toxicity
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,11 @@ def _chat_format(spark, folder):
     return chat_template.read_back(chat_template.format_conversations(rows))
 
 
+@query("op7_suffix_dedup")
+def _suffix_dedup(spark, folder):
+    return suffix_dedup.repeated_spans(table(spark, folder, "documents")).drop("spans")
+
+
 @query("op9_secret_scan")
 def _secret_scan(spark, folder):
     return secret_scan.scan(table(spark, folder, "documents"))
