@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, secret_scan, suffix_dedup, toxicity
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def _toxicity(spark, folder):
     return scored.select("doc_id", F.coalesce(toxicity.held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query("op2_page_text")
+def _page_text(spark, folder):
+    return page_text.main_text(table(spark, folder, "pages"))
+
+
 @query("op3_fingerprints")
 def _fingerprints(spark, folder):
     return ctph.with_next(table(spark, folder, "documents"))
