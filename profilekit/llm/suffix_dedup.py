@@ -239,6 +239,16 @@ def _owners(n: int, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, para
     return own[own >= 0], edge[own >= 0], stop[own >= 0]
 
 
+def _lots(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[pa.RecordBatch, int, int]]:
+    """Ranges of rows of the batches with at most ``most`` bytes in a text column, one row at least."""
+    for batch in batches:
+        sizes, at = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column)], np.int64), 0
+        while at < batch.num_rows:
+            stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+            yield batch, at, stop
+            at = stop
+
+
 def _as_runs(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Maximal runs of consecutive starts per text."""
     order = np.lexsort((start, doc))
@@ -286,10 +296,10 @@ def _repeated_runs(candidates: DataFrame, params: RepeatParams, parts: int) -> D
     """(doc, low, high): runs of starts whose strings also start elsewhere; runs may overlap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, first, last in _lots(batches, 1, 8 << 20):
             units, keys, data, hot, first_of = [], [], [], [], {}
             known: list[tuple[int, int, int]] = []
-            for row in range(batch.num_rows):
+            for row in range(first, last):
                 doc, text, marks = (batch.column(c)[row].as_py() for c in ("doc", "text", "pairs"))
                 raw = text.encode()
                 marks = sorted({(m["key"], m["start"], m["end"], m["hot"]) for m in marks})
