@@ -48,7 +48,7 @@ def filter_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def merge_filters(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Merge filters by sorted remainders; counts of equal remainders add up, nothing is lost."""
-    if not parts:
+    if not sum(len(p[0]) for p in parts):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     values = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
