@@ -71,7 +71,7 @@ def ngram_slots(text: str, params: ToxicityParams):
                 break
             value = value[:-1] * _MULTIPLIER + codes[size - 1:]
             if size in params.sizes:
-                yield (value * _SPREAD) >> shift
+                yield (value[:_BLOCK] * _SPREAD) >> shift
 
 
 def feature_counts(text: str, feature_of_slot: np.ndarray, width: int, params: ToxicityParams) -> np.ndarray:
