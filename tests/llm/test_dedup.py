@@ -238,13 +238,15 @@ def test_repeated_spans_defined_cases(spark):
     assert suffix_dedup.repeated_spans(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup.RepeatParams(length=200)
-    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh") for _ in range(500))
     got = suffix_dedup.repeated_spans(table(spark, [(None, text), (1, text), (1, text), (2, text[:399])])).collect()
     assert sorted((r.n_removed, r.n_spans) for r in got) == [(0, 0), (500, 1), (500, 1), (500, 1)]
 
 
 def test_phrases_do_not_depend_on_blocks(monkeypatch):
-    data = np.frombuffer("".join(random.Random(2).choice("abcdef ") for _ in range(9_000)).encode(), np.uint8)
+    r = random.Random(2)
+    data = np.frombuffer("".join(r.choice("abcdef ") for _ in range(9_000)).encode(), np.uint8)
     marks, hashes = suffix_dedup.phrases(data, suffix_dedup.RepeatParams())
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 700)
     again, others = suffix_dedup.phrases(data, suffix_dedup.RepeatParams())

@@ -63,7 +63,8 @@ def test_toxicity_defined_cases(spark):
 
 
 def test_ngrams_do_not_depend_on_blocks(monkeypatch):
-    text = "".join(random.Random(1).choice("abc de") for _ in range(3_000))
+    r = random.Random(1)
+    text = "".join(r.choice("abc de") for _ in range(3_000))
     params = toxicity.ToxicityParams()
     whole = np.sort(np.concatenate(list(toxicity.ngram_slots(text, params))))
     monkeypatch.setattr(toxicity, "_BLOCK", 50)
