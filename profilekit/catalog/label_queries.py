@@ -128,9 +128,9 @@ def _summary(spark, folder):
 
 
 @query("cluster_order", f"""WITH {MEMBERS_SQL}, s AS (SELECT la, count(*) AS size FROM mem GROUP BY la)
-SELECT la, size FROM s ORDER BY la = -1, size DESC, la LIMIT 5""")
+SELECT la, size, row_number() OVER (ORDER BY la = -1, size DESC, la) AS position FROM s""")
 def _order(spark, folder):
-    return size_order(members(spark, folder).groupBy("la").agg(F.count(F.lit(1)).alias("size")), "la").limit(5)
+    return size_order(members(spark, folder).groupBy("la").agg(F.count(F.lit(1)).alias("size")), "la")
 
 
 @query("entity_profile", f"""WITH {MEMBERS_SQL}, r AS (SELECT x.id, x.la, 'f' || lpad((x.pos - 1)::VARCHAR, 2, '0') AS feature, x.pos, (x.x - gm) / gs AS z FROM x JOIN g ON x.pos = g.pos),

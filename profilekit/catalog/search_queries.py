@@ -42,13 +42,14 @@ def _knn_tiled(spark, folder):
 @query("pairwise_cosine", f"WITH {PAIRS_SQL} SELECT q AS src, c AS dst, {sql_rounded('score')} AS score FROM near WHERE rk <= 49")
 def _edges(spark, folder):
     """The similarity edges in their sparse form: 49 real neighbours per row."""
-    return similarity_edges(vectors(spark, folder), "id", "vector", threshold_rows=0).select("src", "dst", rounded("score").alias("score"))
+    return similarity_edges(vectors(spark, folder), "id", "vector").select("src", "dst", rounded("score").alias("score"))
 
 
 @query("topk_global", f"""WITH {PAIRS_SQL}
-SELECT q AS src, c AS dst, {sql_rounded('score')} AS score FROM near WHERE rk <= 10 ORDER BY score DESC, q, c LIMIT 25""")
+SELECT q AS src, c AS dst, {sql_rounded('score')} AS score FROM near WHERE rk <= 25 ORDER BY score DESC, q, c LIMIT 25""")
 def _topk_global(spark, folder):
-    edges = knn_graph(vectors(spark, folder), "id", "vector", 10)
+    # As many per row as are wanted in all: no row can hold more of them.
+    edges = knn_graph(vectors(spark, folder), "id", "vector", 25)
     return top_rows(edges, [F.col("score").desc(), F.col("src"), F.col("dst")], 25).select("src", "dst", rounded("score").alias("score"))
 
 
@@ -188,26 +189,26 @@ def _vector_checks(spark, folder):
 
 
 @query("feature_attribution", f"""WITH {PAIRS_SQL}, cand AS (SELECT * FROM near WHERE rk <= 6), {_ranked_sql('cand', 5)},
-best AS (SELECT q, c, cosine, qv, cv FROM final WHERE rank = 1 AND cosine > 0),
+best AS (SELECT q, c, cosine, qv, cv FROM final WHERE rank <= 5 AND cosine > 0),
 t AS (SELECT q, c, cosine, unnest(qv) AS a, unnest(cv) AS b, generate_subscripts(qv, 1) AS pos FROM best),
-f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(abs(a * b / cosine), 9) DESC, pos) AS place FROM t)
+f AS (SELECT *, row_number() OVER (PARTITION BY q, c ORDER BY round(abs(a * b / cosine), 9) DESC, pos) AS place FROM t)
 SELECT q AS query_id, c AS item_id, place, 'f' || lpad((pos - 1)::VARCHAR, 2, '0') AS feature, {sql_rounded('a * b / cosine')} AS contribution,
        {sql_rounded('a')} AS query_value, {sql_rounded('b')} AS candidate_value FROM f WHERE place <= 5""")
 def _attribution(spark, folder):
     v = vectors(spark, folder)
-    found = search(_everyone(v), v, SCORING, 5, features=FEATURE_NAMES).filter("rank = 1")
+    found = search(_everyone(v), v, SCORING, 5, features=FEATURE_NAMES)
     rows = found.select("query_id", "item_id", F.posexplode("attributions").alias("place", "a"))
     return rows.select(
         "query_id", "item_id", (F.col("place") + 1).alias("place"), "a.feature", rounded("a.contribution").alias("contribution"),
         rounded("a.query_value").alias("query_value"), rounded("a.candidate_value").alias("candidate_value"))
 
 
-@query("block_attribution", f"""WITH {PAIRS_SQL}, best AS (SELECT * FROM near WHERE rk = 1)
+@query("block_attribution", f"""WITH {PAIRS_SQL}, best AS (SELECT * FROM near WHERE rk <= 5)
 SELECT q AS query_id, c AS item_id, {', '.join(f"{sql_rounded(f'list_dot_product(list_slice(qv, {8 * b + 1}, {8 * b + 8}), list_slice(cv, {8 * b + 1}, {8 * b + 8})) / list_dot_product(qv, cv)')} AS b{b}" for b in range(8))}
 FROM best WHERE score > 0""")
 def _block_attribution(spark, folder):
     q, i = _sides(vectors(spark, folder))
-    pairs = nearest(q, i, 1).filter("score > 0").join(q, "query_id").join(i, "item_id")
+    pairs = nearest(q, i, 5).filter("score > 0").join(q, "query_id").join(i, "item_id")
     return pairs.select("query_id", "item_id", *[
         rounded(block_share(F.col("query_vec"), F.col("item_vec"), at)).alias(b) for b, at in BLOCKS.items()])
 
@@ -219,13 +220,13 @@ def _block_units(spark, folder):
     return v.select("id", *[rounded(F.get(block_unit(F.col("vector"), at), F.lit(2)), 6).alias(b) for b, at in BLOCKS.items()])
 
 
-@query("share_display", f"""WITH {PAIRS_SQL}, best AS (SELECT * FROM near WHERE rk = 1 AND score > 0),
+@query("share_display", f"""WITH {PAIRS_SQL}, best AS (SELECT * FROM near WHERE rk <= 5 AND score > 0),
 t AS (SELECT q, c, score, unnest(qv) * unnest(cv) / list_dot_product(qv, cv) AS part, generate_subscripts(qv, 1) AS pos FROM best),
-f AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(abs(part), 9) DESC, pos) AS place FROM t)
+f AS (SELECT *, row_number() OVER (PARTITION BY q, c ORDER BY round(abs(part), 9) DESC, pos) AS place FROM t)
 SELECT q AS query_id, c AS item_id, pos - 1 AS feature, {sql_rounded('least(abs(part) * 100, 100)', 3)} AS width, place = 1 AS is_largest, round(score * 100) AS percent FROM f WHERE place <= 5""")
 def _share(spark, folder):
     q, i = _sides(vectors(spark, folder))
-    pairs = nearest(q, i, 1).filter("score > 0").join(q, "query_id").join(i, "item_id")
+    pairs = nearest(q, i, 5).filter("score > 0").join(q, "query_id").join(i, "item_id")
     top = top_contributions(F.col("query_vec"), F.col("item_vec"), None, 5)
     rows = pairs.select("query_id", "item_id", "score", F.posexplode(top).alias("place", "a"))
     return rows.select(

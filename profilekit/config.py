@@ -32,7 +32,7 @@ class RunParams:
     min_consensus: float = 0.5
     top_n_features: int = 4
     neighbours: int = 49
-    large_n_threshold: int = 10_000
+    micro_clusters: int = 200
     quantile_range: tuple[float, float] = (5.0, 95.0)
     block_weights: Mapping[str, float] = field(default_factory=dict)
     missing_rate_warn: float = 0.30
@@ -47,6 +47,8 @@ class RunParams:
             problems.append("pca_variance must lie in (0.50, 0.99]")
         if not 1 <= self.min_periods <= 30:
             problems.append("min_periods must lie in 1..30")
+        if not self.n_clusters <= self.micro_clusters <= 1_000:
+            problems.append("micro_clusters must lie between n_clusters and 1000")
         if self.min_cluster_size < 5:
             problems.append("min_cluster_size must be at least 5")
         if self.seed < 0:

@@ -63,17 +63,33 @@ def average_linkage(agreement: np.ndarray, counts: np.ndarray, k: int) -> np.nda
     """
     n = len(counts)
     weight = counts.astype(float).copy()
-    gap = 1.0 - agreement
+    gap = np.round(1.0 - agreement, 12)
     np.fill_diagonal(gap, np.inf)
     owner = np.arange(n)
+    # Smallest rounded distance of each row and where it is; only rows that a merge touches are looked at again.
+    seen = np.round(gap, 9)
+    place = seen.argmin(axis=1)
+    least = seen[owner, place]
     for _ in range(max(n - k, 0)):
-        a, b = sorted(divmod(int(np.round(gap, 9).argmin()), n))
+        first = int(least.argmin())
+        a, b = sorted((first, int(place[first])))
         merged = (weight[a] * gap[a] + weight[b] * gap[b]) / (weight[a] + weight[b])
         merged[[a, b]] = np.inf
         gap[a, :] = gap[:, a] = merged
         gap[b, :] = gap[:, b] = np.inf
+        rounded = np.round(merged, 9)
+        seen[a, :] = seen[:, a] = rounded
+        seen[b, :] = seen[:, b] = np.inf
         weight[a] += weight[b]
         owner[owner == b] = a
+        stale = np.flatnonzero((place == a) | (place == b))
+        place[stale] = seen[stale].argmin(axis=1)
+        least[stale] = seen[stale, place[stale]]
+        better = (rounded < least) | ((rounded == least) & (a < place) & np.isfinite(rounded))
+        least[better], place[better] = rounded[better], a
+        for row in (a, b):
+            place[row] = seen[row].argmin()
+            least[row] = seen[row, place[row]]
     return np.unique(owner, return_inverse=True)[1]
 
 

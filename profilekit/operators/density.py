@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,6 @@ from profilekit.operators.nearest import nearest
 from profilekit.operators.relational import number_rows
 from profilekit.session import materialise
 
-SMALL_EDGES = 200_000
 LEVELS = (0.1, 0.25, 0.4, 0.55, 0.7, 0.8, 0.9, 1.0)
 
 
@@ -61,41 +59,11 @@ def reachability_edges(neighbours: DataFrame, min_samples: int) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Connected components ``(node, root)``, the root being the smallest id.
 
-    Large graphs: hook every node to its smallest neighbour, follow the pointers,
+    Hook every node to its smallest neighbour, follow the pointers,
     contract, repeat. Pointers only go to smaller ids, so following them ends at a
-    root, and the rounds stop when no edge is left. A graph of at most
-    ``SMALL_EDGES`` edges is not worth the rounds.
+    root, and the rounds stop when no edge is left.
     """
-    left = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    if left.count() <= SMALL_EDGES:
-        head = left.toArrow()
-        found = _small_components(head.column("a").to_pylist(), head.column("b").to_pylist())
-        kind = head.schema.field("a").type
-        known = nodes.sparkSession.createDataFrame(
-            pa.table({"node": pa.array(list(found), kind), "up": pa.array(list(found.values()), kind)})
-        )
-        return nodes.join(known, "node", "left").select("node", F.coalesce("up", "node").alias("root"))
-    return _large_components(nodes, left.distinct())
-
-
-def _small_components(ends_a: Sequence, ends_b: Sequence) -> dict:
-    """Component of every node of a graph whose size has been checked."""
-    up: dict = {}
-
-    def top(x):
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in zip(ends_a, ends_b):
-        a, b = top(a), top(b)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-    return {x: top(x) for x in list(up)}
-
-
-def _large_components(nodes: DataFrame, left: DataFrame) -> DataFrame:
+    left = edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct()
     root = nodes.select("node", F.col("node").alias("root"))
     while True:
         left = materialise(left)
@@ -137,7 +105,7 @@ def density_clusters(
     vector: str,
     min_cluster_size: int = 25,
     min_samples: int = 3,
-    max_dims: int = 10,
+    max_dims: int | None = None,
     k: int | None = None,
     levels: Sequence[float] = LEVELS,
     out: str = "label",
@@ -146,9 +114,10 @@ def density_clusters(
 
     A component counts as a leaf when it has the minimum size and no two (or more)
     big components of the finer levels meet in it; the widest such component along
-    a branch is the cluster.
+    a branch is the cluster. ``max_dims`` limits the distance to the first numbers of
+    the vector, which suits component scores alone.
     """
-    used = df.select(id_col, F.slice(F.col(vector), 1, max_dims).alias("_p"))
+    used = df.select(id_col, (F.col(vector) if max_dims is None else F.slice(F.col(vector), 1, max_dims)).alias("_p"))
     neighbours = materialise(euclidean_neighbours(used, id_col, "_p", k or max(min_samples, 10)))
     edges = materialise(reachability_edges(neighbours, min_samples))
     cuts = _cuts(edges, levels)

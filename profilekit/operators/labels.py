@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from profilekit.config import ADJUSTED_SUFFIX, NOISE
 from profilekit.functions.scalar import direction, join_words, readable_traits
 from profilekit.functions.vector import euclidean
-from profilekit.operators.relational import top_per_group, value_counts
+from profilekit.operators.relational import number_rows, top_per_group, value_counts
 from profilekit.operators.scale import vector_moments
 from profilekit.session import materialise
 
@@ -167,8 +167,8 @@ def cluster_summary(
 
 
 def size_order(df: DataFrame, label: str, size: str = "size") -> DataFrame:
-    """Largest cluster first, noise last."""
-    return df.orderBy((F.col(label) == NOISE).cast("int"), F.col(size).desc(), label)
+    """All clusters with their ``position``: largest first, noise last."""
+    return number_rows(df, [(F.col(label) == NOISE).cast("int"), F.col(size).desc(), F.col(label)], "position")
 
 
 def with_defaults(neighbours: DataFrame, points: DataFrame, key: str, defaults: Mapping[str, object]) -> DataFrame:

@@ -46,13 +46,10 @@ def knn_graph(df: DataFrame, id_col: str, vector: str, k: int = 49, **kwargs) ->
     return nearest(queries, items, k, **kwargs).withColumnsRenamed({"query_id": "src", "item_id": "dst"})
 
 
-def similarity_edges(df: DataFrame, id_col: str, vector: str, threshold_rows: int = 10_000, k: int = 49) -> DataFrame:
-    """The similarity matrix as edges: complete for small inputs, the nearest ``k`` per row beyond the threshold.
-
-    Even the complete form is a top-k of all other rows, never a cross join.
-    """
-    n = len(df.select(F.lit(1)).head(threshold_rows + 1))
-    return knn_graph(df, id_col, vector, k if n > threshold_rows else max(n - 1, 1))
+def similarity_edges(df: DataFrame, id_col: str, vector: str, k: int = 49, min_score: float | None = None) -> DataFrame:
+    """The similarity matrix as edges: the nearest ``k`` rows of every row, whatever the number of rows."""
+    edges = knn_graph(df, id_col, vector, k)
+    return edges if min_score is None else edges_above(edges, min_score)
 
 
 def edges_above(edges: DataFrame, score: float) -> DataFrame:

@@ -43,13 +43,12 @@ def cluster_entities(df: DataFrame, id_col: str, params: RunParams, vector: str
 
     The density labels take part only when they pass the gate.
     """
-    micro = max(params.n_clusters, min(1000, df.count() // 5))
     labelled, _ = kmeans(df, vector, params.n_clusters, params.seed, out="kmeans_label")
-    labelled = ward(labelled, vector, params.n_clusters, micro, params.seed, out="ward_label")
+    labelled = ward(labelled, vector, params.n_clusters, params.micro_clusters, params.seed, out="ward_label")
     members = ["ward_label", "kmeans_label"]
     if params.use_density:
         dense = density_clusters(
-            df, id_col, vector, params.min_cluster_size, params.min_samples, out="density_label"
+            df, id_col, vector, params.min_cluster_size, params.min_samples, max_dims=10, out="density_label"
         ).select(id_col, "density_label")
         labelled = materialise(labelled.join(dense, id_col))
         if passes_gate(labelled, "density_label"):
@@ -85,7 +84,7 @@ def run(facts: Sequence[DataFrame], dimension: DataFrame | None, cfg: ProfileCon
         entities=entities,
         ensemble=ensemble,
         consensus=consensus_report(entities, ensemble, "label"),
-        similarity=similarity_edges(entities, cfg.entity, "pca", params.large_n_threshold, params.neighbours),
+        similarity=similarity_edges(entities, cfg.entity, "pca", params.neighbours),
         profiles=profiles,
         summary=cluster_summary(profiles, prepared, "label", cfg.display_names),
         evaluation=evaluate(entities, "pca", "label", flag=flag, cohort="cohort"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from profilekit.config import check_manifest
 from profilekit.functions.vector import as_double, unit
 from profilekit.operators.retrieval import capture_baseline, compare_baseline, gate
-from profilekit.sources.steps import path_exists
+from profilekit.sources.steps import move_path, path_exists, remove_path
 
 MANIFEST_SCHEMA = "version string, feature_names array<string>, n_vectors bigint, dimension int, built_at timestamp"
 
@@ -30,15 +31,36 @@ def index_rows(df: DataFrame, id_col: str, vector: str, metadata: Sequence[Colum
     return df.select(F.col(id_col).alias("id"), unit(as_double(F.col(vector))).alias("vector"), *metadata)
 
 
+def content_version(rows: DataFrame, features: Sequence[str]) -> str:
+    """12 hex digits over every column of every row and the feature names, the same whatever the row order."""
+    shown = [F.transform("vector", lambda x: F.round(x, 6)).alias(c) if c == "vector" else F.col(c) for c in sorted(rows.columns)]
+    row = F.xxhash64(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+    names = F.lit(json.dumps([*sorted(rows.columns), "", *features]))
+    return rows.agg(F.sum(row).alias("s"), F.count(F.lit(1)).alias("n")).select(
+        F.substring(F.sha2(F.concat_ws("|", F.col("s").cast("string"), F.col("n").cast("string"), names), 256), 1, 12)
+    ).first()[0]
+
+
 def build_index(rows: DataFrame, folder: str, features: Sequence[str]) -> str:
-    """Write a new version and its manifest; returns the version. The current pointer is left alone."""
-    spark = rows.sparkSession
-    version = fingerprint(rows, "id", "vector").first()[0]
-    path = f"{folder.rstrip('/')}/entities/version={version}"
-    rows.write.mode("overwrite").parquet(path)
-    n = spark.read.parquet(path).count()
-    manifest = spark.createDataFrame([(version, list(features), n, len(features))], "version string, feature_names array<string>, n_vectors bigint, dimension int")
-    manifest.withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/manifest/version={version}")
+    """Write a new version and its manifest; returns the version. Nothing that exists is touched.
+
+    Rows are written aside first, so the version is the hash of what was written, and ``rows`` may come from the
+    index itself. A version that is already there, complete, stays as it is.
+    """
+    spark, folder = rows.sparkSession, folder.rstrip("/")
+    aside = f"{folder}/aside/{uuid.uuid4().hex}"
+    rows.write.parquet(aside)
+    written = spark.read.parquet(aside)
+    version = content_version(written, features)
+    path, manifest_path = f"{folder}/entities/version={version}", f"{folder}/manifest/version={version}"
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        remove_path(spark, aside)
+    else:
+        move_path(spark, aside, path)
+    if not path_exists(spark, f"{manifest_path}/_SUCCESS"):
+        n = spark.read.parquet(path).count()
+        manifest = spark.createDataFrame([(version, list(features), n, len(features))], "version string, feature_names array<string>, n_vectors bigint, dimension int")
+        manifest.withColumn("built_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(manifest_path)
     return version
 
 
@@ -102,10 +124,15 @@ def answer_requests(requests: DataFrame, path: str, compute) -> DataFrame:
     """Stored answers plus newly computed ones; new answers are appended to the table.
 
     ``requests`` carry ``request_key``, which includes the index version. ``compute`` maps
-    requests to answers with their key.
+    requests to answers with their key. The table has one row per request with all of its
+    answers, also where there are none, so nothing is computed twice.
     """
     spark = requests.sparkSession
-    known = path_exists(spark, path)
-    missing = unanswered(requests, spark.read.parquet(path)) if known else requests
-    compute(missing).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(requests.select("request_key").distinct(), "request_key", "left_semi")
+    asked = requests.dropDuplicates(["request_key"])
+    missing = unanswered(asked, spark.read.parquet(path)) if path_exists(spark, path) else asked
+    found = compute(missing)
+    lists = found.groupBy("request_key").agg(F.collect_list(F.struct(*[c for c in found.columns if c != "request_key"])).alias("answers"))
+    rows = missing.select("request_key").join(lists, "request_key", "left")
+    rows.withColumn("answers", F.coalesce("answers", F.array().cast(lists.schema["answers"].dataType))).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path).join(requests.select("request_key").distinct(), "request_key", "left_semi")
+    return stored.select("request_key", F.explode("answers").alias("answer")).select("request_key", "answer.*")

@@ -12,6 +12,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Give a folder a new name; fails when the name is taken, so nothing is overwritten."""
+    old, new = spark._jvm.org.apache.hadoop.fs.Path(source), spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(new.getParent())
+    if files.exists(new) or not files.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def step(spark: SparkSession, folder: str, name: str, config: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The result of a step: read when this configuration has finished it, otherwise computed and written.
 

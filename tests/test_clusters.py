@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from profilekit.operators.cluster import kmeans, passes_gate, ward, ward_merges
 from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, own_agreement
 from profilekit.operators.density import components, density_clusters
-from profilekit.operators import density
 from profilekit.operators.graph import ego_edges, ego_nodes, merge_graphs
 from profilekit.operators.labels import cluster_zscores, compare_clusters, name_clusters
 from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names
@@ -76,15 +75,47 @@ def test_ward_on_points_matches_brute_force():
     assert {frozenset(np.nonzero(got == k)[0].tolist()) for k in range(5)} == {frozenset(g) for g in groups}
 
 
-def test_components_large_way_equals_small_way(spark, monkeypatch):
+def test_components_equal_union_find(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, size=(260, 2))] + [(i, i + 1) for i in range(500, 560)]
     e = spark.createDataFrame(edges, "a long, b long")
     nodes = spark.range(600).withColumnRenamed("id", "node")
-    small = {r.node: r.root for r in components(nodes, e).collect()}
-    monkeypatch.setattr(density, "SMALL_EDGES", 5)
-    large = {r.node: r.root for r in components(nodes, e).collect()}
-    assert small == large and small[559] == 500 and small[599] == 599
+    up = list(range(600))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    found = {r.node: r.root for r in components(nodes, e).collect()}
+    assert found == {x: top(x) for x in range(600)} and found[559] == 500 and found[599] == 599
+
+
+def test_average_linkage_equals_the_plain_way():
+    def plain(agreement, counts, k):
+        n, weight, gap = len(counts), counts.astype(float).copy(), np.round(1.0 - agreement, 12)
+        np.fill_diagonal(gap, np.inf)
+        owner = np.arange(n)
+        for _ in range(max(n - k, 0)):
+            a, b = sorted(divmod(int(np.round(gap, 9).argmin()), n))
+            merged = (weight[a] * gap[a] + weight[b] * gap[b]) / (weight[a] + weight[b])
+            merged[[a, b]] = np.inf
+            gap[a, :] = gap[:, a] = merged
+            gap[b, :] = gap[:, b] = np.inf
+            weight[a] += weight[b]
+            owner[owner == b] = a
+        return np.unique(owner, return_inverse=True)[1]
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 30, 80):
+        tuples = rng.integers(-1, 4, size=(n, 3))
+        agreement = sum((c[:, None] == c[None, :]) & (c[:, None] != -1) for c in tuples.T) / 3
+        counts = rng.integers(1, 9, n)
+        for k in (1, 3):
+            assert average_linkage(agreement.copy(), counts, k).tolist() == plain(agreement.copy(), counts, k).tolist()
 
 
 LABELS = [(0, 0, 0), (0, 0, 0), (0, 0, -1), (0, 1, 0), (1, 1, 1), (1, 1, 1), (1, 1, -1), (1, 0, 1), (2, 2, 2), (2, 2, -1), (-1, -1, -1), (0, 2, 1)]

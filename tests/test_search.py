@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from profilekit.functions.vector import block_share, top_contributions, unit, well_formed
 from profilekit.operators.nearest import assign_cells, cell_summary, nearest, sample_centres, search_cells
 from profilekit.operators.search import Scoring, compare_two, edges_above, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest
-from profilekit.sources.index_store import build_index, current_version, index_rows, promote, read_index, read_manifest, rebuild
+from profilekit.sources.index_store import answer_requests, build_index, current_version, index_rows, promote, read_index, read_manifest, rebuild
 
 N, D, K = 700, 8, 5
 
@@ -81,10 +81,11 @@ def test_string_ids_and_partition_independence(spark, frame):
     assert a == b and len(a) == 3 * N
 
 
-def test_full_matrix_and_switch(frame):
+def test_edges_do_not_depend_on_the_number_of_rows(frame):
     few = frame.filter("id < 20")
-    assert similarity_edges(few, "id", "vector").count() == 20 * 19
-    assert similarity_edges(few, "id", "vector", threshold_rows=10, k=4).count() == 80
+    assert similarity_edges(few, "id", "vector").count() == 20 * 19  # fewer than k others
+    assert similarity_edges(few, "id", "vector", k=4).count() == 80
+    assert similarity_edges(few, "id", "vector", min_score=0.99).filter("score < 0.99").count() == 0
     assert edges_above(similarity_edges(few, "id", "vector"), 0.99).filter("score < 0.99").count() == 0
 
 
@@ -196,3 +197,33 @@ def test_index_versions_and_gate(spark, frame, tmp_path):
     assert not rejected["promoted"] and current_version(spark, folder) == first["version"]
     promote(spark, folder, build_index(broken, folder, names))
     assert current_version(spark, folder) == rejected["version"]
+
+
+def test_rebuild_never_touches_what_is_live(spark, frame, tmp_path):
+    folder, names = str(tmp_path), [f"f{i}" for i in range(D)]
+    rows = index_rows(frame, "id", "vector", [F.col("role")])
+
+    def ask(index):
+        return knn_graph(index.filter("id < 60"), "id", "vector", 3).select(F.col("src").alias("query_id"), F.col("dst").alias("item_id"), "rank")
+
+    first = rebuild(rows, folder, names, ask)
+    before = sorted((r.id, r.role) for r in read_index(spark, folder, first["version"]).collect())
+    second = rebuild(rows.withColumn("role", F.lit("other")), folder, names, ask)
+    assert second["version"] != first["version"] and second["promoted"]
+    assert sorted((r.id, r.role) for r in read_index(spark, folder, first["version"]).collect()) == before
+    third = rebuild(read_index(spark, folder).withColumn("more", F.lit(1)), folder, names, ask)
+    assert third["promoted"] and read_index(spark, folder).count() == N == read_index(spark, folder, second["version"]).count()
+
+
+def test_requests_without_answers_are_answered_once(spark, tmp_path):
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "request_key string, n long")
+    calls = []
+
+    def compute(missing):
+        calls.append(missing.count())
+        return missing.filter("n = 2").select("request_key", (F.col("n") * 10).alias("answer"))
+
+    path = f"{tmp_path}/answers"
+    for _ in range(2):
+        assert [tuple(r) for r in answer_requests(asked, path, compute).collect()] == [("b", 20)]
+    assert calls == [2, 0]
