@@ -139,7 +139,9 @@ def parity_sketch(shingles: np.ndarray) -> bytes:
 # --- signatures that meet -------------------------------------------------------------------------------
 
 _BLOB = "part int, direct boolean, data binary"
-_PAIR = np.dtype([("signature", "<u8"), ("member", "<i8"), ("role", "<i8")])
+_PAIR = np.dtype([("signature", "<u8"), ("member", "<i8"), ("role", "u1")])
+#: Signature rows a task holds before it sends them on.
+_HELD_ROWS = 400_000
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,42 +162,50 @@ def _meeting(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _signature_blobs(texts: DataFrame, params: JoinParams, parts: int) -> DataFrame:
-    """Packed signature rows by part. Rows of a signature that several sets of a batch have are ``direct``; for each
-    signature the batch sends one row on, so a signature of a third of all sets stays small in its part."""
+    """Packed signature rows by part. Rows of a signature that several sets of one lot have are ``direct`` and spread by member; for
+    each signature the lot sends one row on by signature, so one of a third of all sets stays small in its part."""
+
+    def parted(table: np.ndarray, key: np.ndarray, direct: bool) -> list[tuple[int, bool, bytes]]:
+        part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        table, part = table[order], part[order]
+        return [(int(part[at]), direct, table[at:at + length].tobytes()) for at, length in zip(*_runs(part))]
+
+    def sent(tables: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        table, starts, several, _ = _meeting(np.concatenate(tables))
+        if not len(starts):
+            return
+        known = table[np.repeat(several, np.diff(np.r_[starts, len(table)]))]
+        # The first row of each signature, with all roles seen there, speaks for the lot.
+        heads = table[starts]
+        heads["role"] = np.bitwise_or.reduceat(table["role"], starts)
+        rows = parted(heads, heads["signature"], False) + parted(known, mix(known["member"].view(np.uint64)), True)
+        schema = arrow_schema(_BLOB)
+        for at in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at:at + 64]), schema)], schema=schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, schema, seen = Bands(params), arrow_schema(_BLOB), set()
+        bands, seen, tables, held = Bands(params), set(), [], 0
         for batch in batches:
-            tables = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shingles = shingle_set(text, params.words)
+            ids = batch.column(0)
+            for row in range(batch.num_rows):
+                shingles = shingle_set(batch.column(1)[row].as_py(), params.words)
                 key = hash(shingles.tobytes())
-                if doc_id is None or key in seen:
+                if not ids[row].is_valid or key in seen:
                     continue  # an equal set of this task stands for this one
                 seen.add(key)
                 if len(seen) > 200_000:
                     seen.clear()
                 signature, role = signatures(shingles, bands)
                 rows = np.empty(len(signature), _PAIR)
-                rows["signature"], rows["member"], rows["role"] = signature, doc_id, role
+                rows["signature"], rows["member"], rows["role"] = signature, ids[row].as_py(), role
                 tables.append(rows)
-            if not tables:
-                continue
-            table, starts, several, _ = _meeting(np.concatenate(tables))
-            known = np.repeat(several, np.diff(np.r_[starts, len(table)]))
-            rows = [(0, True, table[known].tobytes())] if known.any() else []
-            first = np.zeros(len(table), bool)
-            first[starts] = True
-            # The first row of each signature, with all roles seen there, speaks for the batch.
-            heads = table[first]
-            heads["role"] = np.bitwise_or.reduceat(table["role"], starts) if len(starts) else heads["role"]
-            part = ((heads["signature"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            heads, part = heads[order], part[order]
-            for at, length in zip(*_runs(part)):
-                rows.append((int(part[at]), False, heads[at:at + length].tobytes()))
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[at:at + 256]), schema)], schema=schema)
+                held += len(rows)
+                if held >= _HELD_ROWS:
+                    yield from sent(tables)
+                    tables, held = [], 0
+        if tables:
+            yield from sent(tables)
 
     return texts.mapInArrow(run, _BLOB)
 
@@ -203,29 +213,20 @@ def _signature_blobs(texts: DataFrame, params: JoinParams, parts: int) -> DataFr
 _MEMBER = "signature long, member long, role int"
 
 
-def _member_batch(table: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(table["signature"].view(np.int64)), pa.array(table["member"]), pa.array(table["role"].astype(np.int32))],
-        schema=arrow_schema(_MEMBER))
-
-
 def _met(blobs: DataFrame, parts: int) -> DataFrame:
-    """(signature, member, role) of signatures that meet; heads of batches may repeat rows that ``direct`` has."""
-
-    def direct(batches):
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield _member_batch(np.frombuffer(data, _PAIR).copy())
+    """(signature, member, role) of signatures that meet or are direct; heads may repeat direct rows."""
 
     def meet(frame):
         import pandas as pd
 
-        table, starts, _, meets = _meeting(np.concatenate([np.frombuffer(d, _PAIR) for d in frame["data"]]))
-        kept = table[np.repeat(meets, np.diff(np.r_[starts, len(table)]))]
-        return pd.DataFrame({"signature": kept["signature"].view(np.int64), "member": kept["member"], "role": kept["role"].astype(np.int32)})
+        tables = [[np.frombuffer(d, _PAIR) for d in frame["data"][frame["direct"] == direct]] for direct in (False, True)]
+        heads, direct = (np.concatenate(t) if t else np.empty(0, _PAIR) for t in tables)
+        table, starts, _, meets = _meeting(heads)
+        kept = np.concatenate([direct, table[np.repeat(meets, np.diff(np.r_[starts, len(table)]))] if len(starts) else table])
+        return pd.DataFrame({"signature": kept["signature"].astype(np.uint64).view(np.int64),
+                             "member": kept["member"].astype(np.int64), "role": kept["role"].astype(np.int32)})
 
-    return blobs.where("direct").select("data").mapInArrow(direct, _MEMBER).unionByName(
-        blobs.where("not direct").repartition(parts, "part").groupBy("part").applyInPandas(meet, _MEMBER))
+    return blobs.repartition(parts, "part").groupBy("part").applyInPandas(meet, _MEMBER)
 
 
 # --- candidates inside buckets --------------------------------------------------------------------------
@@ -454,7 +455,7 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
 
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-tokens // 2_000_000))  # about 0.4 signatures a shingle: under a million rows of 24 bytes a part
-    met = materialise(_met(materialise(_signature_blobs(texts, params, parts)), parts))
+    met = _met(_signature_blobs(texts, params, parts), parts)
     about = sets.where("doc_id = first").select(F.col("doc_id").alias("member"), "n", "sketch")
     members = (
         met.join(sets.select(F.col("doc_id").alias("member"), "first"), "member")
