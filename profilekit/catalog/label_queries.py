@@ -128,7 +128,7 @@ def _summary(spark, folder):
 
 
 @query("cluster_order", f"""WITH {MEMBERS_SQL}, s AS (SELECT la, count(*) AS size FROM mem GROUP BY la)
-SELECT la, size, row_number() OVER (ORDER BY la = -1, size DESC, la) AS position FROM s""")
+SELECT la, size, row_number() OVER (ORDER BY la = -1, size DESC, la) - 1 AS position FROM s""")
 def _order(spark, folder):
     return size_order(members(spark, folder).groupBy("la").agg(F.count(F.lit(1)).alias("size")), "la")
 

@@ -259,15 +259,17 @@ def _ann(spark, folder):
     return search_cells(q, assigned, cells, 11, nprobe=4).filter("query_id <> item_id")
 
 
-@query("index_build")
+@query("index_build", f"""WITH {VECTORS_SQL} SELECT id, generate_subscripts(vector, 1) - 1 AS position, unnest(list_transform(vector, lambda x: {sql_rounded('x', 6)})) AS value,
+(SELECT count(*) FROM v) AS n_vectors, {DIMENSION} AS n_features FROM v""")
 def _index_build(spark, folder):
     where = scratch_path(spark, "index")
     rows = vectors(spark, folder)
     version = build_index(rows, where, FEATURE_NAMES)
     manifest = read_manifest(spark, where, version)
     promote(spark, where, version)
-    return read_index(spark, where, current_version(spark, where)).withColumns({
-        "version": F.lit(version), "n_vectors": F.lit(manifest["n_vectors"])})
+    rows = read_index(spark, where, current_version(spark, where)).select("id", F.posexplode("vector").alias("position", "value"))
+    return rows.select("id", "position", rounded("value", 6).alias("value"), F.lit(manifest["n_vectors"]).alias("n_vectors"),
+                       F.lit(len(manifest["feature_names"])).alias("n_features"))
 
 
 @query("index_info", """SELECT count(*) AS vector_count, max(len(embedding)) AS dimension,
@@ -276,7 +278,13 @@ def _index_info(spark, folder):
     return index_info(vectors(spark, folder))
 
 
-@query("index_gate")
+@query("index_gate", f"""WITH {PAIRS_SQL},
+after AS (SELECT a.id AS q, b.id AS c, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(list_slice(a.vector, 1, 56), list_slice(b.vector, 1, 56)), 9) DESC, b.id) AS rk
+  FROM v a JOIN v b ON a.id <> b.id),
+common AS (SELECT o.q, count(n.c) AS i FROM (SELECT q, c FROM near WHERE rk <= 10) o LEFT JOIN (SELECT q, c FROM after WHERE rk <= 10) n ON o.q = n.q AND o.c = n.c GROUP BY o.q),
+j AS (SELECT avg(i::DOUBLE / (20 - i)) AS mean_jaccard, count(*) FILTER (i::DOUBLE / (20 - i) < 0.70) AS n_alerts FROM common)
+SELECT 1 AS build, true AS promoted, NULL::DOUBLE AS mean_jaccard, 0::BIGINT AS n_alerts
+UNION ALL SELECT 2, mean_jaccard >= 0.85 AND n_alerts = 0, {sql_rounded('mean_jaccard')}, n_alerts FROM j""")
 def _index_gate(spark, folder):
     """A first version, then the same rows without block 7: promoted only when answers stay close."""
     where = scratch_path(spark, "index")
@@ -285,8 +293,8 @@ def _index_gate(spark, folder):
     cut = rows.withColumn("vector", F.transform("vector", lambda x, i: F.when(i < 56, x).otherwise(0.0)))
     second = rebuild(cut, where, FEATURE_NAMES, lambda ix: nearest(*_sides(ix), 10))
     return spark.createDataFrame(
-        [(d["version"], bool(d["promoted"]), d["mean_jaccard"], int(d["n_alerts"])) for d in (first, second)],
-        "version string, promoted boolean, mean_jaccard double, n_alerts int")
+        [(k, bool(d["promoted"]), d["mean_jaccard"], int(d["n_alerts"])) for k, d in enumerate((first, second), 1)],
+        "build int, promoted boolean, mean_jaccard double, n_alerts long").withColumn("mean_jaccard", rounded("mean_jaccard"))
 
 
 @query("request_key", """SELECT vec_id, md5('{"entity":' || vec_id || ',"k":10,"role":"r' || label || '","version":"v1"}') AS request_key FROM embeddings""")
