@@ -133,6 +133,19 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    kept = exact_groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``df`` that stay, with all their columns: one per group of equal texts.
+
+    Of repeated rows, which share the smallest id and the text, one stays; which of them is open where other columns differ.
+    """
+    kept = materialise(
+        exact_groups(df, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumnsRenamed({"doc_id": "_kept_id", "text_sha256": "_kept_text"}))
+    text = F.sha2(normalise(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
+    marked = df.withColumn("_own_text", text)
+    same = (F.col("_own_text") == F.col("_kept_text")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
+    several = kept.where("_rows > 1")
+    if several.isEmpty():
+        return marked.join(kept, same, "left_semi").select(*df.columns)
+    single = marked.join(kept.where("_rows = 1"), same, "left_semi")
+    repeated = marked.join(several, same, "left_semi").dropDuplicates([id_col, "_own_text"])
+    return single.unionByName(repeated).select(*df.columns)

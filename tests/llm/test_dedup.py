@@ -51,7 +51,9 @@ def test_exact_groups(spark):
     assert got == want
     kept = exact_dedup.drop_exact_copies(table(spark, rows))
     assert kept.columns == table(spark, rows).columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 3, 4, 6, 11]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 11]
+    again = exact_dedup.drop_exact_copies(table(spark, [(2, "b"), (2, "a"), (1, "b"), (None, "c"), (None, "c")]))
+    assert sorted(((r.doc_id, r.text) for r in again.collect()), key=str) == [(1, "b"), (2, "a"), (None, "c")]
     assert exact_dedup.exact_groups(table(spark, [])).count() == 0
 
 
