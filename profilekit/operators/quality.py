@@ -17,6 +17,9 @@ from profilekit.operators.relational import group_stats, size_ratio
 from profilekit.operators.stats import exact_quantiles, moments
 from profilekit.session import materialise
 
+#: Clusters that are compared with each other in one row.
+MAX_CLUSTERS = 1_000
+
 
 def silhouette(df: DataFrame, vector: str, label: str) -> float | None:
     """Mean cosine silhouette without noise rows; ``None`` below two clusters."""
@@ -33,10 +36,12 @@ def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
     """Mean over clusters of the worst (spread_i + spread_j) / centroid distance.
 
     Clusters with the same centroid count as infinitely far apart. Rows meet only their own centroid. The comparison of clusters with each other is
-    done on the table of valid clusters, which the run parameters limit to 50.
+    done on the table of valid clusters; more than ``MAX_CLUSTERS`` are refused.
     """
     clean = non_noise(df, label)
     centre = materialise(centroids(clean, vector, label).select(label, "centroid"))
+    if centre.count() > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
     spread = (
         clean.join(centre, label)
         .groupBy(label).agg(F.avg(euclidean(F.col(vector), F.col("centroid"))).alias("spread"))

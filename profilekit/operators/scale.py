@@ -75,12 +75,12 @@ def add_composites(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFr
 def cohort_zscore(df: DataFrame, columns: Sequence[str], cohort: str, suffix: str = ADJUSTED_SUFFIX) -> DataFrame:
     """(x - cohort mean) / cohort sample deviation; zero counts as one, a cohort of one gives null.
 
-    The statistics table has one row per configured cohort, so joining it never
-    moves the profiles.
+    The statistics table has one row per cohort; Spark broadcasts it when its
+    measured size allows, so configured cohorts never move the profiles.
     """
     aggs = [a for i, c in enumerate(columns) for a in (F.avg(c).alias(f"_m{i}"), F.stddev_samp(c).alias(f"_s{i}"))]
     stats = df.groupBy(F.col(cohort).alias("_cohort")).agg(*aggs)
-    joined = df.join(F.broadcast(stats), F.col(cohort).eqNullSafe(F.col("_cohort")), "left")
+    joined = df.join(stats, F.col(cohort).eqNullSafe(F.col("_cohort")), "left")
     adjusted = {
         c + suffix: (F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_s{i}"))
         for i, c in enumerate(columns)

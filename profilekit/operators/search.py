@@ -15,6 +15,7 @@ from profilekit.functions.scalar import contains_text, starts_with_text
 from profilekit.functions.vector import TINY, as_double, dot, norm, to_matrix, top_contributions, unit, well_formed
 from profilekit.operators.nearest import QUERY_LIMITS, nearest
 from profilekit.operators.relational import first_per_key, top_per_group
+from profilekit.session import materialise
 
 METADATA = ("role", "flag", "debut_period", "final_period", "total_periods")
 
@@ -278,6 +279,8 @@ def _prefix_matches(asked: DataFrame, known: DataFrame) -> DataFrame:
         .filter(F.length("_name") >= F.col("_len"))
         .withColumn("_prefix", F.expr("substring(_name, 1, _len)"))
     )
+    # Prefixes nobody asked for go before anything is sorted or moved.
+    cut = cut.join(wanted.select(F.col("_low").alias("_prefix")).distinct(), "_prefix", "left_semi")
     first = cut.groupBy("_prefix").agg(F.min(F.struct("_name", "id", "name")).alias("_hit"))
     return wanted.join(first, F.col("_low") == F.col("_prefix")).select("query", "_hit.id", "_hit.name", "_hit._name")
 
@@ -293,7 +296,7 @@ def suggest(entities: DataFrame, query: str, limit: int = 10) -> DataFrame:
         .when(contains_text(F.col("_name"), F.lit(text)), 2)
     )
     tagged = known.withColumn("_kind", hit).filter(F.col("_kind").isNotNull())
-    best = tagged.orderBy("_kind", "_name", "id").limit(limit)
+    best = materialise(tagged.orderBy("_kind", "_name", "id").limit(limit))
     # the list is at most ``limit`` long here, so the window sees only those rows
     kind = best.agg(F.min("_kind")).first()[0]
     kept = best.filter(F.col("_kind") == F.lit(kind))
