@@ -116,10 +116,12 @@ def _slot_counts(sample: DataFrame, params: ToxicityParams) -> DataFrame:
                     seen[slots] = True
                 counts[int(toxic > 0)] += seen
         for toxic in (0, 1):
-            found = np.flatnonzero(counts[toxic])
-            yield pa.RecordBatch.from_pydict(
-                {"slot": found, "toxic": np.full(len(found), toxic), "n": counts[toxic][found]},
-                schema=arrow_schema("slot int, toxic int, n int"))
+            found = np.flatnonzero(counts[toxic]).astype(np.int32)
+            for start in range(0, len(found), 1 << 16):
+                part = found[start:start + (1 << 16)]
+                yield pa.RecordBatch.from_pydict(
+                    {"slot": part, "toxic": np.full(len(part), toxic, np.int32), "n": counts[toxic][part]},
+                    schema=arrow_schema("slot int, toxic int, n int"))
 
     return sample.select("text", "toxic").mapInArrow(count, "slot int, toxic int, n int")
 
