@@ -420,7 +420,9 @@ def repeated_spans(df: DataFrame, params: RepeatParams = RepeatParams(), id_col:
     pairs = materialise(
         found.join(firsts, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc"), "start", "end"))
     # Copies of one text are one text, so a pair must be left in two places.
-    counts = pairs.groupBy("key", "doc", "start", "end").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("n")).where("n > 1")
+    distinct = pairs.groupBy("key", "doc", "start", "end").agg(F.lit(1).alias("one"))
+    # Written first: a join of two plain tables can split a key that very many pairs share.
+    counts = materialise(distinct.groupBy("key").agg(F.count("one").alias("n")).where("n > 1"))
     lists = (
         pairs.join(counts, "key").groupBy("doc")
         .agg(F.collect_set(F.struct("key", "start", "end", (F.col("n") > params.often).alias("hot"))).alias("pairs"))
