@@ -36,7 +36,7 @@ from profilekit.session import materialise
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _LOW = np.uint64((1 << 22) - 1)
 
 
@@ -191,9 +191,9 @@ def _repeated_pairs(texts: DataFrame, params: RepeatParams, parts: int) -> DataF
                 if len(seen) > 200_000:
                     seen.clear()
             at = 0
-            while at < len(ids):  # bounded suffix arrays: about 8 million characters each
+            while at < len(ids):  # bounded suffix arrays: about 4 million characters each
                 stop, chars = at, 0
-                while stop < len(ids) and (stop == at or chars + len(rows[stop]) <= 8 << 20):
+                while stop < len(ids) and (stop == at or chars + len(rows[stop]) <= 4 << 20):
                     chars += len(rows[stop])
                     stop += 1
                 table, first = _pair_groups(ids[at:stop], rows[at:stop], params)
@@ -267,7 +267,7 @@ def _starts_of(units: np.ndarray, data: list[bytes], params: RepeatParams) -> np
     out, at = [], 0
     while at < len(units):
         stop, size = at, 0
-        while stop < len(units) and (stop == at or size + len(data[stop]) <= 1 << 22):
+        while stop < len(units) and (stop == at or size + len(data[stop]) <= 1 << 19):
             size += len(data[stop])
             stop += 1
         hasher = _Hasher(np.frombuffer(b"".join(data[at:stop]), np.uint8))
@@ -296,7 +296,7 @@ def _repeated_runs(candidates: DataFrame, params: RepeatParams, parts: int) -> D
     """(doc, low, high): runs of starts whose strings also start elsewhere; runs may overlap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, last in _lots(batches, 1, 8 << 20):
+        for batch, first, last in _lots(batches, 1, 4 << 20):
             units, keys, data, hot, first_of = [], [], [], [], {}
             known: list[tuple[int, int, int]] = []
             for row in range(first, last):
