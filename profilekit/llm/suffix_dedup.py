@@ -9,7 +9,7 @@ A byte goes when it lies in a string of ``length`` bytes that also starts anywhe
    group of several is a repeat; of every group one head is sent on, and heads of all tasks meet by key.
    So a passage that a third of all texts share is one head per batch, and no task sees the whole corpus.
 3. Exact check. Every possible start of a repeated string is judged once, under the phrase pair of smallest hash inside its
-   string: the bytes around travel to the other occurrences of that pair, and starts are compared by their
+   string, of those whose marks follow from the string alone (a mark near its edge may owe its place to bytes outside): the bytes around travel to the other occurrences of that pair, and starts are compared by their
    whole strings' 64-bit hashes. Equal surroundings collapse within a batch. Pairs that occur very often
    send hashes of single starts instead, which collapse within a batch as well, so they spread over all tasks.
 4. Runs of repeated starts come back to their text, which loses the bytes they cover.
@@ -51,8 +51,8 @@ class RepeatParams:
     often: int = 1_000
 
     def __post_init__(self):
-        # First and last minimum inside a string are window - 1 and length - gram + 1 - window at worst; two gaps must fit.
-        if self.length - self.gram + 1 - 2 * self.window + 1 < self.window:
+        # First and last minimum inside a string are window - 1 and length - gram + 1 - window at worst; more than one gap must lie between.
+        if self.length - self.gram + 1 - 2 * self.window + 1 <= self.window:
             raise ValueError("a string of this length need not hold two whole phrases")
 
 
@@ -80,11 +80,11 @@ class _Hasher:
         return mix((self.sums[length:] - self.sums[:n - length + 1]) * _Hasher.inverses[:n - length + 1])
 
 
-def _minima(values: np.ndarray, window: int) -> np.ndarray:
-    """Places that are the minimum of some full window, the last one at ties."""
+def _minima(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that are the minimum of some full window, the last one at ties, with the first and last start of such a window."""
     n = len(values)
     if n < window:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     place = np.arange(n, dtype=np.uint64)
     tagged = (values & ~_LOW) | (_LOW - place)
     padded = np.full(-(-n // window) * window, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -94,12 +94,18 @@ def _minima(values: np.ndarray, window: int) -> np.ndarray:
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[:n - window + 1], ahead[window - 1:n])
     at = (_LOW - (least & _LOW)).astype(np.int64)
-    return at[np.r_[True, at[1:] != at[:-1]]]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[first], first, np.r_[first[1:], len(at)] - 1
 
 
 def phrases(data: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
     """(start of each phrase and of the end mark after the last, hash of each phrase with the mark that follows it)."""
-    starts, hashes = [], []
+    return _phrases(data, params)[:2]
+
+
+def _phrases(data: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases, and the first and last start of a window whose minimum a mark is."""
+    starts, hashes, firsts, lasts = [], [], [], []
     step, tail = _BLOCK, 2 * (params.window + params.gram)
     last = -1
     for at in range(0, max(1, len(data)), step):
@@ -107,25 +113,31 @@ def phrases(data: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndar
         if len(part) < params.gram + params.window - 1:
             break
         hasher = _Hasher(part)
-        marks = _minima(hasher.every(params.gram), params.window)
+        marks, opens, closes = _minima(hasher.every(params.gram), params.window)
         inner = hasher.of(marks[:-1], marks[1:] + params.gram)
         marks = marks + at
         fresh = marks > last  # the overlap finds the same marks again
-        if not fresh.any():
+        first = int(np.argmax(fresh)) if fresh.any() else len(marks)
+        if lasts and first:
+            # The end of the block before may have cut the windows of its last mark.
+            lasts[-1][-1] = max(lasts[-1][-1], closes[first - 1] + at)
+        if first == len(marks):
             continue
-        first = int(np.argmax(fresh))
         starts.append(marks[first:])
         hashes.append(inner[max(0, first - 1):])
+        firsts.append(opens[first:] + at)
+        lasts.append(closes[first:] + at)
         last = int(marks[-1])
     if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(starts), np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
 # --- repeated phrase pairs ------------------------------------------------------------------------------
 
 _BLOB = "part int, kind int, data binary"
-_HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
+#: [low, high): starts of the strings that fix all marks of the pair, before the text is cut off at its ends.
+_HEAD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
 
 def _blobs(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -144,39 +156,43 @@ def _by_part(table: np.ndarray, key: np.ndarray, parts: int, kind: int) -> list[
 
 def _pair_groups(ids: list, texts: list, params: RepeatParams) -> tuple[np.ndarray, np.ndarray]:
     """(rows, first of a group) of all phrase pairs of these texts, neighbours in the suffix array together."""
-    symbols, doc, start, end = [], [], [], []
+    symbols, doc, low, high = [], [], [], []
+    reach = params.length - params.gram + 1 - params.window
     for doc_id, text in zip(ids, texts):
         data = np.frombuffer(text.encode(), np.uint8)
         if len(data) < params.length:
             continue
-        marks, inner = phrases(data, params)
+        _, inner, opens, closes = _phrases(data, params)
         if len(inner) < 2:
             continue
         # The phrase string of a text and a separator; the last phrase starts no pair.
         symbols += [inner, np.zeros(1, np.uint64)]
         doc.append(np.full(len(inner) + 1, doc_id, np.int64))
-        start.append(np.r_[marks[:-1], 0])
-        end.append(np.r_[marks[2:] + params.gram, 0, 0])
+        # The string holds a window of the last mark and one of the first; the mark between has one then.
+        low.append(np.r_[opens[2:] - reach, 0, 0])
+        high.append(np.r_[closes[:-2] + 1, 0, 0])
     if not symbols:
         return np.empty(0, _HEAD), np.empty(0, bool)
-    symbols, ends = np.concatenate(symbols), np.concatenate(end)
+    symbols, low, high = np.concatenate(symbols), np.concatenate(low), np.concatenate(high)
     # Separators become distinct symbols below all phrases, so no match runs across texts.
     _, ranks = np.unique(symbols, return_inverse=True)
     breaks = np.flatnonzero(symbols == 0)
     ranks = ranks + len(breaks)
     ranks[breaks] = np.arange(len(breaks))
     order = suffix_array(ranks)
-    same = np.r_[False, common_prefixes(ranks, order, 2) >= 2]
-    whole = ends[order] > 0
+    group = np.cumsum(np.r_[False, common_prefixes(ranks, order, 2) < 2])
+    # A pair that no string fixes judges nothing.
+    whole = (np.maximum(low, 0) < high)[order]
     rows = np.empty(len(order), _HEAD)
     ahead = np.r_[symbols[1:], np.uint64(0)]
     rows["key"], rows["doc"] = mix(mix(symbols[order]) + ahead[order]), np.concatenate(doc)[order]
-    rows["start"], rows["end"] = np.concatenate(start)[order], ends[order]
-    return rows[whole], ~same[whole]
+    rows["low"], rows["high"] = low[order], high[order]
+    group = group[whole]
+    return rows[whole], np.r_[True, group[1:] != group[:-1]][:len(group)]
 
 
 def _repeated_pairs(texts: DataFrame, params: RepeatParams, parts: int) -> DataFrame:
-    """(key, doc, start, end) of phrase pairs that occur more than once; a head may come twice."""
+    """(key, doc, low, high) of phrase pairs that occur more than once; a head may come twice."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -213,10 +229,10 @@ def _repeated_pairs(texts: DataFrame, params: RepeatParams, parts: int) -> DataF
         heads = heads[np.argsort(heads["key"], kind="stable")]
         again = heads["key"][1:] == heads["key"][:-1]
         found = np.concatenate([known, heads[np.r_[False, again] | np.r_[again, False]] if len(heads) else heads])
-        return pd.DataFrame({"key": found["key"].view(np.int64), "doc": found["doc"], "start": found["start"], "end": found["end"]})
+        return pd.DataFrame({"key": found["key"].view(np.int64), "doc": found["doc"], "low": found["low"], "high": found["high"]})
 
     # Heads meet by key, one per key and batch; what is known to repeat only passes through and is spread by text.
-    return texts.mapInArrow(run, _BLOB).repartition(parts, "part").groupBy("part").applyInPandas(meet, "key long, doc long, start int, end int")
+    return texts.mapInArrow(run, _BLOB).repartition(parts, "part").groupBy("part").applyInPandas(meet, "key long, doc long, low int, high int")
 
 
 # --- exact check ----------------------------------------------------------------------------------------
@@ -226,11 +242,11 @@ _START = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<i4")])
 _RUN = np.dtype([("doc", "<i8"), ("low", "<i4"), ("high", "<i4")])
 
 
-def _owners(n: int, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs [low, high) of starts and the pair that judges them: of the pairs inside the string the one of smallest key, the last at ties."""
+def _owners(n: int, keys: np.ndarray, lows: np.ndarray, highs: np.ndarray, params: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs [low, high) of starts and the pair that judges them: of the pairs the string fixes the one of smallest key, the last at ties."""
     owner = np.full(n - params.length + 1, -1, np.int64)
-    order = np.lexsort((starts, ~keys))
-    low, high = np.maximum(ends - params.length, 0), np.minimum(starts, n - params.length) + 1
+    order = np.lexsort((highs, ~keys))
+    low, high = np.maximum(lows, 0), np.minimum(highs, len(owner))
     for j in order.tolist():
         owner[low[j]:high[j]] = j
     edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -302,12 +318,12 @@ def _repeated_runs(candidates: DataFrame, params: RepeatParams, parts: int) -> D
             for row in range(first, last):
                 doc, text, marks = (batch.column(c)[row].as_py() for c in ("doc", "text", "pairs"))
                 raw = text.encode()
-                marks = sorted({(m["key"], m["start"], m["end"], m["hot"]) for m in marks})
-                key, start, end, often = (np.array(c) for c in zip(*marks))
-                own, low, high = _owners(len(raw), key.view(np.uint64), start.astype(np.int64), end.astype(np.int64), params)
+                marks = sorted({(m["key"], m["low"], m["high"], m["hot"]) for m in marks})
+                key, least, most, often = (np.array(c) for c in zip(*marks))
+                own, low, high = _owners(len(raw), key.view(np.uint64), least.astype(np.int64), most.astype(np.int64), params)
                 for j, a, b in zip(own.tolist(), low.tolist(), high.tolist()):
                     piece = raw[a:b + params.length - 1]
-                    same = (int(key[j]), a - int(start[j]), piece)
+                    same = (int(key[j]), piece)
                     if same in first_of:  # equal surroundings: all their starts are repeats
                         known.append((doc, a, b))
                         other = first_of[same]
@@ -418,14 +434,14 @@ def repeated_spans(df: DataFrame, params: RepeatParams = RepeatParams(), id_col:
     found = _repeated_pairs(texts.where(F.octet_length("text") >= params.length), params, parts)
     firsts = long_ones.join(copies, "sha").select(F.col("doc_id").alias("doc"), "first").distinct()
     pairs = materialise(
-        found.join(firsts, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc"), "start", "end"))
+        found.join(firsts, "doc", "left").select("key", F.coalesce("first", "doc").alias("doc"), "low", "high"))
     # Copies of one text are one text, so a pair must be left in two places.
-    distinct = pairs.groupBy("key", "doc", "start", "end").agg(F.lit(1).alias("one"))
+    distinct = pairs.groupBy("key", "doc", "low", "high").agg(F.lit(1).alias("one"))
     # Written first: a join of two plain tables can split a key that very many pairs share.
     counts = materialise(distinct.groupBy("key").agg(F.count("one").alias("n")).where("n > 1"))
     lists = (
         pairs.join(counts, "key").groupBy("doc")
-        .agg(F.collect_set(F.struct("key", "start", "end", (F.col("n") > params.often).alias("hot"))).alias("pairs"))
+        .agg(F.collect_set(F.struct("key", "low", "high", (F.col("n") > params.often).alias("hot"))).alias("pairs"))
     )
     candidates = materialise(texts.withColumnRenamed("doc_id", "doc").join(lists, "doc"))
     runs = _repeated_runs(candidates, params, parts)

@@ -253,3 +253,44 @@ def test_phrases_do_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_BLOCK", 700)
     again, others = suffix_dedup.phrases(data, suffix_dedup.RepeatParams())
     assert marks.tolist() == again.tolist() and hashes.tolist() == others.tolist() and len(marks) == len(hashes) + 1
+
+
+def spans_without_spark(rows, params):
+    """What the tasks of repeated_spans do, one after the other."""
+    pairs, _ = suffix_dedup._pair_groups([i for i, _ in rows], [t for _, t in rows], params)
+    keys, n = np.unique(pairs["key"], return_counts=True)
+    starts, runs = [], []
+    for i, t in rows:
+        own = pairs[(pairs["doc"] == i) & np.isin(pairs["key"], keys[n > 1])]
+        if not len(own):
+            continue
+        judge, low, high = suffix_dedup._owners(len(t), own["key"], own["low"].astype(int), own["high"].astype(int), params)
+        for j, a, b in zip(judge.tolist(), low.tolist(), high.tolist()):
+            starts += [((int(own["key"][j]), t[s:s + params.length]), i, s) for s in range(a, b)]
+    seen = {}
+    for key, i, s in starts:
+        seen.setdefault(key, []).append((i, s))
+    for places in seen.values():
+        runs += places if len(places) > 1 else []
+    return {i: suffix_dedup.covered([(s, s + 1) for k, s in runs if k == i], params.length) for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_copies_in_different_surroundings(seed):
+    r = random.Random(seed)
+    params = suffix_dedup.RepeatParams()
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = letters(r.choice((400, 401, 430, 600)))
+    rows = [(k, letters(r.randrange(0, 500)) + passage + letters(r.randrange(0, 500))) for k in range(3 + seed % 8)]
+    got = spans_without_spark(rows, params)
+    for (i, t), (_, _, gone, n, _) in zip(rows, brute_spans(rows, params.length)):
+        assert (sum(b - a for a, b in got[i]), len(got[i])) == (gone, n)
+
+
+def test_windows_of_marks_do_not_depend_on_blocks(monkeypatch):
+    r = random.Random(3)
+    data = np.frombuffer("".join(r.choice("abcdef ") for _ in range(9_000)).encode(), np.uint8)
+    want = [x.tolist() for x in suffix_dedup._phrases(data, suffix_dedup.RepeatParams())]
+    for block in (150, 264, 700, 1_001):
+        monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
+        assert [x.tolist() for x in suffix_dedup._phrases(data, suffix_dedup.RepeatParams())] == want
