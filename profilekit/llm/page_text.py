@@ -2,7 +2,8 @@
 
 A page is cut into blocks. Each block knows its zone: inside an article, inside a main element, in something that is
 never article (menus, headers, footers, sidebars, notices, adverts, forms, comments), or elsewhere. A page with an article (else, a main
-element) gives the blocks of that zone, whether or not other pages repeat them: mirrored articles stay whole.
+element) gives the blocks of that zone, whether or not other pages repeat them: mirrored articles stay whole. A name (class or id) is
+weaker than an element: it never sets aside a body, a main element or an article, nor an article inside when the page has no other.
 
 Pages without either are decided by repetition. The token streams of all blocks outside articles are concatenated and their
 suffixes sorted (:mod:`profilekit.llm.suffix_array`), tokens being told apart by host. Suffixes that share ``run`` tokens are
@@ -44,7 +45,13 @@ NEVER_NAMES = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = NEVER_TAGS | {"article", "main", "header", "section", "div", "p", "ul", "ol", "li", "table", "span", "figure", "details", "body"}
 
+#: First parts of names that tell of a state, as no-sidebar does.
+STATES = frozenset("no not non has have with without is are show hide toggle open close enable disable".split())
+NAMED_TAGS = frozenset("article main body html".split())
+
 EXCLUDED, ARTICLE, MAIN, ELSEWHERE = 0, 1, 2, 3
+#: While a page is read: set aside by a name alone, and an article inside that.
+_ASIDE, _ASIDE_ARTICLE = 4, 5
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,7 +59,9 @@ _PART = re.compile(
     r"|<(/?)([a-z][a-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)"
     r"|([^<]+|<)", re.DOTALL | re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# Every attribute with its value, so that words inside other values are not taken for attributes.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAMES = frozenset("class id role itemprop hidden aria-hidden style".split())
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -64,23 +73,34 @@ class PageParams:
     share: float = 0.5
 
 
+def _never_named(names: str) -> bool:
+    """Whether one of these classes and ids is, or ends as, a name that is never article: ad, reader-comments, not no-sidebar or comments-open."""
+    for name in names.split():
+        parts = [p.lower() for p in _NAME.findall(name)]
+        if parts and parts[-1] in NEVER_NAMES and not STATES.intersection(parts[:-1]):
+            return True
+    return False
+
+
 def _mark(tag: str, attributes: str, inside_article: bool) -> int | None:
     """The zone an element opens, None when it keeps its parent's."""
     named: dict[str, str] = {}
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            named[m[1].lower()] = m[2] or m[3] or m[4] or ""
+            if m[1] and m[1].lower() in _NAMES:
+                named[m[1].lower()] = m[2] or m[3] or m[4] or ""
     if tag in NEVER_TAGS or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", ""):
         return EXCLUDED
     if named:
         role = named.get("role", "").lower()
-        names = {n.lower() for n in _NAME.findall(named.get("class", "") + " " + named.get("id", ""))}
-        if role in NEVER_ROLES or names & NEVER_NAMES:
+        if role in NEVER_ROLES:
             return EXCLUDED
         if role == "article" or named.get("itemprop") == "articleBody":
             return ARTICLE
         if role == "main":
             return MAIN
+        if tag not in NAMED_TAGS and _never_named(named.get("class", "") + " " + named.get("id", "")):
+            return _ASIDE
     if tag == "article":
         return ARTICLE
     if tag == "main":
@@ -90,6 +110,16 @@ def _mark(tag: str, attributes: str, inside_article: bool) -> int | None:
     return None
 
 
+def _inside(zone: int, opened: int | None) -> int:
+    """The zone of an element that opens one inside another."""
+    if opened is None or zone == EXCLUDED:
+        return zone  # what is inside an excluded element stays excluded
+    if opened == ARTICLE and zone in (_ASIDE, _ASIDE_ARTICLE):
+        return _ASIDE_ARTICLE
+    # An article inside main is an article.
+    return zone if opened == MAIN and zone in (ARTICLE, _ASIDE_ARTICLE) else opened
+
+
 def blocks_of(page: str) -> list[tuple[str, int, float]]:
     """(text, zone, share of its characters in links) of each block in page order; white space is one space, references are decoded."""
     out: list[tuple[str, int, float]] = []
@@ -130,9 +160,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float]]:
                 if current != zone:
                     flush()
                     zone = current
-            opened = _mark(tag, m[4], zone == ARTICLE)
-            # What is inside an excluded element stays excluded; an article inside main is an article.
-            inner = zone if opened is None or zone == EXCLUDED or (zone == ARTICLE and opened == MAIN) else opened
+            inner = _inside(zone, _mark(tag, m[4], zone in (ARTICLE, _ASIDE_ARTICLE)))
             if inner != zone:
                 flush()
             stack.append((tag, inner))
@@ -145,7 +173,9 @@ def blocks_of(page: str) -> list[tuple[str, int, float]]:
                 flush()
                 zone = current
     flush()
-    return out
+    found = {z for _, z, _ in out}
+    last = {_ASIDE: EXCLUDED, _ASIDE_ARTICLE: EXCLUDED if ARTICLE in found else MAIN if MAIN in found else ARTICLE}
+    return [(t, last.get(z, z), share) for t, z, share in out]
 
 
 def level_of(zones: Iterable[int]) -> int:

@@ -351,6 +351,23 @@ def test_structure(page, want):
     assert article(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<body class='has-sidebar'><article><p>a</p></article></body>", "a"),
+    ("<div class='layout no-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<article class='post comments-open'>a</article>", "a"),
+    ("<main id='sidebar'>m</main>", "m"),
+    ("<div title='a hidden lake'><article data-hidden='false'>a</article></div>", "a"),
+    ("<div 'so hidden'><div class=\"x\"hidden>h</div>p</div>", "p"),
+    ("<div class='widget'><p>w</p><article>a<div class='ad'>no</div></article></div>", "a"),
+    ("<div class='widget'><main>m</main></div>", "m"),
+    ("<article>a</article><div id=comments><article>c</article></div>", "a"),
+    ("<main>m<div class='widget'><p>w</p><article>a</article></div></main>", "m\na"),
+    ("<div class='widget' hidden><article>h</article></div><p>p</p>", "p"),
+])
+def test_names_are_weaker_than_elements(page, want):
+    assert article(page) == want
+
+
 def test_repeats_decide_pages_without_structure(spark):
     line = "Welcome to our lovely site of many things"
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<div>{line}</div><div>unique words number {i} a{i} b{i} c{i}</div><div><a href=x>go to the list of all things</a></div>") for i in range(8)]
