@@ -8,7 +8,7 @@ weaker than an element: it never sets aside a body, a main element or an article
 Pages without either are decided by repetition. The token streams of all blocks outside articles are concatenated and their
 suffixes sorted (:mod:`profilekit.llm.suffix_array`), tokens being told apart by host. Suffixes that share ``run`` tokens are
 neighbours; where they belong to distinct pages they are boilerplate. Tasks sort the pages they hold, and one
-head per distinct run meets the heads of other tasks by key, so a host with a third of all pages is not gathered
+head per distinct run (every place of runs that only one page of the lot has) meets the heads of other tasks by key, so a host with a third of all pages is not gathered
 anywhere. Blocks covered by such runs go, the unique rest stays.
 """
 
@@ -252,8 +252,11 @@ def _repeats(parsed: DataFrame, params: PageParams, parts: int) -> DataFrame:
                 rows, group = _runs(every[start:start + 4096], params.run)
                 if len(rows):
                     first, known = several(rows, group)
-                    known = rows[known]
-                    yield from _blobs(_by_part(rows[first], rows["key"][first], parts, 0) + _by_part(known, mix(known["page"].view(np.uint64)), parts, 1))
+                    # One head of a run known to repeat; else all its places, as another lot may show it to repeat.
+                    heads = ~known
+                    heads[first] = True
+                    heads, known = rows[heads], rows[known]
+                    yield from _blobs(_by_part(heads, heads["key"], parts, 0) + _by_part(known, mix(known["page"].view(np.uint64)), parts, 1))
 
     def meet(frame):
         import pandas as pd

@@ -368,6 +368,20 @@ def test_names_are_weaker_than_elements(page, want):
     assert article(page) == want
 
 
+@pytest.mark.parametrize("size", [1, 2, 10_000])
+def test_repeats_do_not_depend_on_batches(spark, size):
+    line = "Welcome to our lovely site of many things"
+    bars = lambda i: f"<div>{line}</div><div>a{i} b{i} c{i} unique words</div><div>{line}</div>"
+    rows = [(i, "http://h.x/", bars(i)) for i in range(6)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        got = {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {i: f"a{i} b{i} c{i} unique words" for i in range(6)}
+
+
 def test_repeats_decide_pages_without_structure(spark):
     line = "Welcome to our lovely site of many things"
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<div>{line}</div><div>unique words number {i} a{i} b{i} c{i}</div><div><a href=x>go to the list of all things</a></div>") for i in range(8)]
