@@ -227,3 +227,16 @@ def test_requests_without_answers_are_answered_once(spark, tmp_path):
     for _ in range(2):
         assert [tuple(r) for r in answer_requests(asked, path, compute).collect()] == [("b", 20)]
     assert calls == [2, 0]
+
+
+def test_approximate_search_reaches_its_recall(spark, tmp_path):
+    from profilekit.catalog import search_queries
+
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=64)], 0) for k in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    i = search_queries.vectors(spark, str(tmp_path))
+    q, items = search_queries._sides(i)
+    want = {(x.query_id, x.item_id) for x in nearest(q.filter("query_id % 50 = 0"), items, 10).collect()}
+    got = {(x.query_id, x.item_id) for x in search_queries._ann(spark, str(tmp_path)).filter("query_id % 50 = 0").collect()}
+    assert len(want) == 120 and len(want & got) >= 0.9 * len(want)
