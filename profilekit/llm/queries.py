@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity, url_filter
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,21 @@ MIX = mixing.MixParams(weights={"lang": {"en": 3, "de": 1, "fr": 1, "es": 1}})
 def _mix(spark, folder):
     chosen = mixing.mix(table(spark, folder, "documents"), MIX)
     return chosen.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+#: (verdict, host, path): the rules that op11 judges all pages by.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query("op11_url_filter", r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM u),
+r(verdict, h, s) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+f AS (SELECT p.host, p.path, arg_max(h || s, (length(h || s), length(h))) AS rule, arg_max(verdict, (length(h || s), length(h))) AS verdict
+      FROM (SELECT DISTINCT host, path FROM p) p JOIN r ON (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, s) GROUP BY 1, 2)
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path""")
+def _url_filter(spark, folder):
+    return url_filter.judge_urls(table(spark, folder, "pages"), url_filter.rule_table(spark, URL_RULES))
