@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity, url_filter
+from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, filter_audit, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity, url_filter
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,29 @@ f AS (SELECT p.host, p.path, arg_max(h || s, (length(h || s), length(h))) AS rul
 SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path""")
 def _url_filter(spark, folder):
     return url_filter.judge_urls(table(spark, folder, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+@query("op12_filter_audit", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x for x in regexp_split_to_array(t, '[\x20\x09-\x0D]+') if x <> ''] AS ws, min(doc_id) OVER (PARTITION BY t) AS lowest FROM d),
+f AS (SELECT doc_id, part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(lowest < doc_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step::INT AS step, 1 << instr('ABCDE', filter_order[step]) - 1 AS bit,
+        list_sum([1 << instr('ABCDE', g) - 1 for g in string_split(left(filter_order, step - 1), '') if g <> ''])::INT AS earlier
+      FROM o, range(1, 6) r(step)),
+c AS (SELECT part, filter_order, step, bit, sum(n) FILTER (mask & (bit | coalesce(earlier, 0)) = 0) AS kept,
+        sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS removed,
+        sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) <> 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+        sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS good_lost,
+        sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM c""")
+def _filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -9,7 +9,7 @@ from itertools import permutations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from profilekit.llm import url_filter
+from profilekit.llm import filter_audit, url_filter
 
 # --- URL filter -----------------------------------------------------------------------------------------
 
@@ -59,3 +59,60 @@ def test_url_filter(spark):
         assert url_filter.judge_urls(df.limit(0), rules, url_filter.UrlFilterParams(max_trie_chars=limit)).count() == 0
     none = url_filter.judge_urls(df, rules.limit(0), url_filter.UrlFilterParams(default="block"))
     assert {(r.rule, r.verdict) for r in none.collect()} == {(None, "block")}
+
+
+# --- filter audit ---------------------------------------------------------------------------------------
+
+
+def brute_audit(rows, marks):
+    low = {}
+    for i, t, _ in rows:
+        if i is not None:
+            low[t or ""] = min(low.get(t or "", i), i)
+    masks = []
+    for i, t, part in rows:
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {
+            "A": len(words) < 100, "B": 100 * len(set(words)) < 80 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and low[t] < i}
+        masks.append((part or "", fails, *[any(m[k] == 1 for m in marks if m[0] == i and i is not None) for k in (1, 2)]))
+    out, shapley = [], {}
+    for part in {m[0] for m in masks}:
+        mine = [m for m in masks if m[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            for step, f in enumerate(order, 1):
+                before = [m for m in mine if not any(m[1][g] for g in order[:step - 1])]
+                gone = [m for m in before if m[1][f]]
+                shapley[part, f] = shapley.get((part, f), 0) + len(gone)
+                out.append((part, order, step, len(before) - len(gone), len(gone), sum(m[1][f] for m in mine) - len(gone),
+                            sum(m[1][f] and sum(m[1].values()) == 1 for m in mine), sum(m[2] for m in gone), sum(m[3] for m in gone)))
+    return sorted((*o, shapley[o[0], o[1][o[2] - 1]]) for o in out)
+
+
+AUDIT_COLUMNS = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def test_filter_audit(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["a", "Bb", "c\u00a0d", "E#", "Ü"]) + str(r.randrange(k)) for _ in range(n)), r.choice(["en", "de", None, ""]))
+            for i, (n, k) in enumerate((r.choice([0, 1, 99, 100, 101, 150]), r.choice([3, 60, 500])) for _ in range(60))]
+    rows += [(1000 + i, rows[7][1], "en") for i in range(40)] + [(500, None, None), (501, "", "de"), (None, rows[7][1], "en"), (None, None, "fr")]
+    rows += [(7, *rows[7][1:]), (7, "other", "de"), (600, "\x0b \t", "en"), (601, "w" * 50_000 + " " + "v " * 90_000, "en"), (602, "ab\u200b" * 9, "nul")]
+    marks = [(i, r.randrange(2), r.randrange(2)) for i in range(0, 1000, 3)] + [(1001, None, 1), (1001, 1, None), (None, 1, 1)]
+    ddl = "doc_id long, text string, lang string, word string, shard string, n long, part string, good int, mask int"
+    docs = spark.createDataFrame([(*row, "x", "y", 1, "p", 1, 2) for row in rows], ddl).repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    want = brute_audit(rows, marks)
+    for params in (filter_audit.AuditParams(), filter_audit.AuditParams(shard_chars=300, bucket_words=50)):
+        got = filter_audit.audit(docs, labels, params)
+        assert set(got.columns) == set(AUDIT_COLUMNS)
+        assert sorted(map(tuple, got.select(*AUDIT_COLUMNS).collect())) == want
+    assert filter_audit.audit(docs.limit(0), labels).count() == 0
+    assert filter_audit.failed_filters(docs, labels.limit(0)).agg({"good": "sum"}).first()[0] == 0
+
+
+def test_word_numbers_are_dense(spark):
+    words = spark.createDataFrame([(f"w{i % 777}",) for i in range(2000)], "word string")
+    got = filter_audit.word_numbers(words, 100).collect()
+    assert sorted(r.number for r in got) == list(range(777)) and len({r.word for r in got}) == 777
