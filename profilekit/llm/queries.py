@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import byte_bpe, chat_template, ctph, exact_dedup, filter_audit, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity, url_filter
+from profilekit.llm import byte_bpe, chat_template, conversation_trie, ctph, exact_dedup, filter_audit, jaccard_join, mixing, page_text, secret_scan, suffix_dedup, toxicity, url_filter
 from profilekit.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,29 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
        coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM c""")
 def _filter_audit(spark, folder):
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_conversation_trie", r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id, bit by bit: a byte goes in, then eight steps.
+n AS (SELECT conv_id, count(*) AS n, xor(4294967295, list_reduce(flatten([[4294967295::BIGINT],
+        flatten([[ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for ch in string_split(conv_id::VARCHAR, '')])]),
+        lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END)) % 6 AS h FROM o GROUP BY 1),
+k AS (SELECT n.conv_id, n.n, n.h, least(n.h, coalesce(b.n, 0)) AS k FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 100),
+r AS (SELECT k.conv_id, o.pos AS d, role, text FROM k JOIN o ON o.conv_id = k.conv_id - k.conv_id % 100 AND o.pos <= k.k
+      UNION ALL SELECT conv_id, o.pos - k.h + k.k, role, text FROM k JOIN o USING (conv_id) WHERE o.pos > k.h),
+p AS (SELECT conv_id, d, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+      UNION ALL SELECT conv_id, 0, '', [] FROM k),
+g AS (SELECT conv_id, d, text, min(conv_id) OVER (PARTITION BY d, path) AS node, d = max(d) OVER (PARTITION BY conv_id) AS at_end FROM p),
+v AS (SELECT node AS conv_id, d AS depth, count(*) AS n_convs, (count(*) - 1) * max(length(text)) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '')) AS ends_sha256 FROM g GROUP BY 1, 2),
+e AS (SELECT v.conv_id, v.depth, g.node AS parent FROM v JOIN g ON g.conv_id = v.conv_id AND g.d = v.depth - 1),
+c AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM e GROUP BY 1, 2),
+t AS (SELECT g.node AS conv_id, g.d AS depth, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum(v.saved) AS saved_tokens
+      FROM v LEFT JOIN c USING (conv_id, depth) JOIN g ON g.conv_id = v.conv_id AND g.d <= v.depth GROUP BY 1, 2)
+SELECT v.conv_id, v.depth, e.parent AS parent_conv_id, v.n_convs, coalesce(c.n_children, 0) AS n_children, t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM v JOIN t USING (conv_id, depth) LEFT JOIN e USING (conv_id, depth) LEFT JOIN c USING (conv_id, depth)""")
+def _conversation_trie(spark, folder):
+    return conversation_trie.prefix_trie(table(spark, folder, "conversations"))

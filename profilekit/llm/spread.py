@@ -11,18 +11,21 @@ from profilekit.session import materialise
 
 #: A key is hot when it has more than one row in so many; there are at most this many hot keys, whatever the table.
 SHARES = 1_024
+#: And more than so many rows, below which no task is worth sparing.
+LEAST_HOT = 1_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small`` (one row per key) where a few keys may hold most rows of ``big``.
 
     Rows of hot keys meet a broadcast copy of their at most SHARES partners where they are; only the others are
     shuffled, and no key among them has more than one row in SHARES. ``how`` is inner, left or left_anti. ``big`` is read
-    several times, so it should be a written table. Null keys match nothing.
+    several times, so it should be a written table; ``counts`` has its rows per key (``count``) where they are known.
+    Null keys match nothing.
     """
     keys = list(keys)
-    rows = big.count() if rows is None else rows
-    hot = materialise(big.groupBy(*keys).count().where(F.col("count") > rows // SHARES + 1_000).select(*keys))
+    counts = big.groupBy(*keys).count() if counts is None else counts
+    hot = materialise(counts.where(F.col("count") > big.count() // SHARES + LEAST_HOT).select(*keys))
     if hot.isEmpty():
         return big.join(small, keys, how)
     few = F.broadcast(materialise(small.join(F.broadcast(hot), keys, "left_semi")))

@@ -1,15 +1,17 @@
 """URL filter, filter audit and conversation trie against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from itertools import permutations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from profilekit.llm import filter_audit, url_filter
+from profilekit.llm import conversation_trie, filter_audit, spread, url_filter
 
 # --- URL filter -----------------------------------------------------------------------------------------
 
@@ -116,3 +118,97 @@ def test_word_numbers_are_dense(spark):
     words = spark.createDataFrame([(f"w{i % 777}",) for i in range(2000)], "word string")
     got = filter_audit.word_numbers(words, 100).collect()
     assert sorted(r.number for r in got) == list(range(777)) and len({r.word for r in got}) == 777
+
+
+# --- conversation trie ----------------------------------------------------------------------------------
+
+
+def brute_trie(rows):
+    convs = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            convs.setdefault(c, []).append((turn is not None, turn or 0, role or "", hashlib.sha256((text or "").encode()).hexdigest(), text or ""))
+    original = {c: [(r[2], r[4]) for r in sorted(turns)] for c, turns in convs.items()}
+    rebuilt = {}
+    for c, turns in original.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = original.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:]
+    nodes = {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    children = {}
+    for path in nodes:
+        if path:
+            children.setdefault(path[:-1], []).append(path)
+    totals = {}
+    for path in sorted(nodes, key=len, reverse=True):
+        below = [totals[x] for x in children.get(path, [])]
+        own = (len(nodes[path]) - 1) * len(path[-1][1]) if path else 0
+        totals[path] = (sum(b[0] for b in below) or 1, own + sum(b[1] for b in below))
+    return sorted(((
+        min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), len(children.get(p, [])), *totals[p],
+        hashlib.sha256(",".join(str(c) for c in sorted(m) if len(rebuilt[c]) == len(p)).encode()).hexdigest()) for p, m in nodes.items()), key=str)
+
+
+TRIE_DDL = "conv_id long, turn long, role string, text string, depth int, a long, part string, leaves long"
+
+
+def trie_table(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, "p", 3) for r in rows], TRIE_DDL)
+
+
+def conversations(seed, blocks=3, long_turns=90):
+    r = random.Random(seed)
+    rows = []
+    for c in [100 * b + i for b in range(blocks) for i in r.sample(range(100), 30)]:
+        for t in range(r.choice([0, 1, 2, 3, 6, 9])):
+            rows.append((c, t, r.choice(["user", "assistant", None]), r.choice(["hi", "ho", "x" * 40, "", None, "é"])))
+    # Copies, growing snapshots, a very long conversation and one like it, ties, null turns and ids, a very long text.
+    for c in range(1000, 1040):
+        rows += [(c, t, "user", f"same {t}") for t in range(8)]
+    for c in range(2000, 2030):
+        rows += [(c, t, "user", f"grows {t}") for t in range(c - 1999)]
+    for c in (3000, 3001):
+        rows += [(c, t, "u", f"long {t}" + ("!" if c == 3001 and t > long_turns // 2 else "")) for t in range(long_turns)]
+    rows += [(4000, 1, "b", "y"), (4000, 1, "a", "z"), (4000, 1, "a", "x"), (4000, None, "n", "first"), (None, 1, "u", "lost"), (4001, 0, "u", "z" * 60_000)]
+    rows += [(5000, 0, "u", "again")] * 30 + [(-5, 0, "u", "neg"), (-150, 2, None, None), (0, 0, "user", "hi")]
+    return rows
+
+
+PARAMS = [
+    conversation_trie.TrieParams(),
+    conversation_trie.TrieParams(shard_rows=20, band_nodes=10**6, queue_items=3),
+    conversation_trie.TrieParams(shard_rows=8, band_nodes=6, band_levels=3, queue_items=2),
+]
+
+
+@pytest.mark.parametrize("which", range(3))
+def test_trie_equals_brute_force(spark, monkeypatch, which):
+    monkeypatch.setattr(spread, "LEAST_HOT", 1 if which else 1_000)
+    monkeypatch.setattr(spread, "SHARES", 16 if which else 1_024)
+    rows = conversations(which)
+    random.Random(1).shuffle(rows)
+    got = conversation_trie.prefix_trie(trie_table(spark, rows).repartition(7), PARAMS[which])
+    assert got.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == brute_trie(rows)
+
+
+def test_trie_of_nothing(spark):
+    assert conversation_trie.prefix_trie(trie_table(spark, [])).count() == 0
+    assert conversation_trie.prefix_trie(trie_table(spark, [(None, 1, "u", "t")])).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9), st.integers(0, 3), st.integers(0, 9)), max_size=300), st.integers(1, 9))
+@settings(max_examples=40, deadline=None)
+def test_queue_spills_without_loss(tmp_path_factory, messages, limit):
+    queue = conversation_trie.SpillingQueue(limit, str(tmp_path_factory.mktemp("queue")))
+    queue.MOST_RUNS = 3
+    want = {}
+    for depth, conv_id, leaves, saved in messages:
+        queue.push(depth, conv_id, 1, leaves, saved)
+        sums = want.setdefault((-depth, conv_id), [0, 0, 0])
+        want[-depth, conv_id] = [sums[0] + 1, sums[1] + leaves, sums[2] + saved]
+    for depth, conv_id in sorted(want):
+        assert queue.take(-depth, conv_id) == tuple(want[depth, conv_id])
+    assert queue.empty() and (queue.spilled > 0) == (len(messages) > limit)
