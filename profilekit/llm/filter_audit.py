@@ -2,9 +2,9 @@
 
 1. Every task cuts its rows into shards of bounded text and builds one matrix a shard in compressed rows (CSR): words
    are numbered within the shard, entries are counts. Next to it go the keys of the rows and the flags that need the
-   text itself. Only the distinct words of a shard are shuffled, never the tokens.
-2. The distinct words of all shards get dense global numbers: buckets of the word's hash are numbered one after the
-   other, words in order within their bucket. Joining them back gives each shard its new columns.
+   text itself. Only the distinct words of a shard are shuffled, in arrays by hash bucket, never the tokens.
+2. The distinct words of all shards get dense global numbers: buckets one after the other, words in
+   order within their bucket. Each shard gets back one array of numbers a bucket, the new columns of its matrix.
 3. Row sums of the renumbered matrix are word counts, nonzero counts are distinct words; they decide A and B.
 4. Flags of a row depend on its text alone, but for E, which needs the smallest id with that text. So rows are added up
    by text digest, part and labels before anything is joined, and a text that fills a third of the table is
@@ -13,164 +13,252 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import permutations
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import arrow_schema
 from profilekit.llm.spread import spread_join
 from profilekit.session import materialise
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
+MARKS = b"#$%&*|"
 
 
 @dataclass(frozen=True)
 class AuditParams:
-    """Thresholds of the filters, and how much text one shard and how many words one bucket of the dictionary hold."""
+    """Thresholds of the filters; how much text one shard and how many words of shards one bucket of the dictionary hold."""
 
     least_words: int = 100
     distinct_percent: int = 80
     upper_percent: int = 10
-    shard_chars: int = 2_000_000
-    bucket_words: int = 250_000
+    shard_bytes: int = 24_000_000
+    bucket_words: int = 500_000
 
 
-_BLANK = r"[\x20\x09-\x0D]+"
+# --- shards -------------------------------------------------------------------------------------------------
+
 _SHARD = (
-    "shard long, doc_id array<long>, part array<string>, digest array<binary>, upper array<boolean>, marks array<boolean>, "
+    "shard long, doc_id array<long>, part array<string>, digest array<binary>, flags binary, "
     "indptr binary, indices binary, data binary, words array<string>"
 )
 _SHARD_SCHEMA = pa.schema([
-    ("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("digest", pa.list_(pa.binary())),
-    ("upper", pa.list_(pa.bool_())), ("marks", pa.list_(pa.bool_())),
+    ("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("part", pa.list_(pa.string())), ("digest", pa.list_(pa.binary())), ("flags", pa.binary()),
     ("indptr", pa.binary()), ("indices", pa.binary()), ("data", pa.binary()), ("words", pa.list_(pa.string())),
 ])
 
 
-def csr_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row starts, word numbers, counts, words): the document-term matrix of some texts, numbered within them."""
-    tokens = pc.split_pattern_regex(texts, _BLANK)
-    rows = pc.list_parent_indices(tokens).to_numpy()
-    words = tokens.flatten()
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as differences (modulo 2**32), byte plane after byte plane: small steps leave planes of zeros, which compress away."""
+    steps = np.diff(numbers.astype(np.uint32), prepend=np.uint32(0))
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32).astype(np.int64)
+
+
+def coded_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(row, word) of every token. Arrow's ASCII white space is the contract's: space and \\x09 to \\x0D."""
+    tokens = pc.ascii_split_whitespace(texts)
+    rows, words = pc.list_parent_indices(tokens).to_numpy(), tokens.flatten()
     real = pc.not_equal(words, "")
-    rows, words = rows[real.to_numpy(zero_copy_only=False)], words.filter(real)
-    coded = words.dictionary_encode()
-    width = max(1, len(coded.dictionary))
-    cells, counts = np.unique(rows.astype(np.int64) * width + coded.indices.to_numpy().astype(np.int64), return_counts=True)
-    indptr = np.searchsorted(cells, np.arange(len(texts) + 1, dtype=np.int64) * width)
-    return indptr.astype(np.int64), (cells % width).astype(np.int64), counts.astype(np.int64), coded.dictionary
+    return rows[real.to_numpy(zero_copy_only=False)].astype(np.int64), words.filter(real).dictionary_encode()
+
+
+def csr_of(rows: np.ndarray, words: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row starts, sorted word numbers of each row, counts) of tokens (row, word)."""
+    cells, counts = np.unique(rows * max(1, width) + words, return_counts=True)
+    return np.searchsorted(cells, np.arange(height + 1, dtype=np.int64) * max(1, width)), cells % max(1, width), counts
+
+
+def byte_counts(texts: pa.Array, kinds: list[np.ndarray]) -> list[np.ndarray]:
+    """For each table of 256 flags: how many bytes of each text it marks."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]] if len(texts) else np.empty(0, np.uint8)
+    at = offsets - offsets[0] if len(texts) else offsets
+    return [np.diff(np.r_[0, np.cumsum(kind[body], dtype=np.int64)][at]) for kind in kinds]
+
+
+def _table(marked: Iterable[int]) -> np.ndarray:
+    table = np.zeros(256, np.uint8)
+    table[list(marked)] = 1
+    return table
+
+
+_UPPER, _MARKED, _FIRST = _table(range(65, 91)), _table(MARKS), _table([*range(0x80), *range(0xC0, 0x100)])
+
+
+def text_flags(texts: pa.Array, params: AuditParams) -> np.ndarray:
+    """Bits of C and D for each text; characters are counted by their first bytes."""
+    upper, marked, points = byte_counts(texts, [_UPPER, _MARKED, _FIRST])
+    return (4 * (100 * upper > params.upper_percent * points) + 8 * (marked > 0)).astype(np.uint8)
+
+
+class _Shard:
+    """Rows of one shard as they come in; only coded tokens and distinct words are kept."""
 
+    def __init__(self):
+        self.rows, self.height, self.bytes = [], 0, 0
+        self.parts: list[tuple[pa.RecordBatch, np.ndarray, list[bytes], pa.DictionaryArray]] = []
+
+    def add(self, rows: pa.RecordBatch, size: int, params: AuditParams) -> None:
+        texts = rows.column("text")
+        at, words = coded_tokens(texts)
+        self.rows.append(at + self.height)
+        digests = [hashlib.sha256(t.as_buffer()).digest() for t in texts]
+        self.parts.append((rows.drop_columns(["text"]), text_flags(texts, params), digests, words))
+        self.height += rows.num_rows
+        self.bytes += size
+
+    def row(self) -> pa.RecordBatch:
+        words = pa.chunked_array([p[3] for p in self.parts]).unify_dictionaries()
+        dictionary = words.chunk(0).dictionary
+        coded = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int64)
+        indptr, indices, data = csr_of(np.concatenate(self.rows), coded, self.height, len(dictionary))
+        keys = pa.Table.from_batches([p[0] for p in self.parts]).combine_chunks()
+        one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+        column = lambda name: keys.column(name).combine_chunks()
+        return pa.RecordBatch.from_arrays([
+            pa.array([column("row")[0].as_py()], pa.int64()), one(column("doc_id")), one(column("part")),
+            one(pa.array([d for p in self.parts for d in p[2]], pa.binary())), pa.array([np.concatenate([p[1] for p in self.parts]).tobytes()], pa.binary()),
+            pa.array([packed(indptr)], pa.binary()), pa.array([packed(indices)], pa.binary()), pa.array([packed(data)], pa.binary()), one(dictionary),
+        ], schema=_SHARD_SCHEMA)
+
+
+def csr_shards(rows: DataFrame, params: AuditParams) -> DataFrame:
+    """One row a shard of ``rows`` (row, doc_id, text, part): keys, flags of C and D, matrix and words, numbered within the shard."""
 
-def _shards(docs: DataFrame, params: AuditParams) -> DataFrame:
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, piece = _Shard(), max(1, params.shard_bytes // 8)
         for batch in batches:
-            sizes = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)
-            # A shard ends before the text that would exceed it; a longer text is a shard of its own.
-            start, held = 0, 0
-            cuts = []
-            for i, size in enumerate(sizes.tolist()):
-                if i > start and held + size > params.shard_chars:
-                    cuts.append((start, i))
-                    start, held = i, 0
-                held += size
-            if batch.num_rows:
-                cuts.append((start, batch.num_rows))
-            for start, stop in cuts:
-                rows = batch.slice(start, stop - start)
-                indptr, indices, data, words = csr_of(rows.column(2))
-                one = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([rows.column(0)[0].as_py()], pa.int64()), one(rows.column(1)), one(rows.column(3)), one(rows.column(4)),
-                    one(rows.column(5)), one(rows.column(6)), pa.array([indptr.tobytes()], pa.binary()),
-                    pa.array([indices.astype(np.int32).tobytes()], pa.binary()), pa.array([data.astype(np.int32).tobytes()], pa.binary()), one(words),
-                ], schema=_SHARD_SCHEMA)
+            sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+            start = 0
+            while start < batch.num_rows:
+                # Texts are coded piece by piece; a longer text is a piece of its own.
+                stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), piece, "right")))
+                shard.add(batch.slice(start, stop - start), int(sizes[start:stop].sum()), params)
+                start = stop
+                if shard.bytes >= params.shard_bytes:
+                    yield shard.row()
+                    shard = _Shard()
+        if shard.height:
+            yield shard.row()
 
-    return docs.mapInArrow(build, _SHARD)
+    return rows.mapInArrow(build, _SHARD)
 
 
-def word_numbers(words: DataFrame, bucket_words: int) -> DataFrame:
-    """(word, number): dense numbers from 0 for the distinct words of ``words``.
+# --- the global dictionary ----------------------------------------------------------------------------------
 
-    The driver sees one count per bucket, and there is a bucket for every ``bucket_words`` words.
+_WORDS_DDL, _NUMBERS_DDL = "bucket int, shard long, locals binary, words array<string>", "bucket int, shard long, locals binary, numbers binary, size long"
+_WORDS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("locals", pa.binary()), ("words", pa.list_(pa.string()))])
+_NUMBERS_SCHEMA = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("locals", pa.binary()), ("numbers", pa.binary()), ("size", pa.int64())])
+
+
+def word_numbers(shards: DataFrame, bucket_words: int) -> DataFrame:
+    """(bucket, shard, locals, numbers, size, start): a shard's words in a bucket by local number, their places in the bucket.
+
+    A word's global number is ``start`` plus its place. A bucket holds some ``bucket_words`` entries (a word counts once a shard), so the
+    task that orders it is bounded; the driver sees one number a bucket.
     """
-    distinct = materialise(words.select("word").distinct())
-    buckets = max(1, ceil(distinct.count() / bucket_words))
-    bucketed = distinct.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    sizes = {r["bucket"]: r["count"] for r in bucketed.groupBy("bucket").count().collect()}
+    entries = shards.agg(F.sum(F.size("words")).alias("n")).first()["n"] or 0
+    buckets = max(1, ceil(entries / bucket_words))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].values
+                if not len(words):
+                    continue
+                bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+                locals_ = np.split(order, starts[1:])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[order][starts], pa.int32()), pa.array([batch.column("shard")[i].as_py()] * len(starts), pa.int64()),
+                    pa.array([packed(x) for x in locals_], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.r_[starts, len(order)], pa.int32()), words.take(pa.array(order)))], schema=_WORDS_SCHEMA)
+
+    def number(table: pa.Table) -> pa.Table:
+        lists = table.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        numbers = np.split(place[coded.indices.to_numpy()], np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+        return pa.table([
+            *(table.column(n) for n in ("bucket", "shard", "locals")), pa.array([packed(x) for x in numbers], pa.binary()),
+            pa.array([len(place)] * table.num_rows, pa.int64())], schema=_NUMBERS_SCHEMA)
+
+    dealt = shards.select("shard", "words").mapInArrow(deal, _WORDS_DDL)
+    numbered = materialise(dealt.groupBy("bucket").applyInArrow(number, _NUMBERS_DDL))
+    sizes = {r["bucket"]: r["size"] for r in numbered.groupBy("bucket").agg(F.max("size").alias("size")).collect()}
     starts, at = [], 0
     for bucket in range(buckets):
         starts.append((bucket, at))
         at += sizes.get(bucket, 0)
-    first = F.broadcast(words.sparkSession.createDataFrame(starts, "bucket int, start long"))
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("word")) - 1
-    return bucketed.withColumn("place", place).join(first, "bucket").select("word", (F.col("start") + F.col("place")).alias("number"))
-
-
-def term_matrix(shards: DataFrame, params: AuditParams) -> DataFrame:
-    """(shard, indptr, indices, data, width): the shards with global word numbers, sorted within rows."""
-    entries = materialise(shards.select("shard", F.posexplode("words").alias("local", "word")))
-    numbers = materialise(word_numbers(entries, params.bucket_words))
-    columns = (
-        spread_join(entries, numbers, ["word"]).groupBy("shard")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("local", "number"))), lambda e: e["number"]).alias("columns")))
-    matrix = shards.select("shard", "indptr", "indices", "data").join(columns, "shard", "left")
-    schema = pa.schema([("shard", pa.int64()), ("indptr", pa.binary()), ("indices", pa.binary()), ("data", pa.binary())])
-
-    def renumber(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                indptr = np.frombuffer(row["indptr"], np.int64)
-                indices, data = np.frombuffer(row["indices"], np.int32), np.frombuffer(row["data"], np.int32)
-                columns = np.asarray(row["columns"] or [], np.int64)[indices]
-                order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-                yield pa.RecordBatch.from_pydict({
-                    "shard": [row["shard"]], "indptr": [row["indptr"]], "indices": [columns[order].tobytes()], "data": [data[order].tobytes()]}, schema=schema)
+    first = F.broadcast(shards.sparkSession.createDataFrame(starts, "bucket int, start long"))
+    return numbered.join(first, "bucket")
 
-    return matrix.mapInArrow(renumber, "shard long, indptr binary, indices binary, data binary")
+
+def renumbered(shards: DataFrame, params: AuditParams) -> DataFrame:
+    """``shards`` without words, plus ``columns``: (locals, numbers, start) of every bucket."""
+    numbers = word_numbers(shards, params.bucket_words)
+    columns = numbers.groupBy("shard").agg(F.collect_list(F.struct("locals", "numbers", "start")).alias("columns"))
+    return shards.drop("words").join(columns, "shard", "left")
+
+
+def global_matrix(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row starts, global word numbers sorted within rows, counts) of one row of :func:`renumbered`."""
+    indptr, indices, data = (unpacked(row[name]) for name in ("indptr", "indices", "data"))
+    width = sum(len(c["locals"]) // 4 for c in row["columns"] or ())
+    column_of = np.empty(width, np.int64)
+    for c in row["columns"] or ():
+        column_of[unpacked(c["locals"])] = c["start"] + unpacked(c["numbers"])
+    columns = column_of[indices]
+    order = np.lexsort((columns, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+    return indptr, columns[order], data[order]
 
 
 _FLAG_DDL = "doc_id long, part string, digest binary, mask int"
 _FLAG_SCHEMA = pa.schema([("doc_id", pa.int64()), ("part", pa.string()), ("digest", pa.binary()), ("mask", pa.int32())])
 
 
-def _own_flags(shards: DataFrame, matrix: DataFrame, params: AuditParams) -> DataFrame:
+def _own_flags(shards: DataFrame, params: AuditParams) -> DataFrame:
     """(doc_id, part, digest, mask) of every row: bits of A to D, the first two from row sums and nonzero counts."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                indptr, data = np.frombuffer(row["indptr"].as_py(), np.int64), np.frombuffer(row["data"].as_py(), np.int32)
+                indptr, _, data = global_matrix({n: row[n].as_py() for n in ("indptr", "indices", "data", "columns")})
                 sums = np.diff(np.r_[0, np.cumsum(data, dtype=np.int64)][indptr])
                 nonzero = np.diff(indptr)
-                upper, marks = (row[c].values.to_numpy(zero_copy_only=False).astype(np.int32) for c in ("upper", "marks"))
-                mask = (sums < params.least_words) + 2 * (100 * nonzero < params.distinct_percent * sums) + 4 * upper + 8 * marks
+                mask = (sums < params.least_words) + 2 * (100 * nonzero < params.distinct_percent * sums) + np.frombuffer(row["flags"].as_py(), np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [row["doc_id"].values, row["part"].values, row["digest"].values, pa.array(mask.astype(np.int32))], schema=_FLAG_SCHEMA)
 
-    keys = shards.select("shard", "doc_id", "part", "digest", "upper", "marks")
-    return keys.join(matrix.select("shard", "indptr", "data"), "shard").drop("shard").mapInArrow(read, _FLAG_DDL)
+    return renumbered(shards, params).mapInArrow(read, _FLAG_DDL)
+
 
+# --- counts -------------------------------------------------------------------------------------------------
 
 def failed_filters(docs: DataFrame, labels: DataFrame, params: AuditParams = AuditParams(), part: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, mask, docs, good, toxic): documents per part and set of failed filters (bit 0 is A), labelled ones among them."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    upper = 100 * F.length(F.regexp_replace(text, "[^A-Z]", "")) > params.upper_percent * F.length(text)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
-        F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"),
-        upper.alias("upper"), text.rlike(r"[#$%&*|]").alias("marks"))
-    shards = materialise(_shards(rows, params))
-    matrix = materialise(term_matrix(shards, params))
-    flagged = materialise(_own_flags(shards, matrix, params).groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")))
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
+    shards = materialise(csr_shards(rows, params))
+    flagged = materialise(_own_flags(shards, params).groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")))
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality") == 1, F.col("toxic") == 1).toDF("doc_id", "good", "toxic")
         .where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic")))

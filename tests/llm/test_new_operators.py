@@ -106,7 +106,7 @@ def test_filter_audit(spark):
     docs = spark.createDataFrame([(*row, "x", "y", 1, "p", 1, 2) for row in rows], ddl).repartition(5)
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     want = brute_audit(rows, marks)
-    for params in (filter_audit.AuditParams(), filter_audit.AuditParams(shard_chars=300, bucket_words=50)):
+    for params in (filter_audit.AuditParams(), filter_audit.AuditParams(shard_bytes=3_000, bucket_words=50)):
         got = filter_audit.audit(docs, labels, params)
         assert set(got.columns) == set(AUDIT_COLUMNS)
         assert sorted(map(tuple, got.select(*AUDIT_COLUMNS).collect())) == want
@@ -114,10 +114,29 @@ def test_filter_audit(spark):
     assert filter_audit.failed_filters(docs, labels.limit(0)).agg({"good": "sum"}).first()[0] == 0
 
 
-def test_word_numbers_are_dense(spark):
-    words = spark.createDataFrame([(f"w{i % 777}",) for i in range(2000)], "word string")
-    got = filter_audit.word_numbers(words, 100).collect()
-    assert sorted(r.number for r in got) == list(range(777)) and len({r.word for r in got}) == 777
+def test_global_matrix(spark):
+    r = random.Random(2)
+    rows = [(i, i, " ".join(f"w{r.randrange(400)}" for _ in range(r.choice([0, 1, 40]))), "en") for i in range(80)]
+    params = filter_audit.AuditParams(shard_bytes=900, bucket_words=60)
+    shards = spark.createDataFrame(rows, "row long, doc_id long, text string, part string").repartition(3)
+    shards = filter_audit.materialise(filter_audit.csr_shards(shards, params))
+    got, used = {}, set()
+    for row in filter_audit.renumbered(shards, params).collect():
+        indptr, columns, data = filter_audit.global_matrix({**row.asDict(), "columns": [c.asDict() for c in row["columns"] or []]})
+        for k, doc_id in enumerate(row["doc_id"]):
+            mine = columns[indptr[k]:indptr[k + 1]].tolist()
+            assert mine == sorted(set(mine))
+            used |= set(mine)
+            got[doc_id] = sorted(zip(mine, data[indptr[k]:indptr[k + 1]].tolist()))
+    words = sorted({w for _, _, t, _ in rows for w in t.split()})
+    assert shards.count() > 5 and sorted(used) == list(range(len(words)))
+    number = {}
+    for _, doc_id, text, _ in rows:
+        want = {w: text.split().count(w) for w in text.split()}
+        assert sorted(want.values()) == sorted(n for _, n in got[doc_id])
+        for column, _ in got[doc_id]:
+            number[column] = number.get(column, set(words)) & set(want)
+    assert all(number.values())
 
 
 # --- conversation trie ----------------------------------------------------------------------------------
