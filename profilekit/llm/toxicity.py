@@ -26,6 +26,10 @@ from profilekit.session import materialise
 _MULTIPLIER = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
 _BLOCK = 1 << 18
+#: Slots are counted in blocks that 16 bits number.
+_SLOT_BLOCK = 1 << 16
+#: Texts become Python strings in slices of about so many bytes.
+_SLICE_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -53,7 +57,8 @@ class ToxicityModel:
     intercept: float
 
     def raw(self, text: str) -> float:
-        return float(np.log1p(feature_counts(text, self.feature_of_slot, len(self.weights), self.params)) @ self.weights + self.intercept)
+        found, times = feature_counts(text, self.feature_of_slot, len(self.weights), self.params)
+        return float(np.log1p(times) @ self.weights[found] + self.intercept)
 
     def score(self, text: str) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(text), -700, 700))))
@@ -74,13 +79,40 @@ def ngram_slots(text: str, params: ToxicityParams):
                 yield (value[:_BLOCK] * _SPREAD) >> shift
 
 
-def feature_counts(text: str, feature_of_slot: np.ndarray, width: int, params: ToxicityParams) -> np.ndarray:
-    """Occurrences of each feature in the whole text; entry 0, which stands for no feature, is 0."""
+def feature_counts(text: str, feature_of_slot: np.ndarray, width: int, params: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """(features, occurrences of each in the whole text); entry 0 stands for no feature and is left out."""
     counts = np.zeros(width, np.int64)
-    for slots in ngram_slots(text, params):
-        found = feature_of_slot[slots]
-        counts += np.bincount(found[found > 0], minlength=width)
-    return counts
+    for slots in _per_block(ngram_slots(text, params), params):
+        counts += np.bincount(feature_of_slot[slots], minlength=width)
+    counts[0] = 0
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
+def _per_block(slots, params: ToxicityParams):
+    """Slots of all sizes of one block together."""
+    held = []
+    for found in slots:
+        if held and len(held) == len(params.sizes):
+            yield np.concatenate(held)
+            held = []
+        held.append(found)
+    if held:
+        yield np.concatenate(held)
+
+
+def slices(batch, column: str = "text"):
+    """(start, texts) of a batch in slices of bounded bytes, one text at least; a null text is empty."""
+    import pyarrow.compute as pc
+
+    texts = batch.column(column)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        upto = (sizes[start - 1] if start else 0) + _SLICE_BYTES
+        stop = max(start + 1, int(np.searchsorted(sizes, upto, side="right")))
+        yield start, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 def held_out(doc_id):
@@ -91,7 +123,8 @@ def held_out(doc_id):
 def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams) -> DataFrame:
     """(doc_id, text, toxic) of at most ``max_rows`` labelled rows that are not held out.
 
-    The labels are cut before the join, so what is broadcast has at most ``max_rows`` rows.
+    The labels are cut before the join, so what is broadcast has at most ``max_rows`` rows. A row whose labels contradict
+    each other counts as toxic.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -102,28 +135,70 @@ def training_sample(docs: DataFrame, labels: DataFrame, params: ToxicityParams)
     return id_and_text(docs).join(F.broadcast(chosen), "doc_id")
 
 
-def _slot_counts(sample: DataFrame, params: ToxicityParams) -> DataFrame:
-    """(slot, toxic, n): in how many sample rows of a class a slot occurs, added up per task first."""
+_COUNT_DDL = "block int, toxic int, slots binary, counts binary"
+_BEST_DDL = "slot int, ratio double, evidence double"
+
+
+def slot_counts(sample: DataFrame, params: ToxicityParams) -> DataFrame:
+    """(block, toxic, slots, counts): in how many sample rows of a class a slot occurs, added up per task, in arrays per block."""
 
     def count(batches):
         import pyarrow as pa
 
-        counts = np.zeros((2, 1 << params.slot_bits), np.int32)
+        counts = np.zeros((2, max(_SLOT_BLOCK, 1 << params.slot_bits)), np.int32)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = np.zeros(1 << params.slot_bits, bool)
-                for slots in ngram_slots(text, params):
-                    seen[slots] = True
-                counts[int(toxic > 0)] += seen
+            classes = batch.column("toxic").to_pylist()
+            for start, texts in slices(batch):
+                for text, toxic in zip(texts, classes[start:start + len(texts)]):
+                    mine = counts[int(toxic > 0)]
+                    parts = list(_per_block(ngram_slots(text, params), params))
+                    if len(parts) == 1:
+                        mine[parts[0]] += 1  # a slot that stands there several times is set once
+                    elif parts:
+                        seen = np.zeros(mine.shape, bool)
+                        for slots in parts:
+                            seen[slots] = True
+                        mine += seen
+        schema = pa.schema([("block", pa.int32()), ("toxic", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
         for toxic in (0, 1):
-            found = np.flatnonzero(counts[toxic]).astype(np.int32)
-            for start in range(0, len(found), 1 << 16):
-                part = found[start:start + (1 << 16)]
-                yield pa.RecordBatch.from_pydict(
-                    {"slot": part, "toxic": np.full(len(part), toxic, np.int32), "n": counts[toxic][part]},
-                    schema=arrow_schema("slot int, toxic int, n int"))
-
-    return sample.select("text", "toxic").mapInArrow(count, "slot int, toxic int, n int")
+            for block, part in enumerate(counts[toxic].reshape(-1, _SLOT_BLOCK)):
+                found = np.flatnonzero(part)
+                if len(found):
+                    yield pa.RecordBatch.from_pydict({
+                        "block": [block], "toxic": [toxic], "slots": [found.astype(np.uint16).tobytes()], "counts": [part[found].tobytes()]}, schema=schema)
+
+    return sample.select("text", "toxic").mapInArrow(count, _COUNT_DDL)
+
+
+def strongest_slots(sample: DataFrame, sizes: tuple[int, int], params: ToxicityParams):
+    """Arrow table (slot, ratio, evidence) of the ``features`` slots with the strongest evidence, the smaller slot first at ties."""
+    a, n_good, n_bad = params.smoothing, *sizes
+
+    def judge(frame):
+        import pandas as pd
+
+        counts = np.zeros((2, _SLOT_BLOCK), np.int64)
+        for toxic, slots, times in zip(frame["toxic"], frame["slots"], frame["counts"]):
+            counts[int(toxic)][np.frombuffer(slots, np.uint16)] += np.frombuffer(times, np.int32)
+        good, bad = counts
+        slot = np.flatnonzero(good + bad >= params.least_rows)
+        good, bad = good[slot], bad[slot]
+        ratio = np.log((a + bad) / (2 * a + n_bad)) - np.log((a + good) / (2 * a + n_good))
+        evidence = np.abs(ratio) * np.sqrt(bad + good)
+        best = np.lexsort((slot, -evidence))[:params.features]
+        first = int(frame["block"].iat[0]) * _SLOT_BLOCK
+        return pd.DataFrame({"slot": (slot[best] + first).astype(np.int32), "ratio": ratio[best], "evidence": evidence[best]})
+
+    candidates = materialise(slot_counts(sample, params).groupBy("block").applyInPandas(judge, _BEST_DDL))
+    # Counts by rounded evidence tell from where on the wanted number is reached; only that much is read.
+    level = F.floor(F.col("evidence") * 4)
+    left, cut = params.features, 0
+    for row in candidates.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        cut, left = row["level"], left - row["count"]
+        if left <= 0:
+            break
+    best = candidates.where(level >= cut).toArrow()
+    return best.sort_by([("evidence", "descending"), ("slot", "ascending")]).slice(0, params.features)
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -135,22 +210,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     sizes = {0: 0, 1: 0}
     for row in sample.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect():
         sizes[row["toxic"]] += row["count"]
-    feature_of_slot = np.zeros(1 << params.slot_bits, np.int32)
+    if params.features >= 1 << 16:
+        raise ValueError("at most 65,535 features")
+    feature_of_slot = np.zeros(1 << params.slot_bits, np.uint16)
     if not (sizes[0] and sizes[1]):
         prior = (sizes[1] + 1) / (sizes[0] + sizes[1] + 2)
         return ToxicityModel(params, feature_of_slot, np.zeros(1), float(np.log(prior / (1 - prior))))
 
-    a = params.smoothing
-    ratio = F.log((F.lit(a) + F.col("bad")) / (2 * a + sizes[1])) - F.log((F.lit(a) + F.col("good")) / (2 * a + sizes[0]))
-    # Only the strongest ``features`` slots reach the driver.
-    best = (
-        _slot_counts(sample, params).groupBy("slot")
-        .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
-             F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where(F.col("bad") + F.col("good") >= params.least_rows)
-        .select("slot", ratio.alias("ratio"), (F.abs(ratio) * F.sqrt(F.col("bad") + F.col("good"))).alias("evidence"))
-        .orderBy(F.desc("evidence"), "slot").limit(params.features).toArrow()
-    )
+    best = strongest_slots(sample, (sizes[0], sizes[1]), params)
     feature_of_slot[best["slot"].to_numpy()] = np.arange(1, best.num_rows + 1)
     scale = np.r_[0.0, best["ratio"].to_numpy()]
     width = len(scale)
@@ -163,9 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
         def work(doc_ids, texts):
             found, times = [], []
             for text in texts:
-                counts = feature_counts(text, table, width, params)
-                found.append(np.flatnonzero(counts).astype(np.int32))
-                times.append(counts[found[-1]].astype(np.int32))
+                features, counts = feature_counts(text, table, width, params)
+                found.append(features.astype(np.int32))
+                times.append(counts.astype(np.int32))
             return {"toxic": doc_ids, "found": found, "times": times}
 
         return work
@@ -174,7 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     to_vector = F.udf(lambda at, times: Vectors.sparse(width, at, (np.log1p(times) * shared.value[1][at]).tolist()), VectorUDT())
     rows = found.select((F.col("toxic") > 0).cast("double").alias("label"), to_vector("found", "times").alias("features"))
     model = LogisticRegression(maxIter=params.rounds, regParam=params.penalty, elasticNetParam=params.lasso, standardization=False).fit(rows)
-    return ToxicityModel(params, feature_of_slot, np.asarray(model.coefficients.toArray()) * scale, float(model.intercept))
+    shared.unpersist()
+    weights = np.asarray(model.coefficients.toArray()) * scale
+    # The lasso leaves most features without weight; scoring need not count them.
+    kept = np.r_[0, np.flatnonzero(weights)]
+    place = np.zeros(width, np.uint16)
+    place[kept] = np.arange(len(kept))
+    return ToxicityModel(params, place[feature_of_slot], weights[kept], float(model.intercept))
 
 
 def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,17 +258,19 @@ def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", tex
     empty table gives an empty table.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    ddl = "doc_id long, score double, predicted int"
 
-    def make():
-        fitted = shared.value
-
-        def work(doc_ids, texts):
-            scores = [fitted.score(t) for t in texts]
-            return {"doc_id": doc_ids, "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
+    def run(batches):
+        import pyarrow as pa
 
-        return work
+        fitted = shared.value
+        for batch in batches:
+            for start, texts in slices(batch):
+                scores = [fitted.score(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(texts)), pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=arrow_schema(ddl))
 
-    return per_text(id_and_text(df, id_col, text_col), make, "doc_id long, score double, predicted int")
+    return id_and_text(df, id_col, text_col).mapInArrow(run, ddl)
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
@@ -212,7 +287,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
         fitted = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([fitted.score(t or "") < 0.5 for t in texts], pa.bool_()))
+            for start, texts in slices(batch):
+                yield batch.slice(start, len(texts)).filter(pa.array([fitted.score(t) < 0.5 for t in texts], pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
