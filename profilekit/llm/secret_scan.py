@@ -1,16 +1,17 @@
 """Secrets: base patterns, and a character convolutional network over every other candidate.
 
-One pass over the texts finds the base matches and all candidates: tokens of 12 or more characters of
-``A-Za-z0-9+/_=-`` that hold a digit and touch no base match. Each candidate is seen through windows that cover all of it and
-its surroundings. The network (NumPy: one-hot convolution, maximum over positions, logistic output) is trained on labelled
-findings: values of base matches against candidates that no rule knows, with the words around hidden in half of the
-examples, so that it must also learn what a secret itself looks like. Its scores are calibrated on a part it was not trained on, and the
-threshold of each shape of token has the fewest false alarms among those that keep the wanted recall there. As an unknown secret is
-labelled no secret, two networks are trained on halves of the findings, and each scores the candidates of the other half.
-Candidates above their threshold become spans of kind ``model``.
+One pass over the texts finds the base matches and all candidates: tokens of 6 or more characters of ``A-Za-z0-9+/_.=-``, the base
+patterns' own alphabet and least length, that are not made of words alone; of a token that a base match covers in part, what is left
+counts. Words are up to 20 letters, small, large or with a large first letter, and numbers of up to 5 digits, joined by
+``-./_=+``. Each candidate is seen through windows that cover all of it and its surroundings. The network (NumPy: one-hot convolution, maximum
+over positions, logistic output) is trained on labelled findings: values of base matches against candidates that no rule
+knows, with the words around hidden in half of the examples, so that it must also learn what a secret itself looks like. As an
+unknown secret is labelled no secret, two networks are trained on halves of the findings, and each scores the
+findings of the other half, calibrated on a part it was not trained on. Histograms of these scores over all findings of the table give
+each shape of token its threshold: the highest that keeps the wanted recall of base matches. Candidates at or above it become spans of kind ``model``.
 
 Bounds, both parameters: ``max_examples`` findings of each label train the network (smallest hash first, so the choice does not
-depend on partitions). Every candidate of every text is scored.
+depend on partitions). Every candidate of every text is scored, and the thresholds rest on all findings.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ with 24 or more
 KINDS = ("assign", "access", "hex", "model")
 
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{12,}")
+_ALPHABET = r"[A-Za-z0-9+/_.=-]"
+_WORD = r"(?>[A-Z]?[a-z]{1,20}+|[A-Z]{1,20}+|[0-9]{1,5}+)"
+_PLAIN = rf"[-./_=+]*+(?:{_WORD}(?:[-./_=+]++{_WORD})*+)?+[-./_=+]*+"
+_TOKEN = re.compile(rf"(?<!{_ALPHABET})(?!{_PLAIN}(?!{_ALPHABET})){_ALPHABET}{{6,}}+")
+_WORDS_ONLY = re.compile(_PLAIN)
 _BEFORE, _INSIDE, _AFTER = 24, 48, 16
 _WINDOW = _BEFORE + _INSIDE + _AFTER
 _HIDDEN = "\x00"
@@ -112,7 +117,6 @@ class Network:
     out_bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    thresholds: tuple[float, ...] = (0.5, 0.5, 0.5)
 
     def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = codes.shape[1] - self.kernel.shape[0] + 1
@@ -133,8 +137,8 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(codes) + self.shift, -60, 60)))
 
 
-def train(texts: list[str], labels: np.ndarray, shapes: np.ndarray, params: NetworkParams = NetworkParams()) -> Network | None:
-    """Fit, calibrate and choose thresholds; None without examples of both labels.
+def train(texts: list[str], labels: np.ndarray, params: NetworkParams = NetworkParams()) -> Network | None:
+    """Fit and calibrate; None without examples of both labels.
 
     Every fifth example is for calibration. Adam on the logistic loss, both labels weighted alike.
     """
@@ -176,12 +180,12 @@ def train(texts: list[str], labels: np.ndarray, shapes: np.ndarray, params: Netw
                 second[i] += 0.001 * (grad ** 2 - second[i])
                 weights[i] -= (params.rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)).astype(weights[i].dtype)
     net.out_bias = float(weights[3][0])
-    _calibrate(net, codes[held], labels[held], np.asarray(shapes)[held], params.recall)
+    _calibrate(net, codes[held], labels[held])
     return net
 
 
-def _calibrate(net: Network, codes: np.ndarray, labels: np.ndarray, shapes: np.ndarray, recall: float) -> None:
-    """Logistic calibration by gradient descent, then per shape the threshold that keeps the wanted recall with fewest false alarms."""
+def _calibrate(net: Network, codes: np.ndarray, labels: np.ndarray) -> None:
+    """Logistic calibration by gradient descent."""
     margin = net.margin(codes)
     unit = margin / (np.abs(margin).max() or 1.0)
     slope, shift = 1.0, 0.0
@@ -192,30 +196,59 @@ def _calibrate(net: Network, codes: np.ndarray, labels: np.ndarray, shapes: np.n
         slope -= 2.0 * (error * unit).mean()
         shift -= 2.0 * error.mean()
     net.slope, net.shift = slope / (np.abs(margin).max() or 1.0), shift
-    score = net.score(codes)
 
-    def threshold(rows: np.ndarray) -> float:
-        good = np.sort(score[rows & (labels == 1)])
-        if not len(good):
-            return float("nan")
-        most = good[int(np.floor((1 - recall) * len(good)))]
-        # Halfway down to the next example that would be a false alarm.
-        noise = score[rows & (labels == 0) & (score < most)]
-        return float((most + noise.max(initial=0.0)) / 2)
 
-    # Never below even odds: a threshold that keeps recall by calling most noise secret is no threshold.
-    whole = max(0.5, threshold(np.ones(len(labels), bool)))
-    found = [threshold(shapes == s) for s in range(3)]
-    net.thresholds = tuple(whole if np.isnan(t) else max(0.5, t) for t in found)
+#: Scores are counted in so many bins.
+BINS = 1_000
+
+
+def thresholds(counts: Iterable[tuple[int, int, int, int]], recall: float) -> tuple[float, ...]:
+    """Per shape the highest score that keeps ``recall`` of its base matches; shapes without any take that of all together.
+
+    ``counts`` are (label, shape, bin, findings) over the whole table.
+    """
+    table = np.zeros((4, BINS + 1), np.int64)
+    for label, kind, place, n in counts:
+        if label:
+            table[[kind, 3], place] += n
+    chosen = []
+    for row in table:
+        above = np.cumsum(row[::-1])[::-1]
+        enough = np.flatnonzero(above >= recall * row.sum())
+        chosen.append(enough[-1] / BINS if row.sum() else np.nan)
+    return tuple(float(chosen[3] if np.isnan(t) else t) for t in chosen[:3])
 
 
 # --- over tables ----------------------------------------------------------------------------------------
 
-_FOUND = "doc_id long, base string, n_assign long, n_access long, n_hex long, starts array<int>, ends array<int>, labels array<int>, seen array<string>, windows_of array<int>"
+_FOUND = (
+    "doc_id long, base string, n_assign long, n_access long, n_hex long, starts array<int>, ends array<int>, labels array<int>, "
+    "seen array<string>, windows_of array<int>, firsts array<string>"
+)
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of all candidates, in order; ``base`` are the text's base spans."""
+    known, at, reach = sorted((s, e) for s, _, e in base), 0, 0
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        while at < len(known) and known[at][1] <= start:
+            at += 1
+        pieces, left = [], start
+        for s, e in known[at:]:
+            if s >= end:
+                break
+            pieces.append((left, s))
+            left = max(left, e)
+        pieces.append((left, end))
+        if len(pieces) == 1:
+            yield start, end
+        else:
+            yield from ((s, e) for s, e in pieces if e - s >= 6 and _WORDS_ONLY.match(text, s, e).end() < e)
 
 
 def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: base spans and, for each candidate or base match, its place, label (1: base match) and windows."""
+    """Per row: base spans and, for each candidate or base match, its place, label (1: base match), windows and first window."""
 
     def make():
         def work(doc_ids, texts):
@@ -226,28 +259,23 @@ def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 out["base"].append(joined(base))
                 for kind, name in enumerate(("n_assign", "n_access", "n_hex")):
                     out[name].append(sum(1 for s in base if s[1] == kind))
-                places, reach = [], 0
-                known = sorted((s, e) for s, _, e in base)
+                places = []
                 for s, k, e in base:
                     value = s + len(ASSIGN.match(text, s)[0]) - len(ASSIGN.match(text, s)[2]) if k == 0 else s
                     places.append((value, e, 1))
-                at = 0
-                for m in _TOKEN.finditer(text):
-                    while at < len(known) and known[at][0] < m.end():
-                        reach = max(reach, known[at][1])
-                        at += 1
-                    if reach <= m.start():
-                        places.append((m.start(), m.end(), 0))
-                seen, counts = [], []
+                places += [(s, e, 0) for s, e in candidates(text, base)]
+                seen, counts, firsts = [], [], []
                 for s, e, _ in places:
                     own = list(windows(text, s, e))
                     seen += own
                     counts.append(len(own))
+                    firsts.append(own[0])
                 out["starts"].append([p[0] for p in places])
                 out["ends"].append([p[1] for p in places])
                 out["labels"].append([p[2] for p in places])
                 out["seen"].append(seen)
                 out["windows_of"].append(counts)
+                out["firsts"].append(firsts)
             return out
 
         return work
@@ -259,57 +287,81 @@ def _half(window: str) -> int:
     return zlib.crc32(window.encode()) & 1
 
 
-def _examples(found: DataFrame, params: NetworkParams) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _shape_of(window: str) -> int:
+    return shape(window[_BEFORE:_BEFORE + _INSIDE].rstrip(_HIDDEN))
+
+
+def _examples(found: DataFrame, params: NetworkParams) -> tuple[list[str], np.ndarray]:
     """First windows of at most ``max_examples`` findings of each label, the same whatever the partitions."""
-    rows = found.select(F.explode(F.arrays_zip("labels", F.expr(
-        "transform(windows_of, (n, i) -> element_at(seen, 1 + aggregate(slice(windows_of, 1, i), 0, (a, b) -> a + b)))").alias("window"))).alias("x"))
-    rows = rows.select(F.col("x.labels").alias("label"), F.col("x.window").alias("window")).distinct()
+    rows = found.select(F.explode(F.arrays_zip("labels", "firsts")).alias("x")).select(F.col("x.labels").alias("label"), F.col("x.firsts").alias("window")).distinct()
     picked = None
     for label in (0, 1):
         part = rows.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(params.max_examples)
         picked = part if picked is None else picked.unionByName(part)
     table = picked.toArrow()
-    texts = table["window"].to_pylist()
-    shapes = np.array([shape(t[_BEFORE:_BEFORE + _INSIDE].rstrip(_HIDDEN)) for t in texts], np.int64)
-    return texts, table["label"].to_numpy().astype(np.float64), shapes
+    return table["window"].to_pylist(), table["label"].to_numpy().astype(np.float64)
+
+
+_SCORED = "doc_id long, base string, n_assign long, n_access long, n_hex long, starts array<int>, ends array<int>, labels array<int>, shapes array<int>, scores array<double>"
+
+
+def scored(found: DataFrame, nets: list[Network] | None) -> DataFrame:
+    """``found`` with shape and score of every finding: the largest of its windows', by the network that was not trained on it."""
+    shared = found.sparkSession.sparkContext.broadcast(nets)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted, schema = shared.value, arrow_schema(_SCORED)
+        kept = ("doc_id", "base", "n_assign", "n_access", "n_hex", "starts", "ends", "labels")
+        for batch in batches:
+            shapes, scores = [], []
+            for firsts, seen, counts in zip(*(batch.column(n).to_pylist() for n in ("firsts", "seen", "windows_of"))):
+                shapes.append([_shape_of(w) for w in firsts])
+                if not firsts or not fitted:
+                    scores.append([0.0] * len(firsts))
+                    continue
+                half = np.array([_half(w) for w in firsts])
+                of_window = np.repeat(half, counts)
+                values = np.empty(len(seen))
+                codes = encode(seen)
+                for k, net in enumerate(fitted):
+                    if (of_window == k).any():
+                        values[of_window == k] = net.score(codes[of_window == k])
+                scores.append(np.maximum.reduceat(values, np.cumsum([0, *counts[:-1]])).tolist())
+            yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in kept}, "shapes": shapes, "scores": scores}, schema=schema)
+
+    return found.mapInArrow(run, _SCORED)
 
 
 def scan(df: DataFrame, params: NetworkParams = NetworkParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Defined cases: null is the empty text, without spans; repeated rows get equal results; without base matches or
+    Defined cases: null is the empty text, without spans; a null id stays null; repeated rows get equal results; without base matches or
     without other candidates there is nothing to learn from and only base spans are returned; other columns are
-    ignored; an empty table gives an empty table.
+    ignored; an empty table gives an empty table; texts of any length are scanned whole.
     """
     found = materialise(findings(df, id_col, text_col))
-    texts, labels, shapes = _examples(found, params)
+    texts, labels = _examples(found, params)
     half = np.array([_half(t) for t in texts], np.int64)
-    nets = [train([t for t, h in zip(texts, half) if h != k], labels[half != k], shapes[half != k], params) for k in (0, 1)]
+    nets = [train([t for t, h in zip(texts, half) if h != k], labels[half != k], params) for k in (0, 1)]
     if None in nets:
-        nets = [train(texts, labels, shapes, params)] * 2
-    shared = df.sparkSession.sparkContext.broadcast(None if None in nets else nets)
+        nets = [train(texts, labels, params)] * 2
+    nets = None if None in nets else nets
+    rows = materialise(scored(found, nets))
+    bins = rows.select(F.explode(F.arrays_zip("labels", "shapes", "scores")).alias("x")).groupBy(
+        F.col("x.labels").alias("label"), F.col("x.shapes").alias("shape"), F.floor(F.col("x.scores") * BINS).alias("bin")).count()
+    least = thresholds([tuple(r) for r in bins.collect()], params.recall) if nets else None
     ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, schema = shared.value, arrow_schema(ddl)
+        schema = arrow_schema(ddl)
         for batch in batches:
-            rows = batch.to_pylist()
-            texts = [w for r in rows for w in r["seen"]]
-            scores = [net.score(encode(texts)) for net in fitted] if fitted and texts else []
-            at, spans = 0, []
-            for r in rows:
-                extra, seen = [], 0
-                for start, end, label, n in zip(r["starts"], r["ends"], r["labels"], r["windows_of"]):
-                    first, own = r["seen"][seen], slice(at, at + n)
-                    at, seen = at + n, seen + n
-                    if not label and scores:
-                        k = _half(first)
-                        if scores[k][own].max() >= fitted[k].thresholds[shape(first[_BEFORE:_BEFORE + _INSIDE].rstrip(_HIDDEN))]:
-                            extra.append((start, 3, end))
-                base = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in r["base"].split(",") if x)]
-                spans.append(joined(base + extra))
+            spans, digests = [], []
+            for base, *lists in zip(*(batch.column(n).to_pylist() for n in ("base", "starts", "ends", "labels", "shapes", "scores"))):
+                extra = [(s, 3, e) for s, e, label, kind, score in zip(*lists) if least and not label and score >= least[kind]]
+                known = [(int(s), KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+                spans.append(joined(known + extra))
+                digests.append(sha256_hex(base.encode()))
             yield pa.RecordBatch.from_pydict(
-                {c: batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex")}
-                | {"base_sha256": [sha256_hex(r["base"].encode()) for r in rows], "spans": spans}, schema=schema)
+                {c: batch.column(c) for c in ("doc_id", "n_assign", "n_access", "n_hex")} | {"base_sha256": digests, "spans": spans}, schema=schema)
 
-    return found.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)
