@@ -41,7 +41,7 @@ class AuditParams:
     least_words: int = 100
     distinct_percent: int = 80
     upper_percent: int = 10
-    shard_bytes: int = 24_000_000
+    shard_bytes: int = 12_000_000
     bucket_words: int = 500_000
 
 
