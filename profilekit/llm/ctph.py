@@ -226,7 +226,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     guests = placed.join(F.broadcast(heads), F.col("k") == F.col("head")).select("doc_id", "text", "k", F.col("guest_of").alias("part"), F.lit(1).alias("guest"))
     dealt = (
         placed.withColumn("guest", F.lit(0)).select("doc_id", "text", "k", "part", "guest").unionByName(guests)
-        .repartition(max(1, len(order)), "part").sortWithinPartitions("part", "guest", F.col("k").desc(), "text")
+        .repartitionById(max(1, len(order)), F.col("part")).sortWithinPartitions("part", "guest", F.col("k").desc(), "text")
         .select("doc_id", "text", "part", "guest")
     )
 
