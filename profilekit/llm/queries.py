@@ -76,7 +76,7 @@ def _chat_format(spark, folder):
 
 @query("op7_suffix_dedup")
 def _suffix_dedup(spark, folder):
-    return suffix_dedup.repeated_spans(table(spark, folder, "documents")).drop("spans")
+    return suffix_dedup.repeated_spans(table(spark, folder, "documents"))
 
 
 @query("op9_secret_scan")
