@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import BLOCKS, DIMENSION, FEATURE_NAMES, PAIRS_SQL, VECTORS_SQL, query, rounded, sql_rounded, table, vectors
 from profilekit.functions.scalar import request_key, share_percent, whole_percent
 from profilekit.functions.vector import as_double, block_share, block_unit, dot, top_contributions
-from profilekit.operators.cluster import kmeans
+from profilekit.operators.cell_index import build_cells, open_cells
 from profilekit.operators.labels import centroids
-from profilekit.operators.nearest import Cells, assign_cells, cell_summary, nearest, search_cells
+from profilekit.operators.nearest import nearest
 from profilekit.operators.relational import top_rows
 from profilekit.operators.search import (
     Scoring, compare_two, knn_graph, resolve, response, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest,
 )
-from profilekit.session import materialise, scratch_path
+from profilekit.session import ensure_checkpoint_dir, materialise, scratch_path
+from profilekit.sources.steps import path_exists, remove_path
 from profilekit.sources.index_store import answer_requests, build_index, current_version, index_info, promote, read_index, read_manifest, rebuild
 
 SCORING = Scoring(BLOCKS)
@@ -242,50 +245,37 @@ def _compare_two(spark, folder):
 
 # --------------------------------------------------------- index and requests
 
-#: Of the true neighbours so many are found on the rows whose id is divisible by 50, whatever number of cells it takes.
-ANN_RECALL = 0.9
-
+def cell_index(spark, folder):
+    """The cell index of the embeddings: built by the first query of a session that asks for it, opened by the others."""
+    where = f"{ensure_checkpoint_dir(spark)}/profilekit/{spark.sparkContext.applicationId}/cells-{hashlib.md5(folder.encode()).hexdigest()}"
+    if path_exists(spark, f"{where}/cells/_SUCCESS"):
+        return open_cells(spark, where)
+    remove_path(spark, where)
+    return build_cells(materialise(_sides(vectors(spark, folder))[1]), where)
 
-def _ann_parts(spark, folder, nprobe: int = 4):
-    """(queries, assigned items, cells, cells visited per query, compared neighbours, recall) of the approximate search.
 
-    There are about 4 sqrt(n) cells. The number visited doubles until the recall is reached; all cells are the exact search.
-    """
-    import numpy as np
+@query("ann_search")
+def _ann(spark, folder):
+    """Approximate search of a stored index: only the cells that a query may visit are read."""
+    return knn_graph(vectors(spark, folder), "id", "vector", 10, cells=cell_index(spark, folder)).withColumnsRenamed({"src": "query_id", "dst": "item_id"})
 
-    from profilekit.functions.vector import to_matrix
 
-    v = materialise(vectors(spark, folder))
-    q, i = _sides(v)
-    n = v.count()
-    trained, _ = kmeans(v, "vector", max(1, min(n, round(4 * n ** 0.5))), max_iter=20, out="cell")
-    means = to_matrix(centroids(trained, "vector", "cell").orderBy("cell").toArrow().column("centroid"))
-    centres = means / np.linalg.norm(means, axis=1, keepdims=True)
-    assigned = materialise(assign_cells(i, centres))
-    cells: Cells = cell_summary(assigned, centres)
+@query("ann_recall", f"""WITH {PAIRS_SQL} SELECT count(*) AS n_neighbours, true AS recall_reached FROM near WHERE q % 50 = 0 AND rk <= 10""")
+def _ann_recall(spark, folder):
+    """Exact neighbours of the rows whose id is divisible by 50, and whether the approximate search finds 0.9 of them."""
+    q, i = _sides(materialise(vectors(spark, folder)))
     some = materialise(q.filter("query_id % 50 = 0"))
     wanted = materialise(nearest(some, i, 10).select("query_id", "item_id"))
-    total = wanted.count()
-    while True:
-        found = search_cells(some, assigned, cells, 11, nprobe=nprobe).select("query_id", "item_id")
-        recall = wanted.join(found, ["query_id", "item_id"]).count() / total if total else 1.0
-        if recall >= ANN_RECALL or nprobe >= len(centres):
-            return q, assigned, cells, nprobe, total, recall
-        nprobe = min(2 * nprobe, len(centres))
+    found = nearest(some, i, 10, cells=cell_index(spark, folder)).select("query_id", "item_id", F.lit(1).alias("hit"))
+    return wanted.join(found, ["query_id", "item_id"], "left").agg(
+        F.count(F.lit(1)).alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
 
 
-@query("ann_search")
-def _ann(spark, folder):
-    """Approximate search: k-means cells, as many visited per query as the wanted recall takes."""
-    q, assigned, cells, nprobe, _, _ = _ann_parts(spark, folder)
-    return search_cells(q, assigned, cells, 11, nprobe=nprobe).filter("query_id <> item_id")
-
-
-@query("ann_recall")
-def _ann_recall(spark, folder):
-    """Share of the exact neighbours of the rows whose id is divisible by 50 that the approximate search finds."""
-    _, _, cells, nprobe, total, recall = _ann_parts(spark, folder)
-    return spark.createDataFrame([(total, nprobe, float(recall))], "n_neighbours long, nprobe int, recall double")
+@query("ann_all_cells", f"WITH {PAIRS_SQL} SELECT q AS src, c AS dst, rk AS rank, {sql_rounded('score')} AS score FROM near WHERE rk <= 10")
+def _ann_all(spark, folder):
+    """With every cell allowed the stored index gives the exact neighbours."""
+    out = knn_graph(vectors(spark, folder), "id", "vector", 10, cells=cell_index(spark, folder).exact())
+    return out.select("src", "dst", "rank", rounded("score").alias("score"))
 
 
 @query("index_build", f"""WITH {VECTORS_SQL} SELECT id, generate_subscripts(vector, 1) - 1 AS position, unnest(list_transform(vector, lambda x: {sql_rounded('x', 6)})) AS value,

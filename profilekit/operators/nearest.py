@@ -189,10 +189,20 @@ def nearest(
     broadcast_queries: int = BROADCAST_QUERIES,
     broadcast_items: int = BROADCAST_ITEMS,
     tile_rows: int = TILE_ROWS,
+    cells=None,
 ) -> DataFrame:
-    """Exact top-k: ``(query_id, item_id, score, rank)``."""
+    """Exact top-k: ``(query_id, item_id, score, rank)``.
+
+    With ``cells``, a stored :class:`~profilekit.operators.cell_index.CellIndex` of the items, only the cells it
+    allows are searched: approximate, with the recall measured when it was built.
+    """
     fetch = k + 1 if exclude_self else k
     queries = queries.select(*_columns(queries, ("query_id", "query_vec", *QUERY_LIMITS)))
+    if cells is not None:
+        from profilekit.operators.cell_index import search_cells_stored
+
+        pairs = search_cells_stored(queries, cells, fetch, tile_rows).drop("rank")
+        return top_by_score(pairs.filter(F.col("query_id") != F.col("item_id")) if exclude_self else pairs, k)
     items = items.select(*_columns(items, ("item_id", "item_vec", *ITEM_LIMITS)))
     few_queries = _fits(queries, "query_vec", broadcast_queries)
     if _fits(items, "item_vec", broadcast_items):

@@ -42,7 +42,7 @@ def _as_sides(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataF
 
 
 def knn_graph(df: DataFrame, id_col: str, vector: str, k: int = 49, **kwargs) -> DataFrame:
-    """Cosine neighbours of every row: ``(src, dst, score, rank)``."""
+    """Cosine neighbours of every row: ``(src, dst, score, rank)``; approximate with ``cells=`` a stored cell index."""
     queries, items = _as_sides(df, id_col, vector)
     return nearest(queries, items, k, **kwargs).withColumnsRenamed({"query_id": "src", "item_id": "dst"})
 
@@ -153,6 +153,8 @@ def search(
       the first 2k of them by cosine, re-ranked, first k - possibly fewer than k;
     * ``mode="pre"``: the limits apply before the top-k, so k results are found
       whenever they exist.
+
+    With ``cells=`` a stored cell index of the same rows the candidates are approximate.
     """
     limits = [c for c in QUERY_LIMITS if c in requests.columns]
     filtered = bool(limits)

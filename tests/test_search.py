@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilekit.functions.vector import block_share, top_contributions, unit, well_formed
+from profilekit.operators.cell_index import CellParams, build_cells, open_cells
 from profilekit.operators.nearest import assign_cells, cell_summary, nearest, sample_centres, search_cells
 from profilekit.operators.search import Scoring, compare_two, edges_above, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest
 from profilekit.sources.index_store import answer_requests, build_index, current_version, index_rows, promote, read_index, read_manifest, rebuild
@@ -240,3 +241,35 @@ def test_approximate_search_reaches_its_recall(spark, tmp_path):
     want = {(x.query_id, x.item_id) for x in nearest(q.filter("query_id % 50 = 0"), items, 10).collect()}
     got = {(x.query_id, x.item_id) for x in search_queries._ann(spark, str(tmp_path)).filter("query_id % 50 = 0").collect()}
     assert len(want) == 120 and len(want & got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("copies", [0, 400])
+def test_stored_cells(spark, tmp_path, copies):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(900, 8))
+    if copies:
+        rows[:copies] = rows[0]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    items = spark.createDataFrame([(i, r.tolist(), f"r{i % 3}") for i, r in enumerate(rows)], "item_id long, item_vec array<double>, role string")
+    asked = items.selectExpr("item_id AS query_id", "item_vec AS query_vec")
+    built = build_cells(items, str(tmp_path / "index"), CellParams(max_cells=50, sample_rows=300, recall=0.9))
+    index = open_cells(spark, str(tmp_path / "index"))
+    assert index.most == built.most and len(index.cells.centres) == 50 and index.cells.sizes.sum() == 900
+    want = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in nearest(asked, items, 5).collect()}
+    exact = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in nearest(asked, items, 5, cells=index.exact(), tile_rows=64).collect()}
+    assert exact == want
+    near = {(r.query_id, r.item_id) for r in nearest(asked, items, 5, cells=index).collect()}
+    assert sum((q, i) in near for (q, _), (i, _) in want.items()) >= 0.85 * len(want)
+    limited = asked.withColumn("want_role", F.lit("r1"))
+    pairs = nearest(limited, items, 5, cells=index.exact()).join(items.select("item_id", "role"), "item_id")
+    assert pairs.filter("role <> 'r1'").count() == 0
+
+
+def test_stored_cells_read_only_what_is_visited(spark, tmp_path):
+    items = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(200)], "item_id long, item_vec array<double>")
+    index = build_cells(items, str(tmp_path / "index"))
+    few = index.rows(spark).where(F.col("cell").isin([0, 1]))
+    assert "PartitionFilters: [cell" in few._jdf.queryExecution().toString().replace("PartitionFilters: [isnotnull(cell", "PartitionFilters: [cell")
+    none = build_cells(items.limit(0), str(tmp_path / "none"))
+    assert search_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), items.toDF("id", "vector"), 2, 3, cells=index).count() == 3
+    assert nearest(items.toDF("query_id", "query_vec"), items.limit(0), 3, cells=none).count() == 0
