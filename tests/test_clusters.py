@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from profilekit.operators.cluster import kmeans, passes_gate, ward, ward_merges
 from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, own_agreement
-from profilekit.operators.density import components, density_clusters
+from profilekit.session import materialise
+from profilekit.operators.density import components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
 from profilekit.operators.graph import ego_edges, ego_nodes, merge_graphs
 from profilekit.operators.labels import cluster_zscores, compare_clusters, name_clusters
 from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names
@@ -261,3 +262,80 @@ def test_html_rows_allow_list_and_coverage(spark):
     r = match_coverage(known, links).first()
     assert (r.total, r.matched, r.coverage) == (2, 1, 50.0)
     assert [x.name for x in unmatched_names(known, links).collect()] == ["Nikola Jokić"]
+
+
+def brute_forest(edges):
+    """Kruskal by (w, a, b)."""
+    top, out = {}, []
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if find(a) != find(b):
+            top[find(b)] = find(a)
+            out.append((a, b, w))
+    return out
+
+
+def brute_leaves(ids, forest, least):
+    """Leaf clusters of single linkage: every component as a set, merged edge by edge."""
+    comp = {i: i for i in ids}
+    members, split, leaf = {i: {i} for i in ids}, {i: False for i in ids}, {}
+    for a, b, _ in sorted(forest, key=lambda e: (e[2], e[0], e[1])):
+        x, y = comp[a], comp[b]
+        if len(members[x]) < len(members[y]):
+            x, y = y, x
+        if len(members[y]) >= least:
+            for z in (x, y):
+                if not split[z]:
+                    leaf.update({i: z for i in members[z]})
+            split[x] = True
+        members[x] |= members.pop(y)
+        for i in members[x]:
+            comp[i] = x
+    for x, own in members.items():
+        if len(own) >= least and not split[x]:
+            leaf.update({i: x for i in own})
+    groups = {}
+    for i, x in leaf.items():
+        groups.setdefault(x, set()).add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 90])
+def test_density_equals_single_linkage_on_the_graph(spark, task_edges):
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(c, s, size=(n, 3)) for c, s, n in (((0, 0, 0), 0.2, 60), ((2, 0, 0), 0.3, 50), ((2.5, 1.2, 0), 0.1, 25), ((9, 9, 9), 1.5, 40))])
+    points = np.concatenate([points, np.repeat(points[:1], 30, axis=0), [[50.0, 50, 50]]])
+    frame = spark.createDataFrame([(2**60 + 7 * i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").repartition(3)
+    near = materialise(euclidean_neighbours(frame, "id", "v", 6))
+    edges = [(r.a, r.b, r.w) for r in reachability_edges(near, 3).collect()]
+    forest = minimum_spanning_forest(reachability_edges(near, 3), task_edges)
+    want = brute_forest(edges)
+    assert sorted((r.a, r.b, r.w) for r in forest.collect()) == sorted(want)
+    if task_edges > 10**5:  # over several levels equal weights have another order among them
+        found = {}
+        for r in merge_tree(frame.selectExpr("id AS node"), forest, 8, task_edges).filter("cluster IS NOT NULL").collect():
+            found.setdefault(r.cluster, set()).add(r.node)
+        assert sorted(map(sorted, found.values())) == brute_leaves([2**60 + 7 * i for i in range(len(points))], want, 8)
+    sizes = {r.label: r["count"] for r in density_clusters(frame, "id", "v", 8, 3, k=6, task_edges=task_edges).groupBy("label").count().collect()}
+    assert all(n >= 8 for label, n in sizes.items() if label >= 0) and sum(sizes.values()) == len(points)
+    assert [sizes[i] for i in range(max(sizes) + 1)] == sorted((n for label, n in sizes.items() if label >= 0), reverse=True)
+
+
+def test_merge_tree_over_levels_with_distinct_weights(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.permutation(399) / 399
+    edges = [(i + 1, int(rng.integers(0, i + 1)), float(w)) for i, w in enumerate(weights)]
+    edges = [(min(a, b), max(a, b), w) for a, b, w in edges]
+    table = spark.createDataFrame(edges, "a long, b long, w double")
+    nodes = spark.range(405).withColumnRenamed("id", "node")
+    want = brute_leaves(range(405), edges, 5)
+    for task_edges in (10**6, 150):
+        found = {}
+        for r in merge_tree(nodes, table, 5, task_edges).filter("cluster IS NOT NULL").collect():
+            found.setdefault(r.cluster, set()).add(r.node)
+        assert len(want) > 3 and sorted(map(sorted, found.values())) == want
