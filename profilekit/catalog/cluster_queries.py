@@ -19,6 +19,7 @@ from profilekit.operators.quality import (
     measure_by_cluster, resampling_stability, silhouette, size_report, temporal_stability,
 )
 from profilekit.operators.reduce import component_report, fit_components, map_points, project
+from profilekit.operators.stability import recluster_samples
 from profilekit.plans.full_run import run
 from profilekit.session import materialise
 
@@ -131,6 +132,12 @@ def _resampling(spark, folder):
         "mean_ari double, std_ari double, n_valid_iterations int, stable boolean")
 
 
+@query("resampling_kmeans")
+def _resampling_kmeans(spark, folder):
+    """k-means of 50 samples against that of all rows, each sample with its index."""
+    return recluster_samples(vectors(spark, folder), "id", "vector").withColumn("ari", rounded("ari", 6))
+
+
 # ---------------------------------------------------------------- consensus
 
 @query("coassociation", f"""WITH {LABELLED_SQL}, t AS (SELECT la, lb, lc, count(*) AS n FROM l GROUP BY ALL),

@@ -7,6 +7,7 @@ kept as one row per distinct tuple with its count, never as an n x n matrix.
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 from typing import Sequence
 
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.config import NOISE
+from profilekit.operators.nearest import nearest
 from profilekit.session import materialise
 
-MAX_TUPLES = 8192
+#: Distinct tuples that three clusterings of 50 clusters can form, the most that RunParams admits.
+MAX_TUPLES = 125_000
+#: Up to so many tuples the first nearest partners are found on the driver.
+FEW_TUPLES = 4_096
 
 
 def label_tuples(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -93,17 +98,99 @@ def average_linkage(agreement: np.ndarray, counts: np.ndarray, k: int) -> np.nda
     return np.unique(owner, return_inverse=True)[1]
 
 
+def label_profiles(values: np.ndarray, n_labels: int) -> np.ndarray:
+    """One row per tuple: 1 for each of its labels, noise left out; columns are (algorithm, label)."""
+    columns, start = [], 0
+    for column in values.T:
+        names, code = np.unique(column, return_inverse=True)
+        columns.append(np.where(column == NOISE, -1, code + start))
+        start += len(names)
+    profiles = np.zeros((len(values), max(start, 1)))
+    for code in columns:
+        rows = np.flatnonzero(code >= 0)
+        profiles[rows, code[rows]] = 1.0
+    return profiles / n_labels ** 0.5
+
+
+def profile_linkage(profiles: np.ndarray, counts: np.ndarray, k: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Average linkage as :func:`average_linkage` does it, without a matrix of pairs.
+
+    The agreement of two groups is the inner product of their mean profiles, so a merge is a weighted mean. Each group remembers its best
+    partner; agreements only fall when groups merge, so an outdated partner still bounds the true one and is looked up
+    again only when it comes first. ``first`` are the best partners at the start, where they are known.
+    """
+    n, width = profiles.shape
+    mean, weight, alive = profiles.copy(), counts.astype(float).copy(), np.ones(n, dtype=bool)
+    columns = np.asfortranarray(mean)
+    stamp, owner = np.zeros(n, dtype=np.int64), np.arange(n)
+
+    def best(i: int) -> tuple[float, int] | None:
+        used = np.flatnonzero(mean[i])
+        gap = np.round(1.0 - columns[:, used] @ mean[i, used], 12)
+        gap = np.round(gap, 9)
+        gap[~alive] = np.inf
+        gap[i] = np.inf
+        j = int(gap.argmin())
+        return (float(gap[j]), j) if np.isfinite(gap[j]) else None
+
+    queue = []
+    for i in range(n):
+        found = best(i) if first is None else (round(round(1.0 - float(mean[i] @ mean[first[i]]), 12), 9), int(first[i]))
+        if n > 1 and found is not None:
+            queue.append((found[0], *sorted((i, found[1])), i, found[1], 0, 0))
+    heapq.heapify(queue)
+    left = n
+    while left > max(k, 1) and queue:
+        gap, a, b, i, j, of_i, of_j = heapq.heappop(queue)
+        if not alive[i] or stamp[i] != of_i:
+            continue
+        if not alive[j] or stamp[j] != of_j:
+            found = best(i)
+            if found is not None:
+                heapq.heappush(queue, (found[0], *sorted((i, found[1])), i, found[1], int(stamp[i]), int(stamp[found[1]])))
+            continue
+        mean[a] = (weight[a] * mean[a] + weight[b] * mean[b]) / (weight[a] + weight[b])
+        columns[a] = mean[a]
+        weight[a] += weight[b]
+        alive[b] = False
+        stamp[a] += 1
+        owner[b] = a
+        left -= 1
+        found = best(a)
+        if found is not None:
+            heapq.heappush(queue, (found[0], *sorted((a, found[1])), a, found[1], int(stamp[a]), int(stamp[found[1]])))
+    root = owner.copy()
+    while (root != owner[root]).any():
+        root = owner[root]
+    return np.unique(root, return_inverse=True)[1]
+
+
+def _first_partners(spark, profiles: np.ndarray) -> np.ndarray:
+    """Each tuple's best partner, the smaller number at ties, found by Spark.
+
+    Both sides get a number of their own that makes vectors unit length and leaves products as they are.
+    """
+    rest = np.sqrt(np.maximum(1.0 - (profiles ** 2).sum(axis=1), 0.0))
+    rows = materialise(spark.createDataFrame(
+        [(i, [*p.tolist(), r, 0.0], [*p.tolist(), 0.0, r]) for i, (p, r) in enumerate(zip(profiles, rest.tolist()))],
+        "id long, query_vec array<double>, item_vec array<double>"))
+    found = nearest(rows.selectExpr("id AS query_id", "query_vec"), rows.selectExpr("id AS item_id", "item_vec"), 1).orderBy("query_id").toArrow()
+    return found.column("item_id").to_numpy()
+
+
 def consensus_labels(df: DataFrame, labels: Sequence[str], k: int, out: str = "consensus") -> DataFrame:
-    """Average-linkage consensus: linkage on the tuple table, labels joined back by tuple."""
+    """Average-linkage consensus: linkage on the tuple table, labels joined back by tuple.
+
+    The tuple table has at most MAX_TUPLES rows, whatever the number of rows; it is checked before it is read.
+    """
     rows = label_tuples(df, labels).orderBy(*labels).limit(MAX_TUPLES + 1).collect()
     if len(rows) > MAX_TUPLES:
         raise ValueError(f"more than {MAX_TUPLES} distinct label tuples: use fewer clusters per algorithm")
-    values = np.array([[r[c] for c in labels] for r in rows])
+    values = np.array([[r[c] for c in labels] for r in rows]).reshape(len(rows), len(labels))
     counts = np.array([r["n_rows"] for r in rows])
-    agreement = np.zeros((len(rows), len(rows)))
-    for column in values.T:
-        agreement += (column[:, None] == column[None, :]) & (column[:, None] != NOISE)
-    merged = average_linkage(agreement / len(labels), counts, k)
+    profiles = label_profiles(values, len(labels))
+    first = _first_partners(df.sparkSession, profiles) if len(rows) > FEW_TUPLES else None
+    merged = profile_linkage(profiles, counts, k, first)
     types = {c: df.schema[c].dataType.simpleString() for c in labels}
     lookup = df.sparkSession.createDataFrame(
         [(*[int(v) for v in t], int(m)) for t, m in zip(values, merged)],

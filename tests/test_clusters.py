@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilekit.operators.cluster import kmeans, passes_gate, ward, ward_merges
-from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, own_agreement
+from profilekit.operators import consensus
+from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, label_profiles, own_agreement, profile_linkage
 from profilekit.session import materialise
 from profilekit.operators.density import components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
 from profilekit.operators.graph import ego_edges, ego_nodes, merge_graphs
 from profilekit.operators.labels import cluster_zscores, compare_clusters, name_clusters
 from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names
 from profilekit.operators.quality import davies_bouldin, evaluate, resampling_stability, silhouette, temporal_stability
+from profilekit.operators.stability import ResamplingParams, first_centres, recluster_samples, stability_summary, with_samples
 from profilekit.operators.reduce import fit_components, map_points, project
 from profilekit.operators.relational import capped_pairs, number_rows
 from profilekit.operators.retrieval import compare_baseline, gate, labelled_pairs, recall_and_mrr
@@ -339,3 +341,50 @@ def test_merge_tree_over_levels_with_distinct_weights(spark):
         for r in merge_tree(nodes, table, 5, task_edges).filter("cluster IS NOT NULL").collect():
             found.setdefault(r.cluster, set()).add(r.node)
         assert len(want) > 3 and sorted(map(sorted, found.values())) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_profile_linkage_equals_the_matrix_version(seed):
+    r = np.random.default_rng(seed)
+    algorithms = int(r.integers(1, 4))
+    tuples = np.unique(r.integers(-1, r.integers(1, 5), size=(int(r.integers(2, 60)), algorithms)), axis=0)
+    counts = r.integers(1, 9, size=len(tuples))
+    agreement = sum(((c[:, None] == c[None, :]) & (c[:, None] != -1)).astype(float) for c in tuples.T) / algorithms
+    for k in (1, 2, 3, 6):
+        want = average_linkage(agreement.copy(), counts, k)
+        assert (profile_linkage(label_profiles(tuples, algorithms), counts, k) == want).all()
+
+
+def test_first_partners_from_spark_give_the_same_consensus(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, *[int(x) for x in r.integers(-1, 6, size=3)]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, x int, y int, z int")
+    want = {c.id: c.consensus for c in consensus_labels(frame, ["x", "y", "z"], 5).collect()}
+    monkeypatch.setattr(consensus, "FEW_TUPLES", 1)
+    assert {c.id: c.consensus for c in consensus_labels(frame, ["x", "y", "z"], 5).collect()} == want
+
+
+def test_samples_reclustered_together_equal_one_by_one(spark):
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, 0.6, size=(70, 3)) for c in ((0, 0, 0), (3, 0, 0), (0, 2, 1))])
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>").repartition(4)
+    params = ResamplingParams(k=3, n_iterations=6, seed=9)
+    got = {r["sample"]: r for r in recluster_samples(frame, "id", "v", params).collect()}
+    member = {r.id: r.member for r in with_samples(frame, "id", "v", params).collect()}
+    few = frame.orderBy(F.xxhash64(F.lit(9), F.col("id")), "id").select("id").collect()
+    order, random, labels = [r.id for r in few], np.random.default_rng(9), {}
+    for i in range(7):
+        own = np.array([j for j in order if member[j][i]])
+        centres = first_centres(points[own], 3, random)
+        for _ in range(200):
+            label = ((points[own][:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([points[own][label == c].mean(axis=0) if (label == c).any() else centres[c] for c in range(3)])
+        labels[i] = dict(zip(own.tolist(), label.tolist()))
+    for i in range(1, 7):
+        shared = sorted(labels[i])
+        pairs = spark.createDataFrame([(labels[0][j], labels[i][j]) for j in shared], "a int, b int")
+        assert len(shared) == 168 == got[i].n_rows and abs(adjusted_rand(pairs, "a", "b").first().ari - got[i].ari) < 1e-9
+    total = stability_summary(recluster_samples(frame, "id", "v", params)).first()
+    assert total.n_valid_iterations == 6 and abs(total.mean_ari - np.mean([r.ari for r in got.values()])) < 1e-12
+    assert recluster_samples(frame.limit(0), "id", "v", params).count() == 0
+    assert stability_summary(recluster_samples(frame.limit(4), "id", "v", params)).first().n_valid_iterations == 0
