@@ -109,7 +109,8 @@ def _density(spark, folder):
 
 
 @query("density_gate", f"""WITH {LABELLED_SQL} SELECT count(DISTINCT la) FILTER (la <> -1) AS n_clusters,
-{sql_rounded("avg(CASE WHEN la = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS noise_share, true AS accepted FROM l""")
+{sql_rounded("avg(CASE WHEN la = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)")} AS noise_share,
+count(DISTINCT la) FILTER (la <> -1) >= 2 AND avg(CASE WHEN la = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.5 AS accepted FROM l""")
 def _gate(spark, folder):
     return gate_report(labelled(spark, folder), "la").withColumn("noise_share", rounded("noise_share"))
 

@@ -215,12 +215,11 @@ def _merged(spark, folder):
     return kept.select("source", "target", rounded("score").alias("score"))
 
 
-@query("merged_graph_nodes", f"""WITH {_FINAL}, t AS (SELECT * FROM top WHERE q_role = 'r4'),
+@query("merged_graph_nodes", f"""WITH {_FINAL}, t AS (SELECT * FROM top),
 n AS (SELECT q AS id FROM t UNION SELECT c FROM t)
 SELECT n.id, n.id = 7 AS is_center, n.id IN (SELECT q FROM t) AS expanded, v.label, v.role FROM n JOIN v ON v.id = n.id""")
 def _merged_nodes(spark, folder):
-    found = _found(spark, folder).filter("query_role = 'r4'")
-    edges = materialise(ego_edges(found))
+    edges = materialise(ego_edges(_found(spark, folder)))
     nodes = ego_nodes(edges, vectors(spark, folder).select("id", "label", "role"))
     return merge_graphs(nodes, edges, 7)[0]
 

@@ -89,28 +89,33 @@ def _accepted(spark, folder):
     return accepted_links(full, LISTED)
 
 
-# names looked up: the first two words of every document, of which some are anchors too
-_WANTED = "wanted AS (SELECT doc_id, regexp_extract(text, '^\\S+ \\S+') AS name FROM documents UNION ALL SELECT -page_id - 1, upper(name) FROM rows_ WHERE position = 0)"
+# Names looked up: every two words that follow each other in a document, and every anchor; each name once, with its occurrences.
+_WANTED = """w2 AS (SELECT [x for x in regexp_split_to_array(text, '[ \\t\\n\\r\\f]+') if x <> ''] AS w FROM documents WHERE text IS NOT NULL),
+wanted AS (SELECT name, count(*) AS n FROM (
+  SELECT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS name FROM w2 UNION ALL SELECT translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM rows_) GROUP BY 1)"""
 
 
 def _wanted(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
-    p = _rows(spark, folder).filter("position = 0").select((-F.col("page_id") - 1).alias("doc_id"), F.upper("name").alias("name"))
-    return d.unionByName(p)
+    words = F.filter(F.split("text", "[ \\t\\n\\r\\f]+"), lambda x: x != "")
+    d = table(spark, folder, "documents").where("text IS NOT NULL").select(words.alias("w")).where("size(w) > 1")
+    pairs = d.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("name"))
+    # Only A to Z: what else has an upper case is not the same everywhere.
+    anchors = _rows(spark, folder).select(F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("name"))
+    return pairs.unionByName(anchors).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("name_lookup", f"WITH {_LINKS}, {_WANTED} SELECT doc_id, w.name, links.url FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')}")
+@query("name_lookup", f"WITH {_LINKS}, {_WANTED} SELECT w.name, w.n, links.url FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')}")
 def _lookup(spark, folder):
-    return link_for(_wanted(spark, folder), _links(spark, folder)).select("doc_id", "name", "url")
+    return link_for(_wanted(spark, folder), _links(spark, folder)).select("name", "n", "url")
 
 
-@query("match_coverage", f"""WITH {_LINKS}, {_WANTED} SELECT count(*) AS total, count(links.url) AS matched, {sql_rounded('count(links.url) / count(*) * 100')} AS coverage
-FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')} WHERE w.name <> ''""")
+@query("match_coverage", f"""WITH {_LINKS}, {_WANTED} SELECT sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (links.url IS NOT NULL), 0)::BIGINT AS matched,
+{sql_rounded('coalesce(sum(n) FILTER (links.url IS NOT NULL), 0)::DOUBLE / sum(n) * 100')} AS coverage FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')} WHERE w.name <> ''""")
 def _coverage(spark, folder):
-    return match_coverage(_wanted(spark, folder), _links(spark, folder)).withColumn("coverage", rounded("coverage"))
+    return match_coverage(_wanted(spark, folder), _links(spark, folder), count="n").withColumn("coverage", rounded("coverage"))
 
 
-@query("unmatched_names", f"""WITH {_LINKS}, {_WANTED} SELECT DISTINCT w.name FROM wanted w WHERE w.name <> '' AND {_norm_sql('w.name')} NOT IN (SELECT key FROM links)
+@query("unmatched_names", f"""WITH {_LINKS}, {_WANTED} SELECT w.name FROM wanted w WHERE w.name <> '' AND {_norm_sql('w.name')} NOT IN (SELECT key FROM links)
 ORDER BY w.name LIMIT 50""")
 def _unmatched(spark, folder):
     return unmatched_names(_wanted(spark, folder), _links(spark, folder))

@@ -46,12 +46,14 @@ def link_for(names: DataFrame, links: DataFrame, name: str = "name") -> DataFram
     return names.withColumn("key", normalise_name(F.col(name))).join(links.select("key", "url"), "key", "left")
 
 
-def match_coverage(names: DataFrame, links: DataFrame, name: str = "name") -> DataFrame:
-    """One row: names, matched names, percent."""
+def match_coverage(names: DataFrame, links: DataFrame, name: str = "name", count: str | None = None) -> DataFrame:
+    """One row: names, matched names, percent. ``count`` holds how often a row's name occurs, if names are added up already."""
     looked_up = link_for(names.filter(F.col(name) != ""), links, name)
+    n = F.lit(1) if count is None else F.col(count)
+    total, matched = F.sum(n), F.coalesce(F.sum(F.when(F.col("url").isNotNull(), n)), F.lit(0))
     return looked_up.agg(
-        F.count(F.lit(1)).alias("total"), F.count("url").alias("matched"),
-        F.coalesce(F.avg(F.col("url").isNotNull().cast("double")) * 100, F.lit(0.0)).alias("coverage"),
+        F.coalesce(total, F.lit(0)).cast("long").alias("total"), matched.cast("long").alias("matched"),
+        F.coalesce(matched / total * 100, F.lit(0.0)).alias("coverage"),
     )
 
 
