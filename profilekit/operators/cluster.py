@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -11,8 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.config import NOISE
+from profilekit.functions.vector import to_matrix
+from profilekit.operators.features_tree import clustering_features, nearest_feature
 
 MICRO_CLUSTERS = 1000
+#: Ward keeps a matrix of so many features squared on the driver.
+MOST_FEATURES = 4096
 
 
 def _with_vector(df: DataFrame, vector: str) -> DataFrame:
@@ -70,20 +77,29 @@ def ward_merges(sizes: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 def ward(df: DataFrame, vector: str, k: int, micro: int = MICRO_CLUSTERS, seed: int = 42, out: str = "label") -> DataFrame:
     """Hierarchical Ward labels for any number of rows.
 
-    Spark reduces the rows to at most ``micro`` k-means summaries; the merges run on
-    those sizes and centres and the labels are joined back by summary number.
+    Spark reduces the rows to at most ``micro`` clustering features; the merges run on their counts and means, and every
+    row gets the label of the nearest mean. With no more different rows than ``micro`` this is Ward on the rows themselves.
+    ``seed`` is not used any more: nothing here is random.
     """
-    if not k <= micro <= MICRO_CLUSTERS:
-        raise ValueError(f"micro must lie between k and {MICRO_CLUSTERS}")
-    labelled, _ = kmeans(df, vector, micro, seed, 50, "_micro")
-    summary = lloyd_step(labelled, vector, "_micro").orderBy("_micro").collect()
-    labels = ward_merges(
-        np.array([r["size"] for r in summary]), np.array([r["centre"] for r in summary]), k
-    )
-    lookup = df.sparkSession.createDataFrame(
-        [(int(r["_micro"]), int(l)) for r, l in zip(summary, labels)], f"_micro int, {out} int"
-    )
-    return labelled.join(F.broadcast(lookup), "_micro").drop("_micro")
+    if not k <= micro <= MOST_FEATURES:
+        raise ValueError(f"micro must lie between k and {MOST_FEATURES}")
+    found = clustering_features(df, vector, micro).orderBy("total", "n").toArrow()
+    if not found.num_rows:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    size = found.column("n").to_numpy()
+    centre = to_matrix(found.column("total")) / size[:, None]
+    shared = df.sparkSession.sparkContext.broadcast((centre, ward_merges(size, centre, k).astype(np.int32)))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, labels = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                near = nearest_feature(to_matrix(part.column(vector)), centres)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels[near])], [*part.schema.names, out])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(label, f"{ddl}, `{out}` int")
 
 
 def passes_gate(df: DataFrame, label: str, min_clusters: int = 2, max_noise: float = 0.50) -> bool:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilekit.operators.cluster import kmeans, passes_gate, ward, ward_merges
-from profilekit.operators import consensus
+from profilekit.operators import consensus, features_tree
 from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, label_profiles, own_agreement, profile_linkage
 from profilekit.session import materialise
 from profilekit.operators.density import components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
@@ -388,3 +388,29 @@ def test_samples_reclustered_together_equal_one_by_one(spark):
     assert total.n_valid_iterations == 6 and abs(total.mean_ari - np.mean([r.ari for r in got.values()])) < 1e-12
     assert recluster_samples(frame.limit(0), "id", "v", params).count() == 0
     assert stability_summary(recluster_samples(frame.limit(4), "id", "v", params)).first().n_valid_iterations == 0
+
+
+@pytest.mark.parametrize("most,task_rows", [(40, 10**6), (40, 37), (1000, 50)])
+def test_features_keep_all_sums(spark, monkeypatch, most, task_rows):
+    monkeypatch.setattr(features_tree, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(size=(300, 4)), np.repeat(rng.normal(size=(1, 4)), 150, axis=0)])
+    frame = spark.createDataFrame([(p.tolist(),) for p in points], "v array<double>").repartition(5)
+    found = features_tree.clustering_features(frame, "v", most).collect()
+    assert len(found) <= most and sum(r.n for r in found) == 450
+    assert np.allclose(sum(np.array(r.total) for r in found), points.sum(axis=0)) and np.isclose(sum(r.square for r in found), (points ** 2).sum())
+    if most > 301:
+        assert sorted(r.n for r in found) == [1.0] * 300 + [150.0]
+    again = features_tree.clustering_features(frame.repartition(2), "v", most).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_ward_is_exact_with_a_feature_per_row(spark):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(c, 0.5, size=(25, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 5, 0))])
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>")
+    labels = {r.id: r.label for r in ward(frame, "v", 5).collect()}
+    want = ward_merges(np.ones(len(points)), points, 5)
+    pairs = {(labels[i], int(w)) for i, w in enumerate(want)}
+    assert len(pairs) == 5 == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert ward(frame.limit(0), "v", 2).count() == 0
