@@ -1,7 +1,8 @@
 """Density clustering on a nearest-neighbour graph, its hierarchy taken whole.
 
-Edges between the k nearest neighbours are weighted by mutual reachability; that the graph stands for all pairs is the one
-declared approximation. The rest is exact single linkage:
+Edges between the k nearest neighbours are weighted by mutual reachability. Rows deep inside a cluster have all their neighbours there, so
+the graph alone would join clusters only by way of the rows between them; the lightest edges between clusters are therefore looked for and added
+(:func:`bridges`). That this graph stands for all pairs is the one declared approximation. The rest is exact single linkage:
 
 * a minimum spanning forest by Boruvka rounds in Spark (every component takes its lightest edge, components
   contract); once few enough edges are left, the last part is one task;
@@ -17,17 +18,19 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilekit.config import NOISE
-from profilekit.functions.vector import unit
+from profilekit.functions.vector import to_matrix, unit
 from profilekit.operators.nearest import nearest
 from profilekit.operators.relational import number_rows
 from profilekit.session import materialise
 
 #: Edges that one task takes in the last part of the forest, and on average in a level of the merge tree.
 TASK_EDGES = 1_000_000
+#: Rows of all clusters together that others are compared with when bridges are looked for.
+BRIDGE_ROWS = 16_384
 
 
 def euclidean_neighbours(df: DataFrame, id_col: str, vector: str, k: int, **kwargs) -> DataFrame:
@@ -276,6 +279,58 @@ def merge_tree(nodes: DataFrame, forest: DataFrame, min_size: int, task_edges: i
     return nodes.select("node").join(settled, "node", "left")
 
 
+def bridges(rows: DataFrame, most_rows: int = BRIDGE_ROWS) -> DataFrame:
+    """Light edges ``(a, b, w)`` between clusters: rows are ``node, p, core, cluster``.
+
+    Round by round every cluster takes its lightest edge to another one, and clusters joined so are one from then on, until
+    one is left. All rows are compared with at most ``most_rows`` rows, as many of each cluster (those of smallest hash): with no more rows
+    than that the edges are the true ones. More clusters than ``most_rows`` stay as the neighbour graph joins them.
+    """
+    spark = rows.sparkSession
+    node = rows.schema["node"].dataType.simpleString()
+    name = rows.schema["cluster"].dataType.simpleString()
+    ddl = f"cluster {name}, other {name}, a {node}, b {node}, w double"
+    rows = materialise(rows)
+    taken = spark.createDataFrame([], f"a {node}, b {node}, w double")
+    while True:
+        sizes = rows.groupBy("cluster").count()
+        count = sizes.count()
+        if not 1 < count <= most_rows:
+            return taken
+        first = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
+        side = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max(1, most_rows // count)).drop("_n").toArrow()
+        shared = spark.sparkContext.broadcast((side.column("node").to_pylist(), to_matrix(side.column("p")), side.column("core").to_numpy(), side.column("cluster").to_pylist()))
+
+        def lightest(batches):
+            import numpy as np
+
+            nodes, points, core, cluster = shared.value
+            code = {c: i for i, c in enumerate(dict.fromkeys(cluster))}
+            own, square = np.array([code[c] for c in cluster]), (points ** 2).sum(axis=1)
+            best = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    p, ids, labels = to_matrix(part.column("p")), part.column("node").to_pylist(), part.column("cluster").to_pylist()
+                    gap = np.sqrt(np.maximum((p ** 2).sum(axis=1)[:, None] + square[None, :] - 2.0 * p @ points.T, 0.0))
+                    w = np.maximum(np.maximum(gap, core[None, :]), part.column("core").to_numpy()[:, None])
+                    w[np.array([code[c] for c in labels])[:, None] == own[None, :]] = np.inf
+                    for i, j in enumerate(w.argmin(axis=1).tolist()):
+                        a, b = sorted((ids[i], nodes[j]))
+                        best[labels[i]] = min(best.get(labels[i], (np.inf,)), (float(w[i, j]), a, b, cluster[j]))
+            rows_ = [(c, other, a, b, w) for c, (w, a, b, other) in best.items()]
+            types = dict(zip(("cluster", "other", "a", "b", "w"), kinds))
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows_], types[n]) for k, n in enumerate(types)})
+
+        arrow = side.schema
+        kinds = (arrow.field("cluster").type, arrow.field("cluster").type, arrow.field("node").type, arrow.field("node").type, pa.float64())
+        chosen = materialise(
+            rows.mapInArrow(lightest, ddl).groupBy("cluster").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("cluster", "e.*"))
+        taken = taken.unionByName(chosen.select("a", "b", "w").distinct())
+        joined = components(sizes.select(F.col("cluster").alias("node")), chosen.select(F.col("cluster").alias("a"), F.col("other").alias("b")))
+        rows = materialise(rows.join(F.broadcast(joined.withColumnRenamed("node", "cluster")), "cluster").drop("cluster").withColumnRenamed("root", "cluster"))
+
+
 def density_clusters(
     df: DataFrame,
     id_col: str,
@@ -293,8 +348,15 @@ def density_clusters(
     """
     used = df.select(id_col, (F.col(vector) if max_dims is None else F.slice(F.col(vector), 1, max_dims)).alias("_p"))
     neighbours = materialise(euclidean_neighbours(used, id_col, "_p", k or max(min_samples, 10)))
+    nodes = df.select(F.col(id_col).alias("node"))
     forest = minimum_spanning_forest(reachability_edges(neighbours, min_samples), task_edges)
-    final = materialise(merge_tree(df.select(F.col(id_col).alias("node")), forest, min_cluster_size, task_edges))
+    final = materialise(merge_tree(nodes, forest, min_cluster_size, task_edges))
+    core = neighbours.filter(F.col("rank") == min_samples).select(F.col("src").alias("node"), F.col("distance").alias("core"))
+    placed = used.select(F.col(id_col).alias("node"), F.col("_p").cast("array<double>").alias("p"))
+    found = bridges(final.filter(F.col("cluster").isNotNull()).join(placed, "node").join(core, "node").select("node", "p", "core", "cluster"))
+    # The forest of the graph and the bridges together: edges that the first forest left out close a circle of lighter ones.
+    forest = minimum_spanning_forest(forest.unionByName(found), task_edges)
+    final = materialise(merge_tree(nodes, forest, min_cluster_size, task_edges))
     found = final.filter(F.col("cluster").isNotNull()).groupBy("cluster").count()
     names = number_rows(found, [F.col("count").desc(), F.col("cluster")], out).select("cluster", F.col(out).cast("int"))
     labelled = final.join(names, "cluster", "left").select(F.col("node").alias(id_col), F.coalesce(out, F.lit(NOISE)).alias(out))

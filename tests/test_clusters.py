@@ -9,7 +9,7 @@ from profilekit.operators.cluster import kmeans, passes_gate, ward, ward_merges
 from profilekit.operators import consensus, features_tree
 from profilekit.operators.consensus import adjusted_rand, average_linkage, consensus_labels, drop_low_consensus, label_profiles, own_agreement, profile_linkage
 from profilekit.session import materialise
-from profilekit.operators.density import components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
+from profilekit.operators.density import bridges, components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
 from profilekit.operators.graph import ego_edges, ego_nodes, merge_graphs
 from profilekit.operators.labels import cluster_zscores, compare_clusters, name_clusters
 from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names
@@ -414,3 +414,16 @@ def test_ward_is_exact_with_a_feature_per_row(spark):
     pairs = {(labels[i], int(w)) for i, w in enumerate(want)}
     assert len(pairs) == 5 == len({a for a, _ in pairs}) == len({b for _, b in pairs})
     assert ward(frame.limit(0), "v", 2).count() == 0
+
+
+def test_bridges_are_the_lightest_edges_between_clusters(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.4, size=(20, 2)) for c in ((0, 0), (6, 0), (6, 7), (30, 0))])
+    core = np.sort(((points[:, None] - points[None]) ** 2).sum(axis=2) ** 0.5, axis=1)[:, 3]
+    rows = [(i, p.tolist(), float(core[i]), i // 20) for i, p in enumerate(points)]
+    found = bridges(spark.createDataFrame(rows, "node long, p array<double>, core double, cluster int"))
+    gap = np.maximum(((points[:, None] - points[None]) ** 2).sum(axis=2) ** 0.5, np.maximum(core[:, None], core[None]))
+    between = [(float(gap[20 * a:20 * a + 20, 20 * b:20 * b + 20].min()), a, b) for a in range(4) for b in range(a)]
+    want = sum(w for _, _, w in brute_forest([(b, a, w) for w, a, b in between]))
+    got = brute_forest([(r.a // 20, r.b // 20, r.w) for r in found.collect()])
+    assert len(got) == 3 and sum(w for _, _, w in got) == pytest.approx(want)
