@@ -8,10 +8,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from profilekit.config import ADJUSTED_SUFFIX, ProfileConfig, weight_block
 from profilekit.functions.scalar import direction
-from profilekit.operators.stats import Moments, exact_quantiles, fill_literals, moments
+from profilekit.operators.stats import BROADCAST_BYTES, Moments, exact_quantiles, fill_literals, moments
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -27,20 +28,17 @@ def cohort_median_fill(df: DataFrame, columns: Sequence[str], cohort: str) -> Da
     """Cohort median first, the global median where a cohort has no value at all."""
     overall = medians(df, columns)
     per_cohort = exact_quantiles(df, columns, [0.5], by=cohort)
-
-    def filled(c: str) -> Column:
-        choice = None
-        for key, found in per_cohort.items():
-            if found[c][0] is None:
-                continue
-            hit = F.col(cohort).eqNullSafe(F.lit(key))
-            choice = F.when(hit, found[c][0]) if choice is None else choice.when(hit, found[c][0])
-        fallbacks = [] if choice is None else [choice]
-        if overall[c] is not None:
-            fallbacks.append(F.lit(overall[c]))
-        return F.coalesce(F.col(c).cast("double"), *fallbacks)
-
-    return df.withColumns({c: filled(c) for c in columns})
+    # One row per cohort, so the plan does not grow with their number.
+    kind = T.StructType([T.StructField("_key", df.schema[cohort].dataType), T.StructField("_fill", T.ArrayType(T.DoubleType()))])
+    fills = df.sparkSession.createDataFrame([(key, [found[c][0] for c in columns]) for key, found in per_cohort.items()], kind)
+    if 8 * len(columns) * len(per_cohort) <= BROADCAST_BYTES:
+        fills = F.broadcast(fills)
+    joined = df.join(fills, F.col(cohort).eqNullSafe(F.col("_key")), "left")
+    filled = {
+        c: F.coalesce(F.col(c).cast("double"), F.get("_fill", F.lit(i)), *([F.lit(overall[c])] if overall[c] is not None else []))
+        for i, c in enumerate(columns)
+    }
+    return joined.withColumns(filled).drop("_key", "_fill")
 
 
 def _z(value: Column, m: Moments) -> Column:

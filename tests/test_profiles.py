@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.config import ProfileConfig, TableSpec
@@ -166,6 +167,34 @@ def test_bracketed_quantiles_by_cohort(spark):
     assert exact_quantiles(df, ["x"], [0.5], by="cohort", small_rows=0, bracket_rows=1) == exact_quantiles(df, ["x"], [0.5], by="cohort")
 
 
+def test_quantiles_of_many_cohorts_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    groups = np.concatenate([np.zeros(4000), rng.integers(1, 500, 8000)]).astype(int)
+    values = pd.DataFrame({"g": [f"c{g}" if g != 7 else None for g in groups], "a": rng.normal(size=len(groups)).round(2), "b": rng.integers(0, 3, len(groups)).astype(float)})
+    values.loc[rng.random(len(values)) < 0.1, "a"] = None
+    df = spark.createDataFrame([(r.g, None if pd.isna(r.a) else r.a, None if r.g == "c9" else r.b) for r in values.itertuples()], "g string, a double, b double").repartition(6)
+    probs = [0.0, 0.05, 0.5, 0.9, 1.0]
+    passes = []
+    inner = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: passes.append(1) or inner(self))
+    found = exact_quantiles(df, ["a", "b"], probs, by="g", small_rows=0, bracket_rows=200)
+    assert len(passes) <= 7  # not one chain per cohort
+    wanted = exact_quantiles(df, ["a", "b"], probs, by="g")
+    assert found.keys() == wanted.keys() and len(found) > 400 and None in found
+    for key, columns in wanted.items():
+        for c, numbers in columns.items():
+            assert found[key][c] == (pytest.approx(numbers) if None not in numbers else numbers), (key, c)
+
+
+def test_quantiles_with_infinite_and_missing_numbers(spark):
+    values = [math.nan] * 30 + [math.inf] * 5 + [-math.inf] * 5 + [float(i) for i in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    found = exact_quantiles(df, ["v"], [0.0, 0.5, 0.67, 1.0], small_rows=0, bracket_rows=3)[None]["v"]
+    assert found[:2] == [-math.inf, pytest.approx(44.5)] and found[2] == math.inf and math.isnan(found[3])
+    empty = df.filter("v < -1e300 and v > 0")
+    assert exact_quantiles(empty, ["v"], [0.5], small_rows=-1)[None]["v"] == [None]
+
+
 def test_quality_report_flags_missing_only(spark):
     df = spark.createDataFrame([(None, 0.0)] * 2 + [(1.0, 0.0)] * 3 + [(1.0, 0.0)] * 20 + [(1.0, 100.0)], "a double, b double")
     got = {r["column"]: r for r in quality_report(df, ["a", "b"], 0.05).collect()}
