@@ -1,4 +1,4 @@
-"""Versioned index tables: vectors with metadata, a manifest per version, a pointer to the current one."""
+"""Versioned index tables: vectors with metadata, a manifest per version, numbered commits that name the current one."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from profilekit.config import check_manifest
 from profilekit.functions.vector import as_double, unit
 from profilekit.operators.retrieval import capture_baseline, compare_baseline, gate
-from profilekit.sources.steps import move_path, path_exists, remove_path
+from profilekit.sources.steps import create_file, file_names, move_path, path_exists, remove_path
 
 MANIFEST_SCHEMA = "version string, feature_names array<string>, n_vectors bigint, dimension int, built_at timestamp"
 
@@ -79,33 +79,52 @@ def read_index(spark: SparkSession, folder: str, version: str | None = None) ->
     return spark.read.parquet(f"{folder.rstrip('/')}/entities/version={wanted}")
 
 
+def current_commit(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and version of the latest publication; (0, None) before the first."""
+    names = [n for n in file_names(spark, f"{folder.rstrip('/')}/commits") if n.endswith(".json")]
+    if not names:
+        return 0, None
+    record = json.loads(spark.read.text(f"{folder.rstrip('/')}/commits/{names[-1]}", wholetext=True).first()[0])
+    return int(names[-1].removesuffix(".json")), record["version"]
+
+
 def current_version(spark: SparkSession, folder: str) -> str | None:
-    path = f"{folder.rstrip('/')}/current"
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        return None
-    return json.loads(spark.read.text(path).first()[0])["version"]
+    return current_commit(spark, folder)[1]
 
 
-def promote(spark: SparkSession, folder: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/current")
+def promote(spark: SparkSession, folder: str, version: str, after: int | None = None) -> bool:
+    """Publish a version as commit ``after + 1``; False when another publication has that number already.
+
+    Commits are small numbered files that are never changed, and the highest one counts: a reader sees the version before
+    or the one after, never none. Without ``after`` the version is published behind whatever is current.
+    """
+    while True:
+        base = current_commit(spark, folder)[0] if after is None else after
+        record = json.dumps({"version": version, "after": base})
+        if create_file(spark, f"{folder.rstrip('/')}/commits/{base + 1:012d}.json", record):
+            return True
+        if after is not None:
+            return False
 
 
 def rebuild(rows: DataFrame, folder: str, features: Sequence[str], searcher, k: int = 10) -> dict[str, object]:
     """Build a version and promote it only when its answers stay close to the current version's.
 
-    ``searcher`` maps an index to results ``(query_id, item_id, rank)`` of the canonical queries.
+    ``searcher`` maps an index to results ``(query_id, item_id, rank)`` of the canonical queries. When another version is
+    published meanwhile, the gate is asked again against that one, so no version is promoted over one it was not compared with.
     """
     spark = rows.sparkSession
-    before = current_version(spark, folder)
+    number, before = current_commit(spark, folder)
     version = build_index(rows, folder, features)
-    if before is None:
-        promote(spark, folder, version)
-        return {"version": version, "promoted": True, "mean_jaccard": None, "n_alerts": 0}
-    old, new = (capture_baseline(searcher(read_index(spark, folder, v)), k) for v in (before, version))
-    verdict = gate(compare_baseline(old, new)).first()
-    if verdict["passed"]:
-        promote(spark, folder, version)
-    return {"version": version, "promoted": verdict["passed"], "mean_jaccard": verdict["mean_jaccard"], "n_alerts": verdict["n_alerts"]}
+    while True:
+        result = {"version": version, "promoted": True, "mean_jaccard": None, "n_alerts": 0}
+        if before is not None:
+            old, new = (capture_baseline(searcher(read_index(spark, folder, v)), k) for v in (before, version))
+            verdict = gate(compare_baseline(old, new)).first()
+            result |= {"promoted": verdict["passed"], "mean_jaccard": verdict["mean_jaccard"], "n_alerts": verdict["n_alerts"]}
+        if not result["promoted"] or promote(spark, folder, version, number):
+            return result
+        number, before = current_commit(spark, folder)
 
 
 def index_info(rows: DataFrame) -> DataFrame:

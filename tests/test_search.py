@@ -9,7 +9,8 @@ from profilekit.functions.vector import block_share, top_contributions, unit, we
 from profilekit.operators.cell_index import CellParams, build_cells, open_cells
 from profilekit.operators.nearest import assign_cells, cell_summary, nearest, sample_centres, search_cells
 from profilekit.operators.search import Scoring, compare_two, edges_above, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest
-from profilekit.sources.index_store import answer_requests, build_index, current_version, index_rows, promote, read_index, read_manifest, rebuild
+from profilekit.sources.index_store import answer_requests, build_index, current_commit, current_version, index_rows, promote, read_index, read_manifest, rebuild
+from profilekit.sources.steps import file_names
 
 N, D, K = 700, 8, 5
 
@@ -216,6 +217,42 @@ def test_rebuild_never_touches_what_is_live(spark, frame, tmp_path):
     assert third["promoted"] and read_index(spark, folder).count() == N == read_index(spark, folder, second["version"]).count()
 
 
+def test_publications_that_meet_are_gated_against_each_other(spark, frame, tmp_path):
+    folder, names = str(tmp_path), [f"f{i}" for i in range(D)]
+    rows = index_rows(frame, "id", "vector", [F.col("role")])
+    broken = rows.withColumn("vector", unit(F.transform("vector", lambda x, i: F.when(i < 2, x).otherwise(0.0))))
+    seen, other = [], []
+
+    def ask(index):
+        # a reader at any moment finds a version
+        seen.append(current_version(spark, folder))
+        return knn_graph(index.filter("id < 60"), "id", "vector", 3).select(F.col("src").alias("query_id"), F.col("dst").alias("item_id"), "rank")
+
+    def ask_late(index):
+        if not other:  # someone publishes between this build's first look and its commit
+            other.append(build_index(broken, folder, names))
+            assert promote(spark, folder, other[0])
+        return ask(index)
+
+    first = rebuild(rows, folder, names, ask)
+    assert current_commit(spark, folder) == (1, first["version"])
+    late = rebuild(rows.withColumn("role", F.lit("other")), folder, names, ask_late)
+    # close to the first version, not to the one that came between
+    assert not late["promoted"] and current_commit(spark, folder) == (2, other[0])
+    assert seen and set(seen) <= {first["version"], other[0]}
+    assert not promote(spark, folder, late["version"], after=1) and current_version(spark, folder) == other[0]
+    assert promote(spark, folder, late["version"], after=2) and current_commit(spark, folder) == (3, late["version"])
+    assert [n[-6:] for n in file_names(spark, f"{folder}/commits")] == ["1.json", "2.json", "3.json"]
+
+
+def test_first_publications_that_meet(spark, frame, tmp_path):
+    folder, names = str(tmp_path), [f"f{i}" for i in range(D)]
+    rows = index_rows(frame.filter("id < 60"), "id", "vector", [F.col("role")])
+    version = build_index(rows, folder, names)
+    assert [promote(spark, folder, v, after=0) for v in (version, "late")] == [True, False]
+    assert current_commit(spark, folder) == (1, version)
+
+
 def test_requests_without_answers_are_answered_once(spark, tmp_path):
     asked = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "request_key string, n long")
     calls = []
