@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import (
@@ -20,8 +22,9 @@ from profilekit.operators.scale import (
     add_composites, assemble, cohort_median_fill, cohort_zscore, median_fill, robust_scale, row_profile, standard_z, weight_columns,
 )
 from profilekit.plans.features import engineer
-from profilekit.session import materialise
+from profilekit.session import materialise, scratch_path
 from profilekit.sources.index_store import index_rows
+from profilekit.sources.tables import bad_row_counts, bad_rows, read_dimension, read_facts
 
 CFG = CUSTOMER_YEARS
 COUNTS = ["n_orders", "n_lines", "n_events"]
@@ -61,6 +64,48 @@ def _merge_facts(spark, folder):
     return show(merged(spark, folder), ["period", "entity", "status", "tag", *COUNTS], REALS)
 
 
+_TYPES = {"entity": "bigint", "status": "string", "tag": "string", "n_orders": "bigint", "n_lines": "bigint", "events": "bigint"}
+FILES = replace(
+    CFG, flag="building", dimension_measures=("balance",),
+    fact_tables=tuple(TableSpec(n, f"{n}.csv", ("entity", "period"), types=_TYPES, rename={"events": "n_events"} if n == "events" else {})
+                      for n in ("orders", "lines", "events")),
+    dimension=TableSpec("customers", "customers.csv", ("entity",), types={"entity": "bigint", "balance": "double", "building": "boolean"}, other="string"),
+)
+
+
+def _as_files(spark, folder):
+    """The fact tables and the customers as CSV, with the orders of every 50th customer again in lines that cannot be read."""
+    where = scratch_path(spark, "csv")
+    a, b, c = facts(spark, folder)
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("entity"), F.col("c_name").alias("label"), F.col("c_acctbal").alias("balance"), (F.col("c_mktsegment") == "BUILDING").alias("building"))
+    for name, df in (("orders", a), ("lines", b.drop("n_orders")), ("events", c.withColumnRenamed("n_events", "events")), ("customers", customers)):
+        df.write.option("header", True).csv(f"{where}/{name}.csv")
+    broken = a.filter("entity % 50 = 0").select([F.lit("many").alias(n) if n == "n_orders" else F.col(n) for n in a.columns])
+    broken.write.mode("append").option("header", True).csv(f"{where}/orders.csv")
+    return where
+
+
+@query("facts_from_csv", f"""WITH {FACTS_SQL}
+SELECT period, m.entity, status, tag, {', '.join(COUNTS)}, {', '.join(f'{sql_rounded(c)} AS {c}' for c in REALS)},
+       {sql_rounded('c_acctbal')} AS balance, c_mktsegment = 'BUILDING' AS building
+FROM merged m LEFT JOIN customer ON m.entity = c_custkey""")
+def _facts_from_csv(spark, folder):
+    """All facts and the dimension through the readers, merged."""
+    where = _as_files(spark, folder)
+    both = merge_facts(read_facts(spark, where, FILES), CFG.join_keys).join(read_dimension(spark, where, FILES), "entity", "left")
+    return show(both, ["period", "entity", "status", "tag", *COUNTS, "building"], [*REALS, "balance"])
+
+
+@query("csv_bad_rows", """SELECT 'orders' AS table_name, count(*) AS n_bad, count(*) FILTER (c LIKE '%,many,%') AS n_shown
+FROM (SELECT ',many,' AS c FROM orders WHERE o_custkey % 50 = 0 GROUP BY o_custkey, year(o_orderdate)) HAVING count(*) > 0""")
+def _csv_bad_rows(spark, folder):
+    """Lines that do not fit the declared types, with their text."""
+    bad = bad_rows(spark, _as_files(spark, folder), [*FILES.fact_tables, FILES.dimension])
+    shown = bad.groupBy("table_name").agg(F.count_if(F.col("record").contains(",many,")).alias("n_shown"))
+    return bad_row_counts(bad).groupBy("table_name").agg(F.sum("n_bad").alias("n_bad")).join(shown, "table_name")
+
+
 @query("merge_facts_unique_keys", f"""WITH {FACTS_SQL},
 e AS (SELECT entity, period, count(*) AS n_lines, sum(l_quantity) AS qty FROM
       (SELECT l_suppkey AS entity, year(l_shipdate) AS period, l_quantity FROM lineitem) GROUP BY 1, 2),

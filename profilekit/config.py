@@ -112,11 +112,20 @@ class CompositeRule:
 
 @dataclass(frozen=True)
 class TableSpec:
+    """One input table.
+
+    ``types`` gives the SQL type of a column as the file calls it; other columns of a CSV take ``other``. ``missing`` is the
+    text that stands for no value, besides an empty field.
+    """
+
     name: str
     file: str
     required: tuple[str, ...]
     min_rows: int = 0
     rename: Mapping[str, str] = field(default_factory=dict)
+    types: Mapping[str, str] = field(default_factory=dict)
+    other: str = "double"
+    missing: str = "NA"
 
 
 @dataclass(frozen=True)

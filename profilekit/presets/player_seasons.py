@@ -5,12 +5,14 @@ All values below are fixed values: names, ranges and labels that results depend
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from profilekit.config import BlockRule, CompositeRule, ProfileConfig, TableSpec
 
 _SEASON_KEYS = ("season", "player_id", "player", "lg", "team", "pos", "age", "g", "mp")
 
 # Input files, required columns and smallest row counts.
-FACT_TABLES = (
+_TABLES = (
     TableSpec(
         "advanced", "Advanced.csv",
         _SEASON_KEYS + (
@@ -35,7 +37,11 @@ FACT_TABLES = (
     TableSpec("per_36", "Per 36 Minutes.csv", _SEASON_KEYS, 500),
     TableSpec("season_info", "Player Season Info.csv", _SEASON_KEYS[:-2], 500),
 )
-CAREER_TABLE = TableSpec("career", "Player Career Info.csv", ("player_id", "ht_in_in", "wt", "hof"), 100)
+FACT_TABLES = tuple(replace(t, types=dict.fromkeys(("player_id", "player", "lg", "team", "pos"), "string")) for t in _TABLES)
+CAREER_TABLE = TableSpec(
+    "career", "Player Career Info.csv", ("player_id", "ht_in_in", "wt", "hof"), 100,
+    types={"ht_in_in": "double", "wt": "double", "hof": "boolean"}, other="string",
+)
 
 # Debut cohorts, both ends included.
 COHORTS = {

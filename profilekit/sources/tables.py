@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +16,67 @@ from profilekit.operators.profile import nan_to_null
 from profilekit.operators.relational import first_per_key
 
 BASELINE_SCHEMA = "query_id string, ids array<string>"
-TEXT_COLUMNS = {"player_id", "player", "lg", "team", "pos"}
+BAD_RECORD, BAD_FILE = "_bad_record", "_bad_file"
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names of a CSV file, or of the files of a folder, which must agree."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def declared_schema(columns: Sequence[str], spec: TableSpec) -> T.StructType:
+    """The types that ``spec`` declares, in the order of the file."""
+    return T.StructType([T.StructField(c, T.StructType.fromDDL(f"x {spec.types.get(c, spec.other)}")[0].dataType) for c in columns])
+
+
+def _csv(spark: SparkSession, path: str, schema: T.StructType, missing: str) -> DataFrame:
+    """Typed rows; one that does not fit keeps its text in the last column, with the file it stands in."""
+    with_text = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    reader = spark.read.option("header", True).option("nanValue", "NaN").option("nullValue", missing).option("mode", "PERMISSIVE")
+    # a header that does not name the declared columns in their places is an error, not shifted numbers
+    reader = reader.option("enforceSchema", False).option("columnNameOfCorruptRecord", BAD_RECORD)
+    rows = reader.schema(with_text).csv(path).withColumn(BAD_FILE, F.col("_metadata.file_path"))
+    # A scan only converts columns that are asked for, so what fits would depend on the query. The condition, true for
+    # every row, asks for all of them.
+    return rows.filter(F.hash(*schema.names) >= F.lit(-(1 << 31)))
+
+
+def _path(folder: str, spec: TableSpec) -> str:
+    return f"{folder.rstrip('/')}/{spec.file}"
+
+
+def _schema(spark: SparkSession, folder: str, spec: TableSpec, schema: T.StructType | str | None) -> T.StructType:
+    if schema is None:
+        return declared_schema(header_of(spark, _path(folder, spec)), spec)
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
 def read_table(spark: SparkSession, folder: str, spec: TableSpec, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV or Parquet by file name. A CSV without a schema is typed from its header in one extra pass."""
-    path = f"{folder.rstrip('/')}/{spec.file}"
-    if path.endswith(".parquet"):
-        df = spark.read.parquet(path)
-    else:
-        reader = spark.read.option("header", True).option("nanValue", "NaN")
-        df = (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
-    return nan_to_null(df)
+    """CSV or Parquet by file name. A CSV has the types that ``spec`` declares, unless a schema is given: no pass to guess them.
+
+    Rows of a CSV that do not fit are left out here and returned by :func:`bad_rows`.
+    """
+    if spec.file.endswith(".parquet"):
+        return nan_to_null(spark.read.parquet(_path(folder, spec)))
+    rows = _csv(spark, _path(folder, spec), _schema(spark, folder, spec, schema), spec.missing)
+    return nan_to_null(rows.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD, BAD_FILE))
+
+
+def bad_rows(spark: SparkSession, folder: str, specs: Sequence[TableSpec], schemas: Mapping[str, object] | None = None) -> DataFrame:
+    """``(table_name, file, record)`` of all CSV rows that do not fit: unreadable values, too few or too many fields."""
+    parts = [
+        _csv(spark, _path(folder, spec), _schema(spark, folder, spec, (schemas or {}).get(spec.name)), spec.missing)
+        .filter(F.col(BAD_RECORD).isNotNull())
+        .select(F.lit(spec.name).alias("table_name"), F.col(BAD_FILE).alias("file"), F.col(BAD_RECORD).alias("record"))
+        for spec in specs if not spec.file.endswith(".parquet")
+    ]
+    empty = spark.createDataFrame([], "table_name string, file string, record string")
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def bad_row_counts(bad: DataFrame) -> DataFrame:
+    """Bad rows per table and file."""
+    return bad.groupBy("table_name", "file").agg(F.count(F.lit(1)).alias("n_bad"))
 
 
 def read_facts(spark: SparkSession, folder: str, cfg: ProfileConfig, schemas: Mapping[str, object] | None = None) -> list[DataFrame]:

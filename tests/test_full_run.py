@@ -5,12 +5,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from profilekit.config import RunParams
+from profilekit.config import RunParams, TableSpec
 from profilekit.operators.merge import require_valid_schemas, schema_report
 from profilekit.plans.explore import compare_by_name, entity_profiles, similar_by_name
 from profilekit.plans.full_run import run, save
 from profilekit.presets.player_seasons import PLAYER_SEASONS as P
-from profilekit.sources.tables import read_dimension, read_facts
+from profilekit.sources.tables import bad_row_counts, bad_rows, read_dimension, read_facts, read_table
 
 PLAYERS, SEASONS = 60, 6
 
@@ -48,6 +48,25 @@ def folder(tmp_path_factory):
     return str(root)
 
 
+def test_rows_that_do_not_fit_are_kept_aside(spark, folder, tmp_path):
+    spec = TableSpec("t", "t.csv", ("k",), types={"k": "string", "n": "int", "on": "boolean"})
+    part = tmp_path / "t.csv"
+    part.mkdir()
+    (part / "1.csv").write_text("k,n,on,x\na,1,TRUE,0.5\nb,two,false,1\nc,NA,,\n")
+    (part / "2.csv").write_text("k,n,on,x\nd,4,true,NaN\ne,5,true\nf,6,true,1,9\n")
+    got = {r.k: tuple(r)[1:] for r in read_table(spark, str(tmp_path), spec).collect()}
+    assert got == {"a": (1, True, 0.5), "c": (None, None, None), "d": (4, True, None)}
+    assert sorted(r.k for r in read_table(spark, str(tmp_path), spec).select("k").collect()) == ["a", "c", "d"]
+    bad = bad_rows(spark, str(tmp_path), [spec])
+    assert bad.count() == 3
+    assert sorted(r.record for r in bad.collect()) == ["b,two,false,1", "e,5,true", "f,6,true,1,9"]
+    assert sorted((r.table_name, r.file[-5:], r.n_bad) for r in bad_row_counts(bad).collect()) == [("t", "1.csv", 1), ("t", "2.csv", 2)]
+    (part / "3.csv").write_text("n,k,on,x\n4,d,true,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_table(spark, str(tmp_path), spec, "k string, n int, on boolean, x double").collect()
+    assert bad_rows(spark, folder, [*P.fact_tables, P.dimension]).count() == 0
+
+
 @pytest.fixture(scope="module")
 def result(spark, folder):
     facts = read_facts(spark, folder, P)
