@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.catalog.base import BLOCKS, DIMENSION, FEATURE_NAMES, PAIRS_SQL, VECTORS_SQL, query, rounded, sql_rounded, table, vectors
@@ -11,6 +13,7 @@ from profilekit.functions.scalar import request_key, share_percent, whole_percen
 from profilekit.functions.vector import as_double, block_share, block_unit, dot, top_contributions
 from profilekit.operators.cell_index import build_cells, open_cells
 from profilekit.operators.labels import centroids
+from profilekit.operators.name_index import build_names, containing, open_names, with_prefix
 from profilekit.operators.nearest import nearest
 from profilekit.operators.relational import top_rows
 from profilekit.operators.search import (
@@ -386,6 +389,25 @@ def _suggest_inside(spark, folder):
     return suggest(_names(spark, folder), "idget", 10)
 
 
+_LOOKED_UP = ("red", "idget", "blue b", "l r", "zzz")
+
+
+@query("stored_name_lookup", f"""WITH t AS (SELECT unnest({list(_LOOKED_UP)!r}) AS text),
+k AS (SELECT p_partkey::VARCHAR AS id, p_name AS name, lower(trim(p_name)) AS n FROM part)
+SELECT text, 'prefix' AS kind, id, name FROM t JOIN k ON starts_with(n, text)
+UNION ALL SELECT text, 'inside', id, name FROM t JOIN k ON contains(n, text)""")
+def _stored_lookup(spark, folder):
+    """All names that start with, or contain, some texts, from the stored name table."""
+    where = scratch_path(spark, "names")
+    build_names(_names(spark, folder), where)
+    index = open_names(spark, where)
+    found = [
+        how(index, text).select(F.lit(text).alias("text"), F.lit(kind).alias("kind"), "id", "name")
+        for text in _LOOKED_UP for kind, how in (("prefix", with_prefix), ("inside", containing))
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("block_cosine_pairs", f"""WITH {PAIRS_SQL}, best AS (SELECT * FROM near WHERE rk <= 2)
 SELECT q AS src, c AS dst, {', '.join(f'{sql_rounded(p)} AS b{i}' for i, p in enumerate(_block_cosines()))} FROM best""")
 def _block_cosine(spark, folder):

@@ -270,17 +270,15 @@ def resolve(queries: DataFrame, entities: DataFrame) -> DataFrame:
 def _prefix_matches(asked: DataFrame, known: DataFrame) -> DataFrame:
     """The first name, in name order, that starts with each query.
 
-    Only lengths that some query with the same first letter has are cut from a name,
-    and the smallest name per prefix is an aggregate, so the join is an equality
-    of prefixes with one row per prefix.
+    A name is cut at the lengths that queries have, of which there are no more than characters in the longest name; cuts
+    that nobody asked for go at once, and the smallest name per prefix is an aggregate, so the join is an equality of
+    prefixes with one row per prefix.
     """
-    wanted = asked.withColumns({"_len": F.length("_low"), "_first": F.substring("_low", 1, 1)})
-    cut = (
-        known.withColumn("_first", F.substring("_name", 1, 1))
-        .join(wanted.select("_first", "_len").distinct(), "_first")
-        .filter(F.length("_name") >= F.col("_len"))
-        .withColumn("_prefix", F.expr("substring(_name, 1, _len)"))
-    )
+    longest = known.agg(F.max(F.length("_name"))).first()[0] or 0
+    wanted = asked.filter(F.length("_low") <= longest)
+    lengths = sorted(r[0] for r in wanted.select(F.length("_low")).distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_name"))
+    cut = known.withColumn("_len", F.explode(cuts)).withColumn("_prefix", F.expr("substring(_name, 1, _len)"))
     # Prefixes nobody asked for go before anything is sorted or moved.
     cut = cut.join(wanted.select(F.col("_low").alias("_prefix")).distinct(), "_prefix", "left_semi")
     first = cut.groupBy("_prefix").agg(F.min(F.struct("_name", "id", "name")).alias("_hit"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from profilekit.functions.vector import block_share, top_contributions, unit, well_formed
 from profilekit.operators.cell_index import CellParams, build_cells, open_cells
+from profilekit.operators.name_index import build_names, containing, open_names, suggest_stored, with_prefix
 from profilekit.operators.nearest import assign_cells, cell_summary, nearest, sample_centres, search_cells
 from profilekit.operators.search import Scoring, compare_two, edges_above, knn_graph, resolve, search, search_vectors, similar_to, similarity_edges, split_vectors, suggest
 from profilekit.sources.index_store import answer_requests, build_index, current_commit, current_version, index_rows, promote, read_index, read_manifest, rebuild
@@ -177,6 +178,37 @@ def test_compare_two(spark):
     assert r.cosine == pytest.approx(0.6) and r.same_cluster and not compare_two(v, "a", "c").first().same_cluster
 
 
+def test_stored_names_answer_like_a_scan(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    words = ["ann", "anna", "Joanna", "bo", "Østen", "zed", "a", "an-na", "\U0001f600 anna"]
+    listed = [(i, " ".join(rng.choice(words, rng.integers(1, 4)))) for i in range(400)] + [(400 + i, "Anna Bo") for i in range(200)] + [(900, None), (901, ""), (902, "  ")]
+    known = spark.createDataFrame(listed, "id long, name string").repartition(5)
+    folder = str(tmp_path)
+    build_names(known, folder, buckets=5, rows_per_range=40)
+    index = open_names(spark, folder, buckets=5)
+    assert index.names.count() == len(listed) - 1 and len(index.names.inputFiles()) > 5
+    keys = {i: n.strip().lower() for i, n in listed if n is not None}
+    for text in ("an", "Anna b", "ø", "joanna z", "\U0001f600", "a", "nna", "na bo", "no such", "o", "%", "an_"):
+        low = text.lower()
+        assert sorted(r.id for r in with_prefix(index, text).collect()) == sorted(i for i, k in keys.items() if k.startswith(low)), text
+        assert sorted(r.id for r in containing(index, text).collect()) == sorted(i for i, k in keys.items() if low in k), text
+        got = [(r["rank"], r.id) for r in suggest_stored(index, text, 7).orderBy("rank").collect()]
+        assert got == [(r["rank"], r.id) for r in suggest(known.filter("name is not null"), text, 7).orderBy("rank").collect()], text
+    assert suggest_stored(index, "  ").count() == 0
+    plan = containing(index, "joanna z")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters", 1)[1][:200]
+    prefix = with_prefix(index, "zed")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key,zed)" in prefix
+
+
+def test_stored_names_of_small_and_empty_tables(spark, tmp_path):
+    for at, names in enumerate([[], ["a", "bo"]]):
+        folder = f"{tmp_path}/{at}"
+        build_names(spark.createDataFrame(list(enumerate(names)), "id long, name string"), folder)
+        index = open_names(spark, folder)
+        assert containing(index, "bob").count() == 0 and with_prefix(index, "b").count() == len(names) // 2
+
+
 def test_index_versions_and_gate(spark, frame, tmp_path):
     folder = str(tmp_path)
     rows = index_rows(frame, "id", "vector", [F.col("role")])
