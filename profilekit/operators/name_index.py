@@ -57,7 +57,7 @@ def build_names(entities: DataFrame, folder: str, buckets: int = 64, rows_per_ra
         .withColumn("bucket", _bucket(F.col("gram"), buckets))
     )
     # by gram and key, so a piece that a third of all names hold is several tasks
-    spread = pieces.repartitionByRange(max(ranges * 4, buckets), "bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key")
+    spread = pieces.repartitionByRange(ranges * 4, "bucket", "gram", "key").sortWithinPartitions("bucket", "gram", "key")
     spread.write.partitionBy("bucket").parquet(f"{folder}/grams")
 
 
