@@ -21,6 +21,7 @@ from profilekit.operators.quality import (
 from profilekit.operators.reduce import component_report, fit_components, map_points, project
 from profilekit.operators.stability import recluster_samples
 from profilekit.plans.full_run import run
+from profilekit.operators.relational import number_rows
 from profilekit.session import materialise
 
 
@@ -318,6 +319,14 @@ def _evaluation(spark, folder):
     return out.select("n_clusters_valid", "min_cluster_size", "max_cluster_size", "n_noise", "flag_diversity.n_chosen", "flag_diversity.n_clusters")
 
 
+@query("clusters_by_id", f"""WITH {LABELLED_SQL}
+SELECT la, count(*) AS n, min(id) AS first_id, row_number() OVER (ORDER BY la) - 1 AS position FROM l GROUP BY la""")
+def _clusters_by_id(spark, folder):
+    """All clusters in the order of their ids, noise first."""
+    sizes = labelled(spark, folder).groupBy("la").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return number_rows(sizes, [F.col("la")], "position")
+
+
 @query("centroids", f"""WITH {LABELLED_SQL}, t AS (SELECT la, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM l)
 SELECT la, pos - 1 AS position, {sql_rounded('avg(x)', 6)} AS mean FROM t GROUP BY la, pos""")
 def _centroids(spark, folder):

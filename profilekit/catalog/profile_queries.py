@@ -331,10 +331,12 @@ def _weights(spark, folder):
 
 
 @query("l2_norm", f"""WITH {PROFILE_SQL},
-u AS (SELECT entity, sqrt(n_orders * n_orders + avg_tax * avg_tax + avg_qty * avg_qty) AS len, n_orders, avg_tax, avg_qty FROM profile WHERE avg_tax IS NOT NULL)
-SELECT entity, {sql_rounded('len')} AS length, {sql_rounded('n_orders / len', 6)} AS u1, {sql_rounded('avg_tax / len', 6)} AS u2, {sql_rounded('avg_qty / len', 6)} AS u3 FROM u""")
+z AS (SELECT entity, coalesce(n_orders, 0) AS a, coalesce(avg_tax, 0) AS b, coalesce(avg_qty, 0) AS c FROM profile),
+u AS (SELECT *, sqrt(a * a + b * b + c * c) AS len, CASE WHEN len = 0 THEN 1 ELSE len END AS d FROM z)
+SELECT entity, {sql_rounded('len')} AS length, {sql_rounded('a / d', 6)} AS u1, {sql_rounded('b / d', 6)} AS u2, {sql_rounded('c / d', 6)} AS u3 FROM u""")
 def _l2(spark, folder):
-    p = assemble(profiles(spark, folder).filter(F.col("avg_tax").isNotNull()), ["n_orders", "avg_tax", "avg_qty"], "v")
+    """Lengths of all entities; a missing value counts as 0, and a vector of zeros stays one."""
+    p = assemble(profiles(spark, folder).fillna(0, ["n_orders", "avg_tax", "avg_qty"]), ["n_orders", "avg_tax", "avg_qty"], "v")
     u = unit(F.col("v"))
     return p.select("entity", rounded(norm(F.col("v"))).alias("length"), *[rounded(F.get(u, F.lit(i)), 6).alias(f"u{i + 1}") for i in range(3)])
 
@@ -343,13 +345,14 @@ _ROW = ["avg_order_price", "max_order_price", "avg_qty", "spend"]
 
 
 @query("row_z_profile", f"""WITH {PROFILE_SQL},
-f AS (SELECT * FROM profile WHERE avg_qty IS NOT NULL),
+f AS (SELECT entity, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _ROW)} FROM profile),
 st2 AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) + 1e-8 AS s_{c}' for c in _ROW)} FROM f),
 long AS ({' UNION ALL '.join(f"SELECT entity, '{c}' AS feature, {i} AS pos, ({c} - m_{c}) / s_{c} AS z FROM f, st2" for i, c in enumerate(_ROW))}),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(abs(z), 9) DESC, pos) AS rank FROM long)
 SELECT entity, rank, feature, {sql_rounded('z', 3)} AS z_score, CASE WHEN z > 0 THEN 'high' ELSE 'low' END AS direction FROM r WHERE rank <= 3""")
 def _row_profile(spark, folder):
-    p = assemble(profile_table(spark, folder).filter(F.col("avg_qty").isNotNull()), _ROW, "v")
+    """All entities; a missing value counts as 0."""
+    p = assemble(profile_table(spark, folder).fillna(0, _ROW), _ROW, "v")
     top = row_profile(p, "v", _ROW, 3).select("entity", F.posexplode("top_features").alias("rank", "f"))
     return top.select("entity", (F.col("rank") + 1).alias("rank"), "f.feature", rounded("f.z_score", 3).alias("z_score"), "f.direction")
 

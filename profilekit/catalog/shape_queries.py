@@ -286,11 +286,13 @@ def _nested_io(spark, folder):
         F.size("counts").cast("long").alias("n_values"))
 
 
-@query("edges_export", f"WITH {PAIRS_SQL} SELECT q AS src, c AS dst, rk AS rank FROM near WHERE rk <= 10 AND q IN (3, 77)")
+@query("edges_export", f"""WITH {PAIRS_SQL}, e AS (SELECT q AS src, c AS dst, rk AS rank FROM near WHERE rk <= 10)
+SELECT 'all' AS part, * FROM e UNION ALL SELECT 'two' AS part, * FROM e WHERE src IN (3, 77)""")
 def _edges_io(spark, folder):
     path = scratch_path(spark, "edges")
     write_edges(_neighbours(spark, folder, 10).withColumnsRenamed({"query_id": "src", "item_id": "dst"}), path)
-    return read_edges(spark, path, [3, 77]).select("src", "dst", "rank")
+    whole, two = read_edges(spark, path), read_edges(spark, path, [3, 77])
+    return whole.select(F.lit("all").alias("part"), "src", "dst", "rank").unionByName(two.select(F.lit("two").alias("part"), "src", "dst", "rank"))
 
 
 @query("baseline_io", f"WITH {PAIRS_SQL} SELECT q::VARCHAR AS query_id, string_agg(c::VARCHAR, ',' ORDER BY rk) AS ids FROM near WHERE rk <= 10 GROUP BY q")
