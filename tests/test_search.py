@@ -77,6 +77,65 @@ def test_cell_search_recall(frame, points):
     assert len(some & distinct) / len(distinct) > 0.5
 
 
+def test_vectors_are_packed_once_whatever_the_number_of_cells(spark):
+    """Random directions: every query looks into every cell, and still no vector is repeated per cell."""
+    from profilekit.operators.nearest import _floored, _joined_items, _packed, _placed
+
+    n, rng = 600, np.random.default_rng(4)
+    m = rng.normal(size=(n, 24))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    i = spark.createDataFrame([(f"x{j:03d}", v.tolist()) for j, v in enumerate(m)], "item_id string, item_vec array<double>")
+    q = i.withColumnsRenamed({"item_id": "query_id", "item_vec": "query_vec"})
+    centres = sample_centres(i, 20, n)
+    assigned = assign_cells(i, centres).drop("angle")
+    cells = cell_summary(assign_cells(i, centres), centres)
+    placed = _placed(q, cells, None)
+    shown = _packed(assigned, "item_id", "item_vec", n, 64).cache()
+    asked = _floored(_packed(placed, "query_id", "query_vec", n, 64), shown, placed, 3, 64)
+    for blocks, name in ((asked, "query"), (_joined_items(shown, assigned, 64), "item")):
+        ids = [x for r in blocks.select(f"{name}_id").collect() for x in r[0]]
+        assert sorted(ids) == sorted(set(ids)) and len(ids) == n
+        largest, moved = blocks.agg(F.max(F.size(f"{name}_id")), F.sum(F.length(f"{name}_vec"))).first()
+        assert 32 < largest <= 64 and moved == n * 24 * 8
+    scores = np.sort(np.round(m @ m.T, 9), axis=1)[:, ::-1]
+    for r in asked.select("query_id", "floor").collect():
+        assert all(f <= scores[int(x[1:]), 2] + 1e-9 for x, f in zip(r.query_id, r.floor))
+    got = {(r.query_id, r.item_id, r["rank"]) for r in nearest(q, i, 3, broadcast_queries=5, broadcast_items=5, tile_rows=64).collect()}
+    np.fill_diagonal(both := np.round(m @ m.T, 9), -9)
+    order = np.argsort(-both, axis=1, kind="stable")[:, :3]
+    assert got == {(f"x{a:03d}", f"x{b:03d}", k + 1) for a in range(n) for k, b in enumerate(order[a])}
+
+
+@pytest.mark.parametrize("spread, length, most", [(0.02, 1.0, None), (0.3, 1.0, None), (0.3, 0.8, None), (0.1, 1.0, 3)])
+def test_pile_leaves_out_only_what_cannot_be_among_the_best(spread, length, most):
+    """Tight and loose groups, shorter vectors, and queries that may look into three cells only."""
+    from profilekit.operators.nearest import Cells, Pile, Side
+
+    rng, k = np.random.default_rng(9), 4
+    m = np.repeat(rng.normal(size=(12, 8)), 40, axis=0)
+    m += spread * rng.normal(size=m.shape)
+    m *= length / np.linalg.norm(m, axis=1)[:, None]
+    centres = m[::40]
+    cell = (m @ centres.T).argmax(axis=1)
+    order = np.argsort(cell, kind="stable")
+    m, cell, ids = m[order], cell[order], np.arange(len(m))
+    angle = np.arccos(np.clip(m @ centres.T, -1, 1))
+    sizes = np.bincount(cell, minlength=12)
+    radius = np.array([angle[cell == c, c].max() if sizes[c] else 0.0 for c in range(12)])
+    near = np.where(sizes > 0, m @ centres.T, -np.inf)
+    reach = np.full(len(m), -2.0) if most is None else -np.sort(-near, axis=1)[:, most - 1]
+    pile = Pile(Side(ids, m, {}), np.full(len(m), -2.0), reach, k)
+    for start in range(0, len(m), 70):  # blocks that begin and end inside cells
+        at = slice(start, start + 70)
+        pile.see(Side(ids[at], m[at], {}), cell[at], Cells(centres, sizes, radius))
+    best = pile.settle()
+    scores = np.round(m @ m.T, 9)
+    if most is not None:
+        scores[near[:, cell] < reach[:, None] - 1e-12] = -9
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    assert (best.item.reshape(-1, k) == want).all() and (best.query == np.repeat(ids, k)).all()
+
+
 def test_string_ids_and_partition_independence(spark, frame):
     named = frame.select(F.format_string("p%04d", "id").alias("id"), "vector")
     a = {(r.src, r.dst, r.score) for r in knn_graph(named, "id", "vector", 3).collect()}
