@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from profilekit.config import ProfileConfig, TableSpec
 from profilekit.operators.merge import cast_period, merge_facts, merge_report, outer_merge, require_valid_schemas, schema_report
-from profilekit.operators.profile import attach_dimension, build_profiles, eligible_entities, entity_meta, nan_to_null, varying_columns
+from profilekit.operators.profile import SKETCH_LG, attach_dimension, build_profiles, eligible_entities, entity_meta, nan_to_null, varying_columns
 from profilekit.operators.quality import quality_report
 from profilekit.operators.scale import (
     add_composites, assemble, cohort_median_fill, cohort_zscore, median_fill, robust_scale, row_profile, standard_z,
@@ -98,6 +98,17 @@ def test_metadata_and_eligibility(seasons):
     assert [r.player_id for r in eligible_entities(seasons, "player_id", "season", 5).orderBy("player_id").collect()] == ["p1", "p2"]
 
 
+def test_the_sketch_of_few_periods_is_small(spark):
+    """A sketch of 2^14 registers per entity made the aggregate of many entities spill; counts stay those of the exact way."""
+    rows = [(e, 2000 + p if p < 9 else None) for e in range(300) for p in range(10) if p <= e % 11]
+    df = spark.createDataFrame([*rows, *rows, (None, 2001), (None, 2002)], "entity long, period int")
+    few = eligible_entities(df, "entity", "period", 2, approximate=True)
+    assert sorted(map(str, few.collect())) == sorted(map(str, eligible_entities(df, "entity", "period", 2).collect()))
+    size = F.length(F.hll_sketch_agg(F.xxhash64("period"), F.lit(SKETCH_LG)))
+    assert df.groupBy("entity").agg(size.alias("n")).agg(F.max("n")).first()[0] < 100
+    assert "approx_count_distinct" not in few._jdf.queryExecution().toString()
+
+
 def test_profiles_skip_missing_and_default_the_flag(spark, seasons):
     dim = spark.createDataFrame([("p1", 80.0, True), ("p9", 70.0, True)], "player_id string, ht double, hof boolean")
     out = attach_dimension(build_profiles(seasons, CFG, ["x", "y"], 5), dim, "player_id", ["ht"], "hof")
