@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import arrow_schema, id_and_text, per_text
+from profilekit.llm.common import arrow_schema, give_back, id_and_text, slices
 from profilekit.llm.links import components
 from profilekit.llm.shingles import mix, shingle_set
 from profilekit.session import materialise
@@ -206,6 +206,9 @@ def _signature_blobs(texts: DataFrame, params: JoinParams, parts: int) -> DataFr
                     tables, held = [], 0
         if tables:
             yield from sent(tables)
+        tables.clear()
+        seen.clear()
+        give_back()
 
     return texts.mapInArrow(run, _BLOB)
 
@@ -216,17 +219,20 @@ _MEMBER = "signature long, member long, role int"
 def _met(blobs: DataFrame, parts: int) -> DataFrame:
     """(signature, member, role) of signatures that meet or are direct; heads may repeat direct rows."""
 
-    def meet(frame):
-        import pandas as pd
-
-        tables = [[np.frombuffer(d, _PAIR) for d in frame["data"][frame["direct"] == direct]] for direct in (False, True)]
+    def meet(blob: pa.Table) -> pa.Table:
+        tables = ([], [])
+        for chunk in blob.to_batches():
+            for direct, data in zip(chunk.column("direct").to_pylist(), chunk.column("data")):
+                tables[direct].append(np.frombuffer(data.as_buffer(), _PAIR))
         heads, direct = (np.concatenate(t) if t else np.empty(0, _PAIR) for t in tables)
         table, starts, _, meets = _meeting(heads)
         kept = np.concatenate([direct, table[np.repeat(meets, np.diff(np.r_[starts, len(table)]))] if len(starts) else table])
-        return pd.DataFrame({"signature": kept["signature"].astype(np.uint64).view(np.int64),
-                             "member": kept["member"].astype(np.int64), "role": kept["role"].astype(np.int32)})
+        columns = [kept["signature"].astype(np.uint64).view(np.int64), kept["member"].astype(np.int64), kept["role"].astype(np.int32)]
+        del tables, heads, direct, table, starts, meets, kept
+        give_back()
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=arrow_schema(_MEMBER))
 
-    return blobs.repartition(parts, "part").groupBy("part").applyInPandas(meet, _MEMBER)
+    return blobs.repartition(parts, "part").groupBy("part").applyInArrow(meet, _MEMBER)
 
 
 # --- candidates inside buckets --------------------------------------------------------------------------
@@ -356,6 +362,8 @@ def _candidates(buckets: DataFrame, params: JoinParams, forest: bool) -> DataFra
                     yield from flush(False)
         if held:
             yield from flush(True)
+        held = []
+        give_back()
 
     sorted_ = buckets.select("signature", "unit", "member", "role", "n", "root", "sketch", "main").repartition("signature", "unit").sortWithinPartitions("signature", "unit", "member")
     return sorted_.mapInArrow(run, _CANDIDATE).distinct()
@@ -413,14 +421,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_CANDIDATE)
         for batch in batches:
-            a, b, text_a, text_b = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            kept = []
-            for k in range(len(a)):
-                x, y = shingle_set(text_a[k], params.words), shingle_set(text_b[k], params.words)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if params.linked(common, len(x) + len(y)):
-                    kept.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in kept], pa.int64()), pa.array([b[k] for k in kept], pa.int64())], schema=schema)
+            linked = np.zeros(batch.num_rows, bool)
+            for start, texts in slices(batch, "text_a"):
+                for k, text in enumerate(texts, start):
+                    x, y = shingle_set(text, params.words), shingle_set(batch.column("text_b")[k].as_py(), params.words)
+                    linked[k] = params.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))
+            yield batch.select(["a", "b"]).filter(pa.array(linked)).cast(schema)
+        give_back()
 
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, _CANDIDATE)
@@ -438,15 +445,18 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
 
     texts = id_and_text(df, id_col, text_col)
 
-    def make():
-        def work(doc_ids, rows):
-            sets = [shingle_set(t, params.words) for t in rows]
-            return {"doc_id": doc_ids, "n": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets],
-                    "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]}
-
-        return work
+    ddl = "doc_id long, n long, sketch binary, key binary"
 
-    light = materialise(per_text(texts, make, "doc_id long, n long, sketch binary, key binary"))
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, rows in slices(batch):
+                sets = [shingle_set(t, params.words) for t in rows]
+                found = [[len(s) for s in sets], [parity_sketch(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]]
+                columns = [pa.array(f, kind) for f, kind in zip(found, (pa.int64(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(rows)), *columns], schema=arrow_schema(ddl))
+        give_back()
+
+    light = materialise(texts.mapInArrow(weigh, ddl))
     linkable = light.where("doc_id is not null and n > 0")
     first = linkable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     again = materialise(first.where("copies > 1").select("key", "first"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import arrow_schema, id_and_text, per_text
+from profilekit.llm.common import arrow_schema, give_back, id_and_text, per_text, slices
 from profilekit.session import materialise
 
 _MULTIPLIER = np.uint32(0x01000193)
@@ -28,8 +28,6 @@ _SPREAD = np.uint32(0x9E3779B1)
 _BLOCK = 1 << 18
 #: Slots are counted in blocks that 16 bits number.
 _SLOT_BLOCK = 1 << 16
-#: Texts become Python strings in slices of about so many bytes.
-_SLICE_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -101,20 +99,6 @@ def _per_block(slots, params: ToxicityParams):
         yield np.concatenate(held)
 
 
-def slices(batch, column: str = "text"):
-    """(start, texts) of a batch in slices of bounded bytes, one text at least; a null text is empty."""
-    import pyarrow.compute as pc
-
-    texts = batch.column(column)
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        upto = (sizes[start - 1] if start else 0) + _SLICE_BYTES
-        stop = max(start + 1, int(np.searchsorted(sizes, upto, side="right")))
-        yield start, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
-        start = stop
-
-
 def held_out(doc_id):
     """Rows whose labels are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
@@ -289,5 +273,6 @@ def drop_toxic(df: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
         for batch in batches:
             for start, texts in slices(batch):
                 yield batch.slice(start, len(texts)).filter(pa.array([fitted.score(t) < 0.5 for t in texts], pa.bool_()))
+        give_back()
 
     return df.mapInArrow(keep, df.schema)

@@ -294,3 +294,18 @@ def test_windows_of_marks_do_not_depend_on_blocks(monkeypatch):
     for block in (150, 264, 700, 1_001):
         monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
         assert [x.tolist() for x in suffix_dedup._phrases(data, suffix_dedup.RepeatParams())] == want
+
+
+def test_signatures_meet_without_pandas(spark):
+    """The parts of signatures and the texts of a batch are walked as Arrow; a batch is never whole Python lists."""
+    import pyarrow as pa
+    from profilekit.llm import jaccard_join
+    from profilekit.llm.common import slices
+
+    texts = ["x" * (3 << 20), "y" * (3 << 20), None, "z"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": texts})
+    found = [(start, len(t)) for start, t in slices(batch)]
+    assert found == [(0, 1), (1, 3)]
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id long, text string")
+    plan = jaccard_join._met(jaccard_join._signature_blobs(docs, jaccard_join.JoinParams(), 1), 1)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
