@@ -401,3 +401,23 @@ def test_stored_cells_read_only_what_is_visited(spark, tmp_path):
     none = build_cells(items.limit(0), str(tmp_path / "none"))
     assert search_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), items.toDF("id", "vector"), 2, 3, cells=index).count() == 3
     assert nearest(items.toDF("query_id", "query_vec"), items.limit(0), 3, cells=none).count() == 0
+
+
+def test_copies_are_found_by_hash_and_vectors_are_not_grouped(spark, monkeypatch):
+    """Without copies nothing is grouped by vector; one copy, or a zero of another sign, brings the grouping back."""
+    from profilekit.operators import nearest as module
+
+    grouped, first_copies = [], module._first_copies
+    monkeypatch.setattr(module, "_first_copies", lambda items, k: grouped.append(1) or first_copies(items, k))
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60, 6))
+    m[:, 0] = 0.0
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for twice in (False, True):
+        if twice:
+            m[40] = m[3]
+            m[40, 0] = -0.0
+        i = spark.createDataFrame([(j, v.tolist()) for j, v in enumerate(m)], "item_id long, item_vec array<double>")
+        q = i.withColumnsRenamed({"item_id": "query_id", "item_vec": "query_vec"})
+        got = {(r.query_id, r.item_id, r["rank"]) for r in nearest(q, i, 4, broadcast_queries=5, broadcast_items=5, tile_rows=16).collect()}
+        assert got == brute(m, 4) and len(grouped) == int(twice)
