@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from profilekit.catalog.base import query, rounded, sql_rounded, table
 from profilekit.functions.scalar import allowed_url
 from profilekit.functions.text import normalise_name
-from profilekit.operators.names import accepted_links, link_for, linked_rows, match_coverage, name_links, unmatched_names
-from profilekit.session import scratch_path
+from profilekit.operators.names import accepted_links, link_for, linked_rows, match_coverage, name_links, unmatched_names, word_pairs
+from profilekit.session import materialise, scratch_path
 from profilekit.sources.tables import write_links
 
 # The pages carry names and links as anchors: <a href="link">name</a>.
@@ -59,8 +59,8 @@ def _allow(spark, folder):
     return pages.select("page_id", "url", allowed_url(F.col("url"), common).alias("allowed"))
 
 
-def _links(spark, folder):
-    return name_links(_rows(spark, folder), ["page_id", "position"])
+def _links(rows):
+    return name_links(rows, ["page_id", "position"])
 
 
 _LINKS = f"""{_ROWS}, keyed AS (SELECT *, {_norm_sql('name')} AS key FROM rows_),
@@ -69,13 +69,13 @@ links AS (SELECT key, name, url FROM (SELECT *, row_number() OVER (PARTITION BY
 
 @query("name_url_dedupe", f"WITH {_LINKS} SELECT key, name, url FROM links")
 def _dedupe(spark, folder):
-    return _links(spark, folder)
+    return _links(_rows(spark, folder))
 
 
 @query("name_url_export", f"WITH {_LINKS} SELECT name, url FROM links")
 def _export(spark, folder):
     path = scratch_path(spark, "links")
-    write_links(_links(spark, folder), path)
+    write_links(_links(_rows(spark, folder)), path)
     return spark.read.schema("name string, url string").json(path)
 
 
@@ -95,27 +95,28 @@ wanted AS (SELECT name, count(*) AS n FROM (
   SELECT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS name FROM w2 UNION ALL SELECT translate(name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') FROM rows_) GROUP BY 1)"""
 
 
-def _wanted(spark, folder):
-    words = F.filter(F.split("text", "[ \\t\\n\\r\\f]+"), lambda x: x != "")
-    d = table(spark, folder, "documents").where("text IS NOT NULL").select(words.alias("w")).where("size(w) > 1")
-    pairs = d.select(F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).alias("name"))
+def _wanted(spark, folder, rows):
+    pairs = word_pairs(table(spark, folder, "documents"), "text")
     # Only A to Z: what else has an upper case is not the same everywhere.
-    anchors = _rows(spark, folder).select(F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("name"))
-    return pairs.unionByName(anchors).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    anchors = rows.select(F.translate("name", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("name"), F.lit(1).cast("long").alias("n"))
+    return pairs.unionByName(anchors).groupBy("name").agg(F.sum("n").alias("n"))
 
 
 @query("name_lookup", f"WITH {_LINKS}, {_WANTED} SELECT w.name, w.n, links.url FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')}")
 def _lookup(spark, folder):
-    return link_for(_wanted(spark, folder), _links(spark, folder)).select("name", "n", "url")
+    rows = materialise(_rows(spark, folder))
+    return link_for(_wanted(spark, folder, rows), _links(rows)).select("name", "n", "url")
 
 
 @query("match_coverage", f"""WITH {_LINKS}, {_WANTED} SELECT sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (links.url IS NOT NULL), 0)::BIGINT AS matched,
 {sql_rounded('coalesce(sum(n) FILTER (links.url IS NOT NULL), 0)::DOUBLE / sum(n) * 100')} AS coverage FROM wanted w LEFT JOIN links ON links.key = {_norm_sql('w.name')} WHERE w.name <> ''""")
 def _coverage(spark, folder):
-    return match_coverage(_wanted(spark, folder), _links(spark, folder), count="n").withColumn("coverage", rounded("coverage"))
+    rows = materialise(_rows(spark, folder))
+    return match_coverage(_wanted(spark, folder, rows), _links(rows), count="n").withColumn("coverage", rounded("coverage"))
 
 
 @query("unmatched_names", f"""WITH {_LINKS}, {_WANTED} SELECT w.name FROM wanted w WHERE w.name <> '' AND {_norm_sql('w.name')} NOT IN (SELECT key FROM links)
 ORDER BY w.name LIMIT 50""")
 def _unmatched(spark, folder):
-    return unmatched_names(_wanted(spark, folder), _links(spark, folder))
+    rows = materialise(_rows(spark, folder))
+    return unmatched_names(_wanted(spark, folder, rows), _links(rows))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from profilekit.operators.relational import first_per_key
 # Thumbnail and full size in image links, the suffix of image titles.
 THUMBNAIL, FULL_SIZE = "260x190", "1040x760"
 TITLE_SUFFIX = r"\s+Headshot"
+#: Rows and bytes of text that are cut into words at once.
+STEP_ROWS, STEP_BYTES = 4_096, 4 << 20
 
 
 def linked_rows(pages: DataFrame, html: str, pattern: str, name_group: int, link_group: int, keep: Sequence[str] = ()) -> DataFrame:
@@ -35,6 +39,37 @@ def accepted_links(rows: DataFrame, hosts: Sequence[str]) -> DataFrame:
     return rows.filter(allowed_url(F.col("url"), hosts)).withColumn("url", replace_part(F.col("url"), THUMBNAIL, FULL_SIZE))
 
 
+def word_pairs(texts: DataFrame, text: str) -> DataFrame:
+    """``(name, n)``: every two words that follow each other in a text, as one name, and how often; null texts have none.
+
+    Pairs are counted as Arrow columns, slice by slice, so fewer rows than words leave a task. A name has one row per slice: add
+    them up.
+    """
+
+    def counted(part: pa.Array) -> pa.RecordBatch:
+        for blank in "\t\n\r\f":
+            part = pc.replace_substring(part, blank, " ")
+        lists = pc.split_pattern(part, " ")
+        words, owner = lists.flatten(), pc.list_parent_indices(lists)
+        real = pc.not_equal(words, "")
+        words, owner = words.filter(real), owner.filter(real)
+        together = pc.equal(owner[:-1], owner[1:])
+        names = pc.value_counts(pc.binary_join_element_wise(words[:-1].filter(together), words[1:].filter(together), " "))
+        return pa.RecordBatch.from_arrays([names.field("values"), names.field("counts")], ["name", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, start = batch.column(0), 0
+            while start < len(column):
+                part = column.slice(start, STEP_ROWS)
+                while len(part) > 1 and pc.sum(pc.binary_length(part)).as_py() > STEP_BYTES:
+                    part = part.slice(0, len(part) // 2)
+                yield counted(part)
+                start += len(part)
+
+    return texts.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "name string, n long")
+
+
 def name_links(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """One link per normalised name, the first by ``order``."""
     keyed = rows.withColumn("key", normalise_name(F.col("name")))

@@ -12,13 +12,13 @@ from profilekit.session import materialise
 from profilekit.operators.density import bridges, components, density_clusters, euclidean_neighbours, merge_tree, minimum_spanning_forest, reachability_edges
 from profilekit.operators.graph import ego_edges, ego_nodes, merge_graphs
 from profilekit.operators.labels import cluster_zscores, compare_clusters, name_clusters
-from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names
+from profilekit.operators.names import accepted_links, linked_rows, match_coverage, name_links, unmatched_names, word_pairs
 from profilekit.operators.quality import davies_bouldin, evaluate, resampling_stability, silhouette, temporal_stability
 from profilekit.operators.stability import ResamplingParams, first_centres, recluster_samples, stability_summary, with_samples
 from profilekit.operators.reduce import fit_components, map_points, project
 from profilekit.operators.relational import capped_pairs, number_rows
 from profilekit.operators.retrieval import compare_baseline, gate, labelled_pairs, recall_and_mrr
-from profilekit.functions.text import normalise_name
+from profilekit.functions.text import _plain_or_decomposed, normalise_name
 
 
 @pytest.fixture(scope="module")
@@ -248,6 +248,31 @@ def test_names_normalise(spark):
     assert [r[0] for r in df.select(normalise_name(F.col("name"))).collect()] == ["doncic", "oneal", "jr smith", "two spaces", "gary payton", "sengun"]
 
 
+def test_word_pairs_of_slices_add_up(spark, monkeypatch):
+    from collections import Counter
+
+    texts = ["a b  a\tb\n", "", " ", "one", None, "a b", "É\x0bx y\u00a0z", "b a b " * 3_000_000]
+    want = Counter()
+    for t in filter(None, texts):
+        w = [x for x in t.translate(str.maketrans("\t\n\r\f", "    ")).split(" ") if x]
+        want.update(f"{x} {y}" for x, y in zip(w, w[1:]))
+    found = word_pairs(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text").collect()
+    got = Counter()
+    for r in found:
+        got[r["name"]] += r["n"]
+    assert got == want
+    assert len(found) < len(texts) * 4  # counted inside tasks: pairs do not leave them one by one
+
+
+def test_plain_names_take_the_short_way_to_the_same_key(spark):
+    names = ["A  b", "x\x0by Jr.", " O'Neal\tIII ", "jr", "a jr.\n", "a.b' sr", "\x1ca", "é  b Iv.", "ΟΔΟΣ Jr", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r[0] for r in df.select(normalise_name(F.col("name"))).collect()]
+    assert got == ["a b", "x y", "oneal", "jr", "a", "ab", "\x1ca", "e b", "οδος", "", None]
+    first = df.select(_plain_or_decomposed(".'")(F.col("name"))).collect()
+    assert [r[0] for r in first[:7]] == got[:7]  # done beside the decomposition, no expression of Spark is left for them
+
+
 def test_html_rows_allow_list_and_coverage(spark):
     img = r'<img alt="([^"]*)" src="([^"]*)"'
     html = [
