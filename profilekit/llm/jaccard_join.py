@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from profilekit.llm.common import arrow_schema, give_back, id_and_text, slices
 from profilekit.llm.links import components
 from profilekit.llm.shingles import mix, shingle_set
-from profilekit.session import materialise
+from profilekit.session import batch_rows, materialise
 
 SKETCH_BITS = 256
+#: Rows with whole texts that Spark hands to Python at once.
+TEXT_ROWS = 512
 #: Rows of one bucket that one task compares with each other.
 CHUNK = 2_048
 _INDEXED, _PROBING = 1, 2
@@ -419,12 +421,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFra
     two = needed.withColumnsRenamed({"doc_id": "b", "text": "text_b"})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(_CANDIDATE)
+        schema, last, x = arrow_schema(_CANDIDATE), None, None
         for batch in batches:
             linked = np.zeros(batch.num_rows, bool)
             for start, texts in slices(batch, "text_a"):
                 for k, text in enumerate(texts, start):
-                    x, y = shingle_set(text, params.words), shingle_set(batch.column("text_b")[k].as_py(), params.words)
+                    # Pairs come sorted by their first text, or nearly so.
+                    if text != last:
+                        last, x = text, shingle_set(text, params.words)
+                    y = shingle_set(batch.column("text_b")[k].as_py(), params.words)
                     linked[k] = params.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y))
             yield batch.select(["a", "b"]).filter(pa.array(linked)).cast(schema)
         give_back()
@@ -456,7 +461,8 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(rows)), *columns], schema=arrow_schema(ddl))
         give_back()
 
-    light = materialise(texts.mapInArrow(weigh, ddl))
+    with batch_rows(df.sparkSession, TEXT_ROWS):
+        light = materialise(texts.mapInArrow(weigh, ddl))
     linkable = light.where("doc_id is not null and n > 0")
     first = linkable.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     again = materialise(first.where("copies > 1").select("key", "first"))
@@ -471,7 +477,8 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
         met.join(sets.select(F.col("doc_id").alias("member"), "first"), "member")
         .groupBy("signature", F.col("first").alias("member")).agg(F.bit_or("role").alias("role")).withColumn("root", F.col("member"))
     )
-    members = materialise(_open_buckets(members, None).join(about, "member").select("signature", "member", "role", "root", "n", "sketch"))
+    with batch_rows(df.sparkSession, TEXT_ROWS):
+        members = materialise(_open_buckets(members, None).join(about, "member").select("signature", "member", "role", "root", "n", "sketch"))
 
     links, root_of, tried = None, None, None
     for turn in range(3):
@@ -482,7 +489,8 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
             pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
-        found = materialise(_verified(pairs, texts, params))
+        with batch_rows(texts.sparkSession, TEXT_ROWS):
+            found = materialise(_verified(pairs, texts, params))
         links = found if links is None else links.unionByName(found)
         root_of = materialise(components(links))
         tried = pairs if tried is None else tried.unionByName(pairs)

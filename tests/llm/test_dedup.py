@@ -309,3 +309,29 @@ def test_signatures_meet_without_pandas(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id long, text string")
     plan = jaccard_join._met(jaccard_join._signature_blobs(docs, jaccard_join.JoinParams(), 1), 1)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" in plan and "InPandas" not in plan
+
+
+def test_rows_with_whole_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Texts of both sides of a pair are handed over a few rows at once; the setting is the session's own again afterwards."""
+    from profilekit.llm import jaccard_join
+    from profilekit.session import batch_rows
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(name), [], jaccard_join.materialise
+
+    def noted(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        if "MapInArrow" in plan and "text" in plan:
+            seen.append(int(spark.conf.get(name)))
+        return write(df)
+
+    docs = [(k, " ".join(f"w{(k % 7) * 100 + j}" for j in range(60)) + f" end{k}") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {k: k % 7 for k, _ in docs}
+    monkeypatch.setattr(jaccard_join, "TEXT_ROWS", 2)
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_groups(df).collect()} == want
+    assert len(seen) >= 3 and set(seen) == {2} and spark.conf.get(name) == before
+    with batch_rows(spark, 3):
+        sizes = spark.range(0, 10, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long").count()
+    assert sizes == 4
