@@ -10,7 +10,7 @@ shingle at most: the part and its one-deletion neighbourhood.
   band and probes its own and the band below, so every pair meets where its smaller set is indexed.
 * Allowances go where they cost least: empty and tiny parts, which thousands of sets share, get 0, and where that
   leaves too few, parts with an indexed one-deletion neighbourhood get 2.
-* Signatures that meet give candidates. They are filtered by size and by a 256-bit parity sketch (a lower bound of the
+* Signatures that meet give candidates. They are filtered by size and by a 1024-bit parity sketch (a lower bound of the
   difference, so no pair is lost) and verified on the whole texts.
 
 Hot groups. Equal sets are one set from the start. A signature many sets share is never expanded into pairs: a
@@ -34,7 +34,10 @@ from profilekit.llm.links import components
 from profilekit.llm.shingles import mix, shingle_set
 from profilekit.session import batch_rows, materialise
 
-SKETCH_BITS = 256
+#: Unlinked sets look apart while half of the bits are more than the difference allowed, up to some 3,000 shingles.
+SKETCH_BITS = 1024
+#: Pairs whose sketches are compared at once.
+_SKETCH_PAIRS = 100_000
 #: Rows with whole texts that Spark hands to Python at once.
 TEXT_ROWS = 512
 #: Rows of one bucket that one task compares with each other.
@@ -134,7 +137,7 @@ def signatures(shingles: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarr
 
 
 def parity_sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of 256 bins: bits in which two sketches differ <= shingles in which the sets do."""
+    """Parity of the number of shingles in each of ``SKETCH_BITS`` bins: bits in which two sketches differ <= shingles in which the sets do."""
     return np.packbits((np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
@@ -256,7 +259,9 @@ def _pairs(rows: dict[str, np.ndarray], groups: np.ndarray, params: JoinParams,
         if ok.any():
             x, y = np.broadcast_arrays(a, b)
             x, y = x[ok], y[ok]
-            apart[ok] = np.bitwise_count(rows["sketch"][x] ^ rows["sketch"][y]).sum(axis=1)
+            apart[ok] = np.concatenate([
+                np.bitwise_count(rows["sketch"][x[at:at + _SKETCH_PAIRS]] ^ rows["sketch"][y[at:at + _SKETCH_PAIRS]]).sum(axis=1)
+                for at in range(0, len(x), _SKETCH_PAIRS)])
             ok &= apart <= params.difference(n + m)
         return ok, apart
 
@@ -371,12 +376,30 @@ def _candidates(buckets: DataFrame, params: JoinParams, forest: bool) -> DataFra
     return sorted_.mapInArrow(run, _CANDIDATE).distinct()
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Signatures that sets of different roots have, an indexed and a probing one among them."""
+    shape = members.groupBy("signature").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.bit_or("role").alias("r"),
+        F.bit_xor(F.xxhash64("member", "role")).alias("d"), F.bit_xor(F.xxhash64(F.lit(1), "member", "role")).alias("e"))
+    return shape.where(f"x <> y and r = {_INDEXED | _PROBING}").select("signature", "d", "e")
+
+
+def _distinct_buckets(members: DataFrame) -> DataFrame:
+    """Open buckets, one of those with the same members in the same roles.
+
+    Near copies share most of their signatures, and each of them would give the same candidates again. Buckets are compared by
+    two 64-bit hashes of all (member, role).
+    """
+    one = _open(members).groupBy("d", "e").agg(F.min("signature").alias("signature")).select("signature")
+    return members.join(one, "signature", "left_semi")
+
+
 def _open_buckets(members: DataFrame, root_of: DataFrame | None) -> DataFrame:
     """Members with their roots, without signatures that hold a single root."""
-    if root_of is not None:
-        members = members.drop("root").join(root_of.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
-    several = members.groupBy("signature").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bit_or("role").alias("r")).where(f"x <> y and r = {_INDEXED | _PROBING}").select("signature")
-    return members.join(several, "signature", "left_semi")
+    if root_of is None:
+        return members
+    members = members.drop("root").join(root_of.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    return members.join(_open(members).select("signature"), "signature", "left_semi")
 
 
 def _chunked(buckets: DataFrame) -> DataFrame:
@@ -478,7 +501,7 @@ def near_groups(df: DataFrame, params: JoinParams = JoinParams(), id_col: str =
         .groupBy("signature", F.col("first").alias("member")).agg(F.bit_or("role").alias("role")).withColumn("root", F.col("member"))
     )
     with batch_rows(df.sparkSession, TEXT_ROWS):
-        members = materialise(_open_buckets(members, None).join(about, "member").select("signature", "member", "role", "root", "n", "sketch"))
+        members = materialise(_distinct_buckets(members).join(about, "member").select("signature", "member", "role", "root", "n", "sketch"))
 
     links, root_of, tried = None, None, None
     for turn in range(3):

@@ -335,3 +335,31 @@ def test_rows_with_whole_texts_reach_python_in_small_batches(spark, monkeypatch)
     with batch_rows(spark, 3):
         sizes = spark.range(0, 10, 1, 1).mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "id long").count()
     assert sizes == 4
+
+
+def test_signatures_with_the_same_members_are_one_bucket(spark, monkeypatch):
+    """Near copies share hundreds of signatures; their pair is looked for once, not once per signature."""
+    seen, look = [], jaccard_join._candidates
+
+    def noted(buckets, params, forest):
+        seen.append(buckets.count())
+        return look(buckets, params, forest)
+
+    r = random.Random(5)
+    docs = []
+    for group in range(4):
+        base = words(r, 1_500, 10**6)
+        docs += [(10 * group + k, " ".join(base[:700] + [f"edit{k}"] + base[701:])) for k in range(3)]
+    monkeypatch.setattr(jaccard_join, "_candidates", noted)
+    got = jaccard_join.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {d: d // 10 * 10 for d, _ in docs}
+    assert 0 < seen[0] <= 4 * 3 * 40
+
+
+def test_sketches_of_long_unlinked_sets_are_apart():
+    """Sets of 1,500 shingles that share half of them are no candidates."""
+    params = jaccard_join.JoinParams()
+    x, y = (np.random.default_rng(s).integers(0, 2**64, 1_500, dtype=np.uint64) for s in (1, 2))
+    y[:750] = x[:750]
+    a, b = (np.frombuffer(jaccard_join.parity_sketch(np.unique(z)), np.uint8) for z in (x, y))
+    assert int(params.difference(3_000)) < int(np.bitwise_count(a ^ b).sum()) <= 1_500
