@@ -18,18 +18,20 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.config import NOISE
 from profilekit.functions.vector import to_matrix, unit
+from profilekit.operators.between import lightest_between
+from profilekit.operators.boxes import BLOCK_ROWS, in_cells, learn_tree
 from profilekit.operators.nearest import nearest
 from profilekit.operators.relational import number_rows
 from profilekit.session import materialise
 
 #: Edges that one task takes in the last part of the forest, and on average in a level of the merge tree.
 TASK_EDGES = 1_000_000
-#: Rows of all clusters together that others are compared with when bridges are looked for.
+#: With no more rows than that all are compared with all when bridges are looked for; more are searched by boxes.
 BRIDGE_ROWS = 16_384
 
 
@@ -279,56 +281,65 @@ def merge_tree(nodes: DataFrame, forest: DataFrame, min_size: int, task_edges: i
     return nodes.select("node").join(settled, "node", "left")
 
 
-def bridges(rows: DataFrame, most_rows: int = BRIDGE_ROWS) -> DataFrame:
-    """Light edges ``(a, b, w)`` between clusters: rows are ``node, p, core, cluster``.
+def bridges(rows: DataFrame, few_rows: int = BRIDGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The lightest edges ``(a, b, w)`` between clusters: rows are ``node, p, core, cluster``.
 
     Round by round every cluster takes its lightest edge to another one, and clusters joined so are one from then on, until
-    one is left. All rows are compared with at most ``most_rows`` rows, as many of each cluster (those of smallest hash): with no more rows
-    than that the edges are the true ones. More clusters than ``most_rows`` stay as the neighbour graph joins them.
+    one is left. Edges between all rows count, whatever the number of rows and clusters: up to ``few_rows`` rows all are compared with all, more
+    are searched by boxes.
     """
     spark = rows.sparkSession
     node = rows.schema["node"].dataType.simpleString()
-    name = rows.schema["cluster"].dataType.simpleString()
-    ddl = f"cluster {name}, other {name}, a {node}, b {node}, w double"
     rows = materialise(rows)
+    n_rows = rows.count()
     taken = spark.createDataFrame([], f"a {node}, b {node}, w double")
+    tree = None
+    if n_rows > few_rows:
+        tree = learn_tree(rows, "node", "p", n_rows, block_rows)
+        rows = materialise(in_cells(rows, tree, "p"))
     while True:
-        sizes = rows.groupBy("cluster").count()
-        count = sizes.count()
-        if not 1 < count <= most_rows:
+        names = rows.select(F.col("cluster").alias("node")).distinct()
+        if names.count() <= 1:
             return taken
-        first = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
-        side = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max(1, most_rows // count)).drop("_n").toArrow()
-        shared = spark.sparkContext.broadcast((side.column("node").to_pylist(), to_matrix(side.column("p")), side.column("core").to_numpy(), side.column("cluster").to_pylist()))
-
-        def lightest(batches):
-            import numpy as np
-
-            nodes, points, core, cluster = shared.value
-            code = {c: i for i, c in enumerate(dict.fromkeys(cluster))}
-            own, square = np.array([code[c] for c in cluster]), (points ** 2).sum(axis=1)
-            best = {}
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    p, ids, labels = to_matrix(part.column("p")), part.column("node").to_pylist(), part.column("cluster").to_pylist()
-                    gap = np.sqrt(np.maximum((p ** 2).sum(axis=1)[:, None] + square[None, :] - 2.0 * p @ points.T, 0.0))
-                    w = np.maximum(np.maximum(gap, core[None, :]), part.column("core").to_numpy()[:, None])
-                    w[np.array([code[c] for c in labels])[:, None] == own[None, :]] = np.inf
-                    for i, j in enumerate(w.argmin(axis=1).tolist()):
-                        a, b = sorted((ids[i], nodes[j]))
-                        best[labels[i]] = min(best.get(labels[i], (np.inf,)), (float(w[i, j]), a, b, cluster[j]))
-            rows_ = [(c, other, a, b, w) for c, (w, a, b, other) in best.items()]
-            types = dict(zip(("cluster", "other", "a", "b", "w"), kinds))
-            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows_], types[n]) for k, n in enumerate(types)})
-
-        arrow = side.schema
-        kinds = (arrow.field("cluster").type, arrow.field("cluster").type, arrow.field("node").type, arrow.field("node").type, pa.float64())
-        chosen = materialise(
-            rows.mapInArrow(lightest, ddl).groupBy("cluster").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("cluster", "e.*"))
+        chosen = _lightest_of_few(rows) if tree is None else lightest_between(rows, tree, n_rows, block_rows)
         taken = taken.unionByName(chosen.select("a", "b", "w").distinct())
-        joined = components(sizes.select(F.col("cluster").alias("node")), chosen.select(F.col("cluster").alias("a"), F.col("other").alias("b")))
-        rows = materialise(rows.join(F.broadcast(joined.withColumnRenamed("node", "cluster")), "cluster").drop("cluster").withColumnRenamed("root", "cluster"))
+        joined = components(names, chosen.select(F.col("cluster").alias("a"), F.col("other").alias("b")))
+        rows = materialise(rows.join(joined.withColumnRenamed("node", "cluster"), "cluster").drop("cluster").withColumnRenamed("root", "cluster"))
+
+
+def _lightest_of_few(rows: DataFrame) -> DataFrame:
+    """Every cluster's lightest edge to another one ``(cluster, w, a, b, other)``: all rows meet all."""
+    node = rows.schema["node"].dataType.simpleString()
+    name = rows.schema["cluster"].dataType.simpleString()
+    ddl = f"cluster {name}, other {name}, a {node}, b {node}, w double"
+    side = rows.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast((side.column("node").to_pylist(), to_matrix(side.column("p")), side.column("core").to_numpy(), side.column("cluster").to_pylist()))
+
+    def lightest(batches):
+        import numpy as np
+
+        nodes, points, core, cluster = shared.value
+        code = {c: i for i, c in enumerate(dict.fromkeys(cluster))}
+        own, square = np.array([code[c] for c in cluster]), (points ** 2).sum(axis=1)
+        best = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                p, ids, labels = to_matrix(part.column("p")), part.column("node").to_pylist(), part.column("cluster").to_pylist()
+                gap = np.sqrt(np.maximum((p ** 2).sum(axis=1)[:, None] + square[None, :] - 2.0 * p @ points.T, 0.0))
+                w = np.maximum(np.maximum(gap, core[None, :]), part.column("core").to_numpy()[:, None])
+                w[np.array([code[c] for c in labels])[:, None] == own[None, :]] = np.inf
+                for i, j in enumerate(w.argmin(axis=1).tolist()):
+                    a, b = sorted((ids[i], nodes[j]))
+                    best[labels[i]] = min(best.get(labels[i], (np.inf,)), (float(w[i, j]), a, b, cluster[j]))
+        rows_ = [(c, other, a, b, w) for c, (w, a, b, other) in best.items()]
+        types = dict(zip(("cluster", "other", "a", "b", "w"), kinds))
+        yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows_], types[n]) for k, n in enumerate(types)})
+
+    arrow = side.schema
+    kinds = (arrow.field("cluster").type, arrow.field("cluster").type, arrow.field("node").type, arrow.field("node").type, pa.float64())
+    return materialise(
+        rows.mapInArrow(lightest, ddl).groupBy("cluster").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("cluster", "e.*"))
 
 
 def density_clusters(

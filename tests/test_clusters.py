@@ -452,3 +452,27 @@ def test_bridges_are_the_lightest_edges_between_clusters(spark):
     want = sum(w for _, _, w in brute_forest([(b, a, w) for w, a, b in between]))
     got = brute_forest([(r.a // 20, r.b // 20, r.w) for r in found.collect()])
     assert len(got) == 3 and sum(w for _, _, w in got) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("way", ["few", "boxes", "names"])
+def test_bridges_take_every_row_into_account(spark, way):
+    """Touching clusters whose lightest edges are those of single rows: more clusters and rows than any sample would hold."""
+    rng = np.random.default_rng(12)
+    n, per = 60, 15
+    points = np.concatenate([rng.normal(c, 0.7, size=(per, 3)) for c in rng.uniform(0, 6, size=(n, 3))])
+    points = np.concatenate([points, points[:per]])  # copies under another cluster
+    label = np.arange(len(points)) // per
+    core = np.round(0.2 * rng.random(len(points)), 1)  # many equal weights
+    name = (lambda i: f"n{i:04d}") if way == "names" else int
+    kind = "string" if way == "names" else "long"
+    frame = spark.createDataFrame([(name(i), p.tolist(), float(core[i]), name(label[i])) for i, p in enumerate(points)], f"node {kind}, p array<double>, core double, cluster {kind}")
+    found = bridges(frame.repartition(4)) if way == "few" else bridges(frame.repartition(4), few_rows=10, block_rows=64)
+    gap = np.maximum(((points[:, None] - points[None]) ** 2).sum(axis=2) ** 0.5, np.maximum(core[:, None], core[None]))
+    between = [(int(b), int(a), float(gap[per * a:per * a + per, per * b:per * b + per].min())) for a in range(n + 1) for b in range(a)]
+    number = {name(i): int(label[i]) for i in range(len(points))}
+    rows = found.collect()
+    for r in rows:
+        i, j = int(str(r.a).lstrip("n")), int(str(r.b).lstrip("n"))
+        assert number[r.a] != number[r.b] and r.w == pytest.approx(gap[i, j], abs=1e-7)
+    got = brute_forest([(min(number[r.a], number[r.b]), max(number[r.a], number[r.b]), r.w) for r in rows])
+    assert len(got) == n and sum(w for _, _, w in got) == pytest.approx(sum(w for _, _, w in brute_forest(between)), abs=1e-6)
