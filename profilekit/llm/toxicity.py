@@ -28,6 +28,8 @@ _SPREAD = np.uint32(0x9E3779B1)
 _BLOCK = 1 << 18
 #: Slots are counted in blocks that 16 bits number.
 _SLOT_BLOCK = 1 << 16
+#: Texts become Python strings in slices of about so many bytes.
+_SLICE_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,7 @@ def slot_counts(sample: DataFrame, params: ToxicityParams) -> DataFrame:
         counts = np.zeros((2, max(_SLOT_BLOCK, 1 << params.slot_bits)), np.int32)
         for batch in batches:
             classes = batch.column("toxic").to_pylist()
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, most=_SLICE_BYTES):
                 for text, toxic in zip(texts, classes[start:start + len(texts)]):
                     mine = counts[int(toxic > 0)]
                     parts = list(_per_block(ngram_slots(text, params), params))
@@ -249,7 +251,7 @@ def score_texts(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", tex
 
         fitted = shared.value
         for batch in batches:
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, most=_SLICE_BYTES):
                 scores = [fitted.score(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(texts)), pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=arrow_schema(ddl))
@@ -271,7 +273,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, params: ToxicityParams = Toxici
 
         fitted = shared.value
         for batch in batches:
-            for start, texts in slices(batch):
+            for start, texts in slices(batch, most=_SLICE_BYTES):
                 yield batch.slice(start, len(texts)).filter(pa.array([fitted.score(t) < 0.5 for t in texts], pa.bool_()))
         give_back()
 
